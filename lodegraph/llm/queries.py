@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, decontaminate, license_scan, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts
+from lodegraph.llm import byte_bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts
 from lodegraph.llm.common import read
 
 
@@ -56,6 +56,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(ids, path, drop_ids=True).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_html_extract": op9_html_extract,
     "op10_license_scan": op10_license_scan,
 }
 
