@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm import byte_bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts
 from lodegraph.llm.common import read
+from lodegraph.llm.oracles import ORACLES  # noqa: F401
 
 
 def vocabulary() -> tuple[str, str]:
@@ -77,4 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
