@@ -23,7 +23,7 @@ def document_tree(spark: SparkSession, folder: str) -> DataFrame:
     source is the first folder or `unknown`, container the second if there are three levels;
     the name splits at its first `__`; an id that doesn't begin with dsid_ is empty.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
     place = F.split(F.substring_index(F.input_file_name(), root + "/", -1), "/")
     name = F.regexp_replace(F.element_at(place, -1), r"\.txt$", "")

@@ -9,6 +9,7 @@ twin groups by chunk and must give the same rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,14 +70,14 @@ def chunk_stream(tokens: DataFrame, m: int) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         nxt, waiting = state.get if state.exists else (0, "{}")
-        held = {int(k): v for k, v in pd.io.json.ujson_loads(waiting).items()}
+        held = {int(k): v for k, v in json.loads(waiting).items()}
         for f in frames:
             held.update({int(p): t for p, t in zip(f["pos"], f["token"], strict=True) if p >= nxt * m})
         out = []
         while all(nxt * m + i in held for i in range(m)):
             out.append((key[0], nxt, " ".join(held.pop(nxt * m + i) for i in range(m))))
             nxt += 1
-        state.update((nxt, pd.io.json.ujson_dumps({str(k): v for k, v in held.items()})))
+        state.update((nxt, json.dumps({str(k): v for k, v in held.items()})))
         yield pd.DataFrame(out, columns=["key", "chunk", "text"])
 
     return tokens.groupBy("key").applyInPandasWithState(step, "key long, chunk long, text string", "nxt long, waiting string", "append", "NoTimeout")
