@@ -1,6 +1,6 @@
 """The registered queries of the engine's own operators, by family."""
 
-from lodegraph.queries import graph, retrieval, statistics, streaming, structure, text, verification
+from lodegraph.queries import context, graph, retrieval, statistics, streaming, structure, text, verification
 from lodegraph.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "retrieval", "statistics", "streaming", "structure", "text", "verification"]
+__all__ = ["ORACLES", "QUERIES", "context", "graph", "retrieval", "statistics", "streaming", "structure", "text", "verification"]
