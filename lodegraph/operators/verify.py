@@ -159,3 +159,41 @@ def reachable(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
         seen = seen.union(frontier)
         out = out.unionByName(frontier.withColumn("depth", F.lit(h)))
     return out.where("depth > 0")
+
+
+def linked_or_nearest(mentions: DataFrame, names: DataFrame, vectors: DataFrame, mention_vectors: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """(mention_id, node_id, how): the first node by id whose alphanumeric key equals the mention's; else the nearest by cosine at the threshold or above, of the mention's kind; else none.
+
+    mentions (mention_id, text, kind), names (node_id, name, kind), vectors (node_id, v), mention_vectors (mention_id, v).
+    Mentions without an exact name are a stated query set; each meets the vectors of its kind.
+    """
+    alnum = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    index = names.groupBy(alnum(F.col("name")).alias("_k")).agg(F.min("node_id").alias("node_id"))
+    exact = mentions.withColumn("_k", alnum(F.col("text"))).join(index, "_k").select("mention_id", "node_id", F.lit("exact").alias("how"))
+    rest = mentions.join(exact, "mention_id", "left_anti").join(mention_vectors.withColumnRenamed("v", "_m"), "mention_id")
+    length = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x))
+    inner = F.aggregate(F.zip_with("_m", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    near = rest.join(names.select("node_id", "kind").join(vectors, "node_id"), "kind").withColumn("_s", inner / (length(F.col("_m")) * length(F.col("v")))).where(F.col("_s") >= threshold)
+    best = near.groupBy("mention_id").agg(F.max(F.struct("_s", "node_id")).alias("_b")).select("mention_id", F.col("_b.node_id").alias("node_id"), F.lit("nearest").alias("how"))
+    found = exact.unionByName(best)
+    return mentions.select("mention_id").join(found, "mention_id", "left").select("mention_id", "node_id", F.coalesce("how", F.lit("unresolved")).alias("how"))
+
+
+def confusion(probes: DataFrame, truth: str, found: str, by: str) -> DataFrame:
+    """(by, correct, wrong, unresolved) of linked probes."""
+    n = lambda c: F.count(F.when(c, 1))
+    t, f = F.col(truth), F.col(found)
+    return probes.groupBy(by).agg(n(f.eqNullSafe(t)).alias("correct"), n(f.isNotNull() & (f != t)).alias("wrong"), n(f.isNull()).alias("unresolved"))
+
+
+def clean_claims(raw: DataFrame) -> DataFrame:
+    """Claims with a subject and an object; a polarity that is neither affirmed nor denied becomes affirmed."""
+    kept = raw.where("trim(coalesce(subject, '')) <> '' and trim(coalesce(object, '')) <> ''")
+    return kept.withColumn("polarity", F.when(F.col("polarity").isin("affirmed", "denied"), F.col("polarity")).otherwise("affirmed"))
+
+
+def located(votes: DataFrame, allowed: DataFrame, query_col: str, doc_col: str) -> DataFrame:
+    """(query, doc): of each query's votes (query, doc, votes) the best document among its allowed ones (query, doc)."""
+    kept = votes.join(allowed.select(query_col, doc_col).distinct(), [query_col, doc_col], "left_semi")
+    w = Window.partitionBy(query_col).orderBy(F.desc("votes"), doc_col)
+    return kept.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(query_col, doc_col)

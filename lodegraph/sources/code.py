@@ -102,3 +102,28 @@ def inherited(classes: DataFrame, depth: int = 20) -> DataFrame:
     own = classes.select(F.col("name").alias("at"), F.explode("properties").alias("p")).select("at", F.col("p.name").alias("property"), F.col("p.type").alias("type"))
     w = Window.partitionBy("name", "property").orderBy("distance")
     return reached.join(own, "at").withColumn("_k", F.row_number().over(w)).where("_k = 1").select("name", "property", "type", F.col("at").alias("owner"), "distance")
+
+
+def path_steps(classes: DataFrame, paths: DataFrame, depth: int = 8) -> DataFrame:
+    """(path_id, reached, ok) of property paths (path_id, class, steps array): the class or leaf type that the steps lead to; ok is false where a step has no property.
+
+    A step that reaches a leaf type ends the path, also if steps remain.
+    """
+    props = inherited(classes).select(F.col("name").alias("at"), F.col("property").alias("step"), "type")
+    known = classes.select(F.col("name").alias("type"), F.lit(True).alias("is_class"))
+    now = paths.select("path_id", "steps", F.col("class").alias("at"), F.lit(True).alias("ok"), F.lit(False).alias("leaf"))
+    for i in range(depth):
+        step = F.when(F.col("ok") & ~F.col("leaf"), F.get("steps", F.lit(i)))
+        moved = now.withColumn("step", step).join(props, ["at", "step"], "left").join(known, "type", "left")
+        on = F.col("step").isNotNull()
+        now = moved.select("path_id", "steps", F.when(on & F.col("type").isNotNull(), F.col("type")).otherwise(F.col("at")).alias("at"), (F.col("ok") & (~on | F.col("type").isNotNull())).alias("ok"), (F.col("leaf") | on & F.col("type").isNotNull() & F.col("is_class").isNull()).alias("leaf"))
+    return now.select("path_id", F.col("at").alias("reached"), "ok")
+
+
+def two_hop_routes(classes: DataFrame, wanted: list[str]) -> DataFrame:
+    """(name, first, second, type): the only way, over one class, to a property of a wanted leaf type that the class itself lacks."""
+    own = classes.select("name", F.explode("properties").alias("p")).select("name", F.col("p.name").alias("property"), F.col("p.type").alias("type"))
+    far = own.toDF("type", "second", "leaf").where(F.col("leaf").isin(wanted))
+    routes = own.withColumnRenamed("property", "first").join(far, "type").select("name", "first", "second", "leaf").distinct()
+    only = routes.groupBy("name", "leaf").agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("first"), F.first("second").alias("second")).where("n = 1")
+    return only.join(own.select("name", F.col("type").alias("leaf")), ["name", "leaf"], "left_anti").select("name", "first", "second", F.col("leaf").alias("type"))
