@@ -47,11 +47,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
-def read_size(df: DataFrame) -> int:
-    """Rows of a materialised table, from its files' footers."""
-    return df.count()
-
-
 def discard(df: DataFrame) -> None:
     """Remove what `materialise` wrote for df; for intermediates that nothing reads any more."""
     path = getattr(df, "_lodegraph_path", None)

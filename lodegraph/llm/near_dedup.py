@@ -7,10 +7,13 @@
    with the least one only, so candidates grow with the nodes, not with pairs.
 3. A pair is dropped if too few bands agree for its similarity; what remains is
    confirmed on full sets. Components: `components`.
-4. A node that its bucket's least one didn't take may still be linked to another of
-   the bucket. So nodes of a bucket that are in different components by now are
-   compared too, and components are taken again. Pairs within a component need no
-   comparison: they change no result.
+4. The rest is exact. In each bucket most nodes are of one component by now; X are
+   the nodes of some bucket that aren't, Y all nodes of such buckets. Two sets as similar
+   as asked share one of their rarest shingles (prefix filtering), so X and Y are
+   joined on those, rarest by the count in Y. What a set shares with any other is at
+   most its shingles that are not its own alone, and at most what follows the shared
+   one; pairs that can't reach the similarity by these bounds are never made. So a large
+   group of near copies yields no pairs of its stragglers: their edits are their own.
 
 The chance that a pair at exactly the threshold of 0.8 shares no band is
 (1 - 0.8**5)**50 = 2.4e-9, that it shares less than two 6.1e-8, and both fall
@@ -29,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm import rolling
-from lodegraph.llm.common import materialise, read_size
+from lodegraph.llm.common import discard, materialise
 from lodegraph.llm.components import components
 
 SIZE, BANDS, ROWS, PERCENT = 2, 50, 5, 80
@@ -109,22 +112,53 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of pairs (u, v) whose full sets are similar enough."""
-    # one document for each node that is asked for
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+def _sets_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, each: bool) -> DataFrame:
+    """(node, members) of the nodes in asked (node), or with each (node, shingle, n), a row for each shingle."""
     holders = materialise(nodes.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     wanted = holders.select("doc_id").distinct()
-    wanted = F.broadcast(wanted) if read_size(holders) <= SENT_NODES else wanted.hint("shuffle_hash")
+    wanted = F.broadcast(wanted) if holders.count() <= SENT_NODES else wanted.hint("shuffle_hash")
     # an id with several texts gives the sets of all of them; the right one has the node's name
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_named_sets(size), "node long, members binary").join(holders.select("node"), "node", "left_semi")
-    sets = materialise(sets)
-    both = pairs.join(sets.withColumnsRenamed({"node": "u", "members": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "members": "b"}), "v")
-    return materialise(both.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long"))
+    kind = "node long, shingle long, n long" if each else "node long, members binary"
+    return texts.join(wanted, "doc_id", "left_semi").mapInArrow(_named_sets(size, each), kind).join(holders.select("node"), "node", "left_semi")
 
 
-def _named_sets(size: int):
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Those of pairs (u, v) whose full sets are similar enough."""
+    pairs = materialise(pairs)
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = materialise(_sets_of(asked, nodes, docs, size, id_col, text_col, False))
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "members": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "members": "b"}), "v")
+    out = materialise(both.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long"))
+    discard(sets)
+    return out
+
+
+def _stragglers(buckets: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that bounds don't rule out, where buckets hold several components."""
+    placed = buckets.join(label.withColumnsRenamed({"u": "node", "v": "label"}), "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    counted = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counted.groupBy("band").agg(F.max_by("label", F.col("c")).alias("usual"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("band", "usual")
+    there = materialise(placed.join(mixed, "band").groupBy("node", "label").agg(F.max(F.col("label") != F.col("usual")).alias("x")))
+    own = _sets_of(there.select("node"), nodes, docs, size, id_col, text_col, True).distinct()
+    shingles = materialise(own)
+    common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = shingles.join(common, "shingle")
+    # a set's own shingles come first; of the others those in fewest sets
+    by_node = Window.partitionBy("node")
+    ranked = shared.withColumns({"alone": F.col("n") - F.count(F.lit(1)).over(by_node), "k": F.row_number().over(by_node.orderBy("df", "shingle"))})
+    ranked = ranked.withColumn("p", F.col("alone") + F.col("k"))
+    able = (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")) & (100 * (F.col("n") - F.col("p") + 1) >= percent * F.col("n"))
+    prefixes = materialise(ranked.where(able).join(there, "node").select("node", "label", "x", "shingle", "n", "p", "alone"))
+    a = prefixes.where("x").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "p", "alone")])
+    b = prefixes.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "p", "alone")])
+    whole = percent * (F.col("n1") + F.col("n2"))
+    reach = lambda x, y: (100 + percent) * F.least(x, y) >= whole
+    possible = (F.col("label1") != F.col("label2")) & reach(F.col("n1") - F.col("p1") + 1, F.col("n2") - F.col("p2") + 1) & reach(F.col("n1") - F.col("alone1"), F.col("n2") - F.col("alone2"))
+    return a.join(b, (a["shingle"] == b["shingle"]) & possible).select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
+
+
+def _named_sets(size: int, each: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in rolling.chunks(batch.column(1).to_pylist()):
@@ -134,6 +168,10 @@ def _named_sets(size: int):
                 if not len(some):
                     continue
                 node = rolling.mix(np.add.reduceat(s, at[:-1][some]) ^ np.multiply(n[some].astype(np.uint64), np.uint64(rolling.MIX[0])))
+                if each:
+                    columns = [pa.array(np.repeat(node, n[some]).view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.repeat(n[some], n[some]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "shingle", "n"])
+                    continue
                 members = pa.array([s[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), members], names=["node", "members"])
 
@@ -156,13 +194,8 @@ def near_dedup(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bands:
     links = _confirmed(_agreeing(tried.select("u", "v"), buckets), named, docs, size, percent, id_col, text_col)
     edges = materialise(links.union(same_id))
     label = components(edges)
-
-    placed = buckets.join(label.withColumnsRenamed({"u": "node", "v": "label"}), "node", "left").select("band", "node", "hub", F.coalesce("label", "node").alias("label"))
-    at_hub = placed.where("node = hub").select("band", F.col("label").alias("hub_label"))
-    apart = placed.join(at_hub, "band").where("label <> hub_label").select("band", F.col("node").alias("x"), F.col("label").alias("lx"))
-    left = placed.where("node <> hub").select("band", "node", "label").join(apart, "band").where("lx <> label")
-    rest = left.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
-    more = _confirmed(_agreeing(rest, buckets), named, docs, size, percent, id_col, text_col)
+    rest = _stragglers(buckets, label, named, docs, size, percent, id_col, text_col)
+    more = _confirmed(rest, named, docs, size, percent, id_col, text_col)
     label = components(edges.union(more))
 
     known = nodes.join(label.withColumnsRenamed({"u": "node", "v": "label"}), "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
