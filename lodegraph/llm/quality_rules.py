@@ -62,8 +62,8 @@ def repeat_words(words: Column, run: int = RUN) -> Column:
         begin = F.struct(F.lit(0).alias("c"), F.lit(-run).alias("at"))
         return F.aggregate(p, begin, lambda a, i: F.struct((a["c"] + F.least(F.lit(run), i - a["at"])).alias("c"), i.alias("at")), lambda a: a["c"])
 
-    count = let(hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(places(h))).otherwise(0))
-    return F.when(F.size(words) > run, count).otherwise(0).cast("long")
+    repeated = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(places(h))).otherwise(0)
+    return let(words, lambda w: F.when(F.size(w) > run, let(hashes(w), repeated)).otherwise(0)).cast("long")
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -130,4 +130,6 @@ def quality_rules(docs: DataFrame, text_col: str = "text", groups: tuple[str, ..
     judged = joined.withColumn("n_repeat_words", repeat_words(F.col("_words")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     beyond = reduce(lambda a, b: a | b, [F.coalesce(F.col(m) > F.col(f"_{m}"), F.lit(False)) for m in SLACK])
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~beyond).select(*[F.col(f"`{c}`") for c in given.columns], *outputs)
+    # a filter on kept stays above this projection, which isn't deterministic; below it all metrics would be computed for the filter and again for the columns
+    here = F.monotonically_increasing_id() >= 0
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~beyond & here).select(*[F.col(f"`{c}`") for c in given.columns], *outputs)
