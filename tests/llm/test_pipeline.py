@@ -31,10 +31,13 @@ def test_stages_in_turn(spark, folder):
         out.write.parquet(path)
         before, docs = docs, spark.read.parquet(path)
         assert ids(docs) <= ids(before)
+        if name == "near dedup":
+            found = fx.components([(r.doc_id, r.text) for r in before.collect()], p.SHINGLE, p.PERCENT)
+            assert ids(docs) - {None} == {i for i, least in found.items() if i == least}
     left = ids(docs)
     assert 500 not in left and {3, 4, 6, 7, 8} <= left
     assert not left & {21, 22, 23, 24, 25, 27, 28}
-    assert len(left & {14, 15, 16, 17}) == 1
+    assert 14 in left and 15 not in left
     last = p.STAGES[-1][1](spark, docs, folder).collect()
     assert all(len(np.frombuffer(r.ids, "<u4")) == r.n_tokens for r in last)
 
