@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from lodegraph.llm.common import append, with_columns_schema
 
 #: Entries of the tables that are built lazily; beyond it they start anew.
-FITS, PIECES = 300_000, 200_000
+FITS, PIECES = 120_000, 120_000
 #: Up to so many bytes before a piece's end its tokens are sought as a whole; so many bytes ahead usually tell which tokens can come.
 WHOLE = 64
 NEAR = 6
@@ -121,7 +121,7 @@ class Transducer:
                     break
             found = tuple(out[::-1])
             if near not in beginnings:
-                if len(self.near) >= self.max_fits:
+                if len(self.near) >= self.max_fits // 2:
                     self.near.clear()
                 self.near[near] = found
         return found

@@ -56,6 +56,14 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def lean_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of at most so many rows in its session, unless the session asks for a size of its own: texts are long, and each batch is held on both sides."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(rows))
+    return df
+
+
 def row_key(*cols: str):
     """A 64-bit key that tells apart rows of one id with different contents; equal rows share it."""
     return F.xxhash64(*[F.col(c) for c in cols])
@@ -68,7 +76,7 @@ def order_key(col: str):
 
 def with_columns_schema(df: DataFrame, drop: list[str], add: list[tuple[str, T.DataType]]) -> tuple[DataFrame, T.StructType]:
     """df without the columns that the operator is about to write, and the schema with them appended."""
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in drop])
+    kept = lean_batches(df).select(*[F.col(f"`{c}`") for c in df.columns if c not in drop])
     return kept, T.StructType([*kept.schema.fields, *[T.StructField(n, t) for n, t in add]])
 
 

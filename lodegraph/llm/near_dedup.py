@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm import rolling
-from lodegraph.llm.common import discard, materialise
+from lodegraph.llm.common import discard, lean_batches, materialise
 from lodegraph.llm.components import components
 
 SIZE, BANDS, ROWS, PERCENT = 2, 50, 5, 80
@@ -180,7 +180,7 @@ def _named_sets(size: int, each: bool):
 
 def near_dedup(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each of docs."""
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    given = lean_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     features = materialise(given.mapInArrow(_features(size, bands, rows), FEATURES))
     named = features.where("node is not null and doc_id is not null")
     # equal sets are one node; an id with several sets links its nodes

@@ -16,7 +16,7 @@ BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Bytes of text that are worked on at once, unless one text is longer.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _is_gap = np.zeros(256, dtype=bool)
 _is_gap[[0x20, *range(0x09, 0x0E)]] = True

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegraph.llm.byte_bpe import read_ranks
+from lodegraph.llm.common import lean_batches
 
 #: Lengths to a block of the suffix sums.
 BLOCK = 4096
@@ -44,7 +45,7 @@ def lengths(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
             counts = [len(encoding.encode_ordinary(x)) if x else 0 for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["n_tokens"])
 
-    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, T.StructType([T.StructField("n_tokens", T.LongType())]))
+    return lean_batches(docs).select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, T.StructType([T.StructField("n_tokens", T.LongType())]))
 
 
 def histogram(lens: DataFrame) -> DataFrame:
