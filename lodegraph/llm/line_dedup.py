@@ -4,7 +4,9 @@ Lines become 128-bit ids; prefix doubling ranks the suffixes of all documents'
 id sequences (`doubling`). A group of suffixes with a longest common prefix of at least
 `min_lines` is a repeated run; every group keeps the copy that comes first by document and
 line, and the lines of the others go. The union of the deleted stretches is
-the later copies of the maximal repeated runs.
+the later copies of the maximal repeated runs. Unless a number of lines is asked for, a
+run of `MIN_LINES` goes whatever its lines are, and a single line goes if it has a letter or a
+digit: blank lines, rules and lone brackets are layout and stay outside of runs.
 
 Doubling goes on as long as runs repeat, and `longest_run` tells how far: the largest
 power of two for which a run of as many lines begins in the document and elsewhere.
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from lodegraph.llm import doubling
 from lodegraph.llm.common import append, order_key, row_key, with_columns_schema
 
+#: Runs of so many lines go whatever is on them; shorter ones by their lines' contents.
 MIN_LINES = 2
 
 
@@ -39,14 +42,21 @@ def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return texts.select("rk", "ord", line).select("rk", "ord", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(17), "line").alias("b"))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", lengths: bool = True) -> DataFrame:
-    """docs with n_lines, n_removed, longest_run (null unless lengths) and kept_text, the lines left (null if the text is null)."""
+def line_dedup(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text", lengths: bool = True) -> DataFrame:
+    """docs with n_lines, n_removed, longest_run (null unless lengths) and kept_text, the lines left (null if the text is null).
+
+    With min_lines, runs of so many lines go and nothing else does; without, runs of MIN_LINES and single lines that say something.
+    """
+    alone, min_lines = min_lines is None, min_lines or MIN_LINES
     outputs = [("n_lines", T.LongType()), ("n_removed", T.LongType()), ("longest_run", T.LongType()), ("kept_text", T.StringType())]
     first = doubling.first_ranks(line_ids(docs, id_col, text_col), ["a", "b"])
     levels = doubling.all_lengths(first) if lengths else [(1, first)]
     known = {length: ranks for length, ranks in levels}
     ranks = known[min_lines] if min_lines in known else doubling.at_length(first, min_lines)
-    gone = doubling.later_copies(ranks).groupBy("rk").agg(F.collect_list("pos").alias("_gone"))
+    later = doubling.later_copies(ranks)
+    if alone:  # single lines are below 0: -1 is the line at 0
+        later = later.unionByName(doubling.later_copies(first).select("rk", (-1 - F.col("pos")).alias("pos")))
+    gone = later.groupBy("rk").agg(F.collect_list("pos").alias("_gone"))
     marks = gone.withColumn("_longest", F.lit(None).cast("long"))
     if lengths and levels:
         runs = reduce(DataFrame.unionByName, [x.select("rk", F.lit(length).cast("long").alias("_longest")).distinct() for length, x in levels])
@@ -67,7 +77,10 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_i
                     lines = text.split("\n")
                     out = bytearray(len(lines))
                     for s in starts or ():
-                        out[s : s + min_lines] = b"\1" * min_lines
+                        if s >= 0:
+                            out[s : s + min_lines] = b"\1" * min_lines
+                        elif any(map(str.isalnum, lines[-1 - s])):
+                            out[-1 - s] = 1
                     left = [x for x, o in zip(lines, out, strict=True) if not o]
                     rows.append((len(lines), len(lines) - len(left), longest, "\n".join(left)))
                 values = list(zip(*rows, strict=True)) or [[]] * 4
