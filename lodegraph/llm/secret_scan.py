@@ -7,7 +7,7 @@ and digits, or the base64 alphabet) with a window width and a threshold in bits.
 one character at a time: two counts change, and the sum of c*log2(c) with them. A
 string whose densest window reaches its class's threshold is a finding unless the
 allow-list knows it: placeholders, UUIDs, hashes of the empty input, alphabets,
-numbers, and what stands in a web address.
+numbers, and, where the text before it shows one, parts of addresses and paths.
 
 Defined cases: a null text is as an empty one; findings of one place are ordered by
 kind; repeated rows are scanned each; columns with the names of outputs are
@@ -16,6 +16,8 @@ replaced; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,33 +29,40 @@ BASE = [("assign", ASSIGN, 6), ("access", r"AKIA[A-Z0-9]{16,}", 20), ("hex", r"[
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
 #: class, what its strings look like, window width, bits that make a finding.
 CLASSES = [("hex", "^[0-9a-fA-F]+$", 20, 2.9), ("lower", "^[0-9a-z]+$", 20, 3.6), ("base64", "", 20, 3.8)]
-#: Strings that are no secrets.
+#: Strings that are no secrets. A flag holds for its own alternative only.
 ALLOWED = "|".join([
-    "(?i)example", "(?i)sample", "(?i)dummy", "(?i)changeme", "(?i)placeholder", "(?i)your[_-]", "(?i)xxxx",
-    "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    "(?i:example)", "(?i:sample)", "(?i:dummy)", "(?i:changeme)", "(?i:placeholder)", "(?i:your[_-])", "(?i:xxxx)",
+    "(?i:^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$)",
     "^[0-9_/+-]+=*$",
-    "(?i)abcdefgh", "012345678", "(?i)qwertyuiop",
-    "^d41d8cd98f00b204e9800998ecf8427e$", "^da39a3ee5e6b4b0d3255bfef95601890afd80709$",
-    "^e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$",
-    "^/?/?(www\\b|[a-z]+/[a-z])", "//",
+    "(?i:abcdefgh)", "012345678", "(?i:qwertyuiop)",
+    "(?i:^d41d8cd98f00b204e9800998ecf8427e$)", "(?i:^da39a3ee5e6b4b0d3255bfef95601890afd80709$)",
+    "(?i:^e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$)",
 ])
+#: How a part of an address or path begins, and how the text before it must end: a scheme, a host's labels, a folder.
+PLACES = [
+    ("^//", r"(?<![A-Za-z0-9+.-])(?i:https?|ftps?|sftp|wss?|s3a?|gs|hdfs|file|git|ssh|svn)(?:\+[a-z]+)?:$"),
+    ("^[a-z]{2,}/[a-z]", r"(?:^|[\s/@\"'(<\[])(?:[A-Za-z0-9-]+\.)+$"),
+    ("^/[a-z]+/[a-z]", r"(?:^|[\s\"'(<\[=:,])(?:~|\.{1,2}|\$[A-Za-z_]+|\$\{[A-Za-z_]+\})$"),
+]
+#: Characters before a candidate that are looked at.
+BEFORE = 80
 KINDS = ["assign", "access", "hex", "entropy"]
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
 def _places(text: Column, pattern: str, kind: str, keep) -> Column:
-    """Spans (s, k, e) of the matches for which keep(match) holds, from the lengths of pieces and matches."""
+    """Spans (s, k, e) of the matches for which keep(match, text since the match before last) holds, from the lengths of pieces and matches."""
     none = F.array().cast(SPAN)
 
     def walk(pieces: Column, found: Column) -> Column:
-        pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), none.alias("out"))
 
         def step(a: Column, x: Column) -> Column:
-            s = a["at"] + x["gap"]
+            s = a["at"] + F.length(x["p"])
             e = s + F.length(x["m"])
             span = F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"))
-            return F.struct(e.alias("at"), F.when(keep(x["m"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+            return F.struct(e.alias("at"), x["m"].alias("last"), F.when(keep(x["m"], F.concat(a["last"], x["p"])), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
         return F.aggregate(pairs, begin, step, lambda a: a["out"])
 
@@ -84,13 +93,19 @@ def densest(string: Column, width: int) -> Column:
     return let(F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.ascii(c)), slide)
 
 
-def _telling(match: Column) -> Column:
+def _in_place(match: Column, before: Column) -> Column:
+    """Whether the candidate is a part of an address or path that the text before it shows."""
+    end = F.right(before, F.lit(BEFORE))
+    return reduce(Column.__or__, [match.rlike(begins) & end.rlike(shows) for begins, shows in PLACES])
+
+
+def _telling(match: Column, before: Column) -> Column:
     """Whether the candidate's entropy reaches its class's threshold, and the allow-list doesn't know it."""
     reaches = F.lit(False)
     for _, look, width, bits in reversed(CLASSES):
         here = densest(match, width) >= bits
         reaches = F.when(match.rlike(look), here).otherwise(reaches) if look else here
-    return ~match.rlike(ALLOWED) & reaches
+    return ~match.rlike(ALLOWED) & ~_in_place(match, before) & reaches
 
 
 def _written(spans: Column) -> Column:
@@ -102,8 +117,8 @@ def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with base_spans and spans, arrays of (s, k, e): code points from s to before e, k the place in KINDS."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base_spans", "spans", "_entropy")])
-    keep = {"assign": lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6}
-    base = [_places(text, pattern, kind, keep.get(kind, lambda m, n=least: F.length(m) >= n)) for kind, pattern, least in BASE]
+    keep = {"assign": lambda m, before: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6}
+    base = [_places(text, pattern, kind, keep.get(kind, lambda m, before, n=least: F.length(m) >= n)) for kind, pattern, least in BASE]
     found = kept.withColumns({"base_spans": F.sort_array(F.concat(*base)), "_entropy": _places(text, CANDIDATE, "entropy", _telling)})
     return found.withColumn("spans", F.sort_array(F.concat("base_spans", "_entropy"))).drop("_entropy")
 

@@ -154,6 +154,17 @@ def test_secret_scan(spark, docs, none, rows):
     assert secret_scan.secret_scan(none).count() == 0
 
 
+def test_allow_list_keeps_keys_and_knows_places(spark):
+    keys = ["wJalrXUtnFEMI/K7MDENG+bPxRfiCYzQ4tLs8Vw1", "aB/cD3fGh1jKlMn0pQrStUv2XyZ5+67w8E9TgHiR", "Zk3//9fK3mQ7xZ2pLw8VtR5yBn4JdQe6Hs1Gc", "ab/cd3fGh1jKlMn0pQrStUv2XyZ5+67w8E9TgHiR", "//9fK3mQ7xZ2pLw8VtR5yBn4JdQe6Hs1Gc"]
+    path = "ab/cd3fgh1jklmn0pqrstuv2xyz5w8e9"
+    places = [f"https://{path}", f"www.x.org/{path}", f"see https://www.x.org/{path} ", f"~/{path}", f"in ../{path}", f"file:///{path}", "D41D8CD98F00B204E9800998ECF8427E"]
+    rows = [*[(k, f"key {t} end") for k, t in enumerate(keys)], *[(k, t) for k, t in enumerate(places, 100)], (200, f"https://x.org/ {keys[3]}"), (201, f"MY=example0123456789abc {keys[0]}")]
+    got = {r.doc_id: r.spans for r in secret_scan.digests(secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(got[k] == f"entropy:4:{4 + len(t)}" for k, t in enumerate(keys))
+    assert all("entropy" not in got[k] for k in range(100, 100 + len(places)))
+    assert got[200] == f"entropy:15:{15 + len(keys[3])}" and got[201] == f"entropy:24:{24 + len(keys[0])}"
+
+
 def test_densest_window_is_shannon_entropy(spark):
     from collections import Counter
     from math import log2
