@@ -280,6 +280,16 @@ def test_host_suffix_array_finds_boilerplate(spark):
     assert got[9] == menu
 
 
+def test_open_text_that_is_all_alike_is_boilerplate(spark):
+    more = "Read more stories from our newsroom every day here"
+    page = lambda k: f"<article><h1>Story {k}</h1><p>tells w{k}x1 w{k}x2</p><div>{more}</div></article>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(4)] + [(k, f"http://b.example/{k}", page(7)) for k in range(10, 14)] + [(20, "http://c.example/", page(8)), (21, "http://c.example/2", page(9))]
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k} tells w{k}x1 w{k}x2" for k in range(4))
+    assert all(got[k] == f"Story 7 tells w7x1 w7x2 {more}" for k in range(10, 14))
+    assert got[20].endswith(more) and got[21].endswith(more)
+
+
 def test_license_scan(spark, docs, none, rows):
     texts = {1: "Licensed under the Apache License, Version 2.0.", 2: "GNU General Public License v3 or later. All rights reserved", 3: "CC BY-SA 4.0 cc-by", 4: "nothing here", 5: None, 6: "", 7: "released under the MIT License"}
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
