@@ -75,12 +75,12 @@ def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("g")).agg(F.round(t, 4).alias("mean_true"), F.round(f, 4).alias("mean_false"), F.round(t - f, 4).alias("gap"))
 
 
-@query("""WITH l AS (SELECT event_id, value, lead(value) OVER (ORDER BY event_id) AS nxt, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE user_id = 8) SELECT event_id, round(value - nxt, 6) AS margin FROM l WHERE k % 2 = 1 AND nxt IS NOT NULL""")
+@query("""WITH l AS (SELECT user_id, event_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT user_id, event_id, round(value - nxt, 6) AS margin FROM l WHERE k % 2 = 1 AND nxt IS NOT NULL""")
 def paired_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Margins of adjacent pairs of one user's events."""
+    """Margins of adjacent pairs of each user's events."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").where("user_id = 8").select("event_id", "value", F.lead("value").over(w).alias("nxt"), F.row_number().over(w).alias("k"))
-    return e.where("k % 2 = 1 and nxt is not null").select("event_id", F.round(F.col("value") - F.col("nxt"), 6).alias("margin"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.lead("value").over(w).alias("nxt"), F.row_number().over(w).alias("k"))
+    return e.where("k % 2 = 1 and nxt is not null").select("user_id", "event_id", F.round(F.col("value") - F.col("nxt"), 6).alias("margin"))
 
 
 @query()
