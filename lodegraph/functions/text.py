@@ -113,9 +113,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: Borders of words, also beside letters outside ASCII; \b differs between engines there.
+BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def title_runs(text: Column) -> Column:
     """Runs of capitalised words longer than three characters, each once whatever its case; the first spelling stays."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b"), 0), lambda x: F.length(x) > 3)
+    found = F.filter(F.regexp_extract_all(text, F.lit(BEGIN + "[A-Z][a-z]+(?: [A-Z][a-z]+)*" + END), 0), lambda x: F.length(x) > 3)
     lowered = F.transform(found, F.lower)
     return F.filter(found, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
@@ -126,7 +130,7 @@ def wiki_links(text: Column) -> Column:
 
 
 def tickets(text: Column, stop: tuple[str, ...] = ("UTF", "ISO", "RFC", "SHA", "HTTP", "COVID")) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]{1,9}-\d{1,6})\b"), 1)
+    found = F.regexp_extract_all(text, F.lit(BEGIN + r"([A-Z][A-Z0-9]{1,9}-\d{1,6})" + END), 1)
     return F.array_distinct(F.filter(found, lambda x: ~F.substring_index(x, "-", 1).isin(*stop)))
 
 

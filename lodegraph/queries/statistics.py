@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodegraph.functions.text import BEGIN, END
 from lodegraph.operators import stats as s
+from lodegraph.queries.text import BORDERED
 from lodegraph.registry import query
 from lodegraph.sources.tables import table
 
@@ -171,10 +173,10 @@ def prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.col("p_type").alias("defect")).agg(F.countDistinct("l_suppkey").alias("affected"), F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH k AS (SELECT unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{2,}\\b')) AS kind FROM documents WHERE lang = 'en') SELECT kind, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 20")
+@query(f"WITH k AS (SELECT unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{{2,}}\\b')) AS kind FROM {BORDERED}) SELECT kind, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 20")
 def schema_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised kinds that occur often enough."""
-    k = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{2,}\b"), 0)).alias("kind"))
+    k = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(BEGIN + "[A-Z][a-z]{2,}" + END), 0)).alias("kind"))
     return k.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 
 

@@ -16,6 +16,8 @@ STOP = "[" + ", ".join(f"'{w}'" for w in t.STOPWORDS) + "]"
 CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(" + STOP + ", w)))"
 ANSWERS = "list_filter(list_transform(regexp_split_to_array({0}, ',|;|/|\\n|\\band\\b'), lambda x: " + NORM.format("x").replace("{", "{{").replace("}", "}}") + "), lambda x: x <> '')"
 SETS = "list_distinct(" + ANSWERS + ")"
+#: documents with _ for letters and digits outside ASCII, beside which SQL's \b would see a border.
+BORDERED = "(SELECT doc_id, regexp_replace(text, '[^\\P{L}A-Za-z]|[^\\P{N}0-9]', '_', 'g') AS text FROM documents)"
 
 
 @query(f"SELECT doc_id, md5({NORM.format('text')}) AS normal FROM documents")
@@ -108,10 +110,10 @@ def text_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b'), lambda x: length(x) > 3), lambda x: lower(x)))) AS titles,
-len(list_distinct(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]{1,9}-\\d{1,6}\\b'))) AS tickets FROM documents WHERE lang = 'en'""")
+len(list_distinct(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]{1,9}-\\d{1,6}\\b'))) AS tickets FROM """ + BORDERED)
 def text_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """capitalised runs and ticket names of the English documents."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """capitalised runs and ticket names of every document."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(t.title_runs(F.col("text"))).cast("long").alias("titles"), F.size(t.tickets(F.col("text"), ())).cast("long").alias("tickets"))
 
 
@@ -145,10 +147,10 @@ def text_json_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.expr("substring(props, instr(props, '{'))").alias("body"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.sha2("props", 256).alias("digest"), F.substring(F.md5("event_type"), -1, 1).alias("last"))
 
 
-@query("""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '[;\\n]', ',', 'g'), ','), lambda x: trim(regexp_replace(x, '^[\\s*\\-0-9.)]+', ''))), lambda x: x <> '' AND len(regexp_split_to_array(x, '\\s+')) <= 4)) AS spans FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '[;\\n]', ',', 'g'), ','), lambda x: trim(regexp_replace(x, '^[\\s*\\-0-9.)]+', ''))), lambda x: x <> '' AND len(regexp_split_to_array(x, '\\s+')) <= 4)) AS spans FROM documents""")
 def text_candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: short pieces between separators."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(t.candidate_spans(F.col("text"))).cast("long").alias("spans"))
 
 

@@ -1,6 +1,7 @@
 """Queries over all rows of their tables: against plain Python, and on the part that they once read against the SQL of that part."""
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,3 +26,21 @@ def test_paired_margins_of_all_users(spark, con):
     assert len({user for user, _ in want}) > 1 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
     same(out.where("user_id = 8").drop("user_id"), con, """WITH l AS (SELECT event_id, value, lead(value) OVER (ORDER BY event_id) AS nxt, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE user_id = 8) SELECT event_id, round(value - nxt, 6) AS margin FROM l WHERE k % 2 = 1 AND nxt IS NOT NULL""")
+
+
+def test_text_queries_of_all_languages(spark, con, tmp_path):
+    texts = ["Le Café Noir, Été AB-12", "Ärger über den Weg; ABC-7é und XÉ-3\nÜber", None, "Señor El Niño Dos Tres", ""]
+    rows = [(k, t, lang) for k, (t, lang) in enumerate(zip(texts, ["fr", "de", "en", None, "es"], strict=True))] + [(9, "Kind " * 20, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    titles = lambda t: len({x.lower() for x in re.findall(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b", t) if len(x) > 3})
+    tickets = lambda t: len(set(re.findall(r"\b[A-Z][A-Z0-9]{1,9}-[0-9]{1,6}\b", t)))
+    for at, docs in ((str(tmp_path), [r[:2] for r in rows]), (SMALL, con.execute("SELECT doc_id, text FROM documents").fetchall())):
+        got = {r.doc_id: (r.titles, r.tickets) for r in QUERIES["text_extractors"](spark, at).collect()}
+        assert got == {i: (None, None) if t is None else (titles(t), tickets(t)) for i, t in docs}
+        spans = {r.doc_id: r.spans for r in QUERIES["text_candidate_spans"](spark, at).collect()}
+        pieces = lambda t: [re.sub(r"^[\s*\-0-9.)]+", "", x).strip(" ") for x in re.split("[,;\n]", t)]
+        assert spans == {i: None if t is None else sum(x != "" and len(re.split(r"\s+", x)) <= 4 for x in pieces(t)) for i, t in docs}
+        kinds = Counter(x for _, t in docs for x in re.findall(r"\b[A-Z][a-z]{2,}\b", t or ""))
+        assert {r.kind: r.n for r in QUERIES["schema_mining"](spark, at).collect()} == {k: n for k, n in kinds.items() if n >= 20}
+    english = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en'").select("doc_id")
+    same(QUERIES["text_candidate_spans"](spark, SMALL).join(english, "doc_id"), con, r"""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '[;\n]', ',', 'g'), ','), lambda x: trim(regexp_replace(x, '^[\s*\-0-9.)]+', ''))), lambda x: x <> '' AND len(regexp_split_to_array(x, '\s+')) <= 4)) AS spans FROM documents WHERE lang = 'en'""")
