@@ -160,13 +160,13 @@ def text_canonical_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", t.canonical_relation(F.expr("substr(o_orderpriority, 3)"), {"not_specified": "none"}).alias("rel"))
 
 
-@query(f"""WITH q AS (SELECT item_id, list_distinct({TOKENS.format('text')}) AS q FROM benchmark), d AS (SELECT conv_id, turn, list_distinct({TOKENS.format('text')}) AS d FROM conversations WHERE turn = 0)
-SELECT item_id, conv_id, round(len(list_intersect(q, d)) / len(q)::DOUBLE, 6) AS overlap FROM q, d WHERE len(list_intersect(q, d)) > 0""")
+@query(f"""WITH q AS (SELECT item_id, list_distinct({TOKENS.format('text')}) AS q FROM benchmark), d AS (SELECT conv_id, turn, list_distinct({TOKENS.format('text')}) AS d FROM conversations)
+SELECT item_id, conv_id, turn, round(len(list_intersect(q, d)) / len(q)::DOUBLE, 6) AS overlap FROM q, d WHERE len(list_intersect(q, d)) > 0""")
 def text_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's share of tokens in each conversation's opening. The items are a stated query set; tokens find candidates."""
+    """Each benchmark item's share of tokens in each conversation's turns. The items are a stated query set; tokens find candidates."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(t.tokens(F.col("text"))).alias("q")).select("item_id", F.size("q").alias("n"), F.explode("q").alias("w"))
-    d = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("w"))
-    return d.join(q, "w").groupBy("item_id", "conv_id", "n").agg(F.count(F.lit(1)).alias("same")).select("item_id", "conv_id", F.round(F.col("same") / F.col("n"), 6).alias("overlap"))
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("w"))
+    return d.join(q, "w").groupBy("item_id", "conv_id", "turn", "n").agg(F.count(F.lit(1)).alias("same")).select("item_id", "conv_id", "turn", F.round(F.col("same") / F.col("n"), 6).alias("overlap"))
 
 
 @query()

@@ -1,5 +1,6 @@
 """Queries over all rows of their tables: against plain Python, and on the part that they once read against the SQL of that part."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -44,3 +45,33 @@ def test_text_queries_of_all_languages(spark, con, tmp_path):
         assert {r.kind: r.n for r in QUERIES["schema_mining"](spark, at).collect()} == {k: n for k, n in kinds.items() if n >= 20}
     english = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en'").select("doc_id")
     same(QUERIES["text_candidate_spans"](spark, SMALL).join(english, "doc_id"), con, r"""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '[;\n]', ',', 'g'), ','), lambda x: trim(regexp_replace(x, '^[\s*\-0-9.)]+', ''))), lambda x: x <> '' AND len(regexp_split_to_array(x, '\s+')) <= 4)) AS spans FROM documents WHERE lang = 'en'""")
+
+
+def test_searches_of_all_turns(spark, con):
+    tokens = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+
+    def vector(t):
+        n = Counter(sum(map(ord, w)) % 8 for w in tokens(t))
+        length = math.sqrt(sum(x * x for x in n.values())) or 1.0
+        return [n[k] / length for k in range(8)]
+
+    turns = [((c, k), set(tokens(t)), vector(t)) for c, k, t in con.execute("SELECT conv_id, turn, text FROM conversations").fetchall()]
+    overlap, best = {}, {}
+    for item, text in con.execute("SELECT item_id, text FROM benchmark").fetchall():
+        words, v = set(tokens(text)), vector(text)
+        shares = {place: len(words & w) / len(words) if words else 0.0 for place, w, _ in turns}
+        overlap |= {(item, *place): x for place, x in shares.items() if x}
+        scores = {place: 0.65 * sum(a * b for a, b in zip(v, u, strict=True)) + 0.35 * shares[place] for place, _, u in turns}
+        best[item] = sorted((-round(x, 9), place) for place, x in scores.items() if x > 0)[:5]
+    out = QUERIES["text_token_overlap"](spark, SMALL)
+    got = {(r.item_id, r.conv_id, r.turn): r.overlap for r in out.collect()}
+    assert any(turn for *_, turn in got) and got.keys() == overlap.keys() and all(abs(got[k] - overlap[k]) < 1e-5 for k in got)
+    token = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+    same(out.where("turn = 0").drop("turn"), con, f"""WITH q AS (SELECT item_id, {token} AS q FROM benchmark), d AS (SELECT conv_id, turn, {token} AS d FROM conversations WHERE turn = 0)
+SELECT item_id, conv_id, round(len(list_intersect(q, d)) / len(q)::DOUBLE, 6) AS overlap FROM q, d WHERE len(list_intersect(q, d)) > 0""")
+    found = defaultdict(list)
+    for r in QUERIES["legacy_search"](spark, SMALL).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.score, (r.conv_id, r.turn)))
+    for item, want in best.items():
+        assert len(found[item]) == len(want) and all(abs(x + y) < 1e-8 for (x, _), (y, _) in zip(found[item], want, strict=True))
+    assert any(turn for f in found.values() for _, (_, turn) in f)
