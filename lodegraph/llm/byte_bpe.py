@@ -3,11 +3,14 @@
 Encoding. A text is cut into pieces by the vocabulary's pattern. Within a piece a
 sequence of tokens is the BPE encoding exactly if every two neighbours are: the
 pair of them, merged from bytes, gives the same two tokens again. So the encoding
-of every prefix of the piece has one last token, and what a byte more can change
-is bounded by the longest token. `Transducer` has as its state the last token
-emitted; reading ahead a few token lengths, it emits the tokens on which all
-continuations agree. Its transitions are built when first met and kept in tables
-of bounded size; a full table is emptied, which costs time and changes no result.
+of every prefix of a piece has one last token, which begins where a token can begin
+that the bytes so far don't end: the live places. The merges thus make a nondeterministic machine
+that guesses where tokens begin. `Transducer` determinises it: a state stands for all live
+places at once and the tokens that lead to them, named by the last token emitted and the bytes
+since. Reading a byte leads to the next state and emits the tokens on which all live places
+agree, so a token waits for the few bytes that can still change it, no longer than tokens are.
+Transitions (state, byte) -> (state, ids) are built when first met and kept in a table of
+bounded size; a full table is emptied, which costs time and changes no result.
 
 Decoding. `Utf8Machine` steps over whole tokens by a table (state, token) -> state
 which is filled when first used; bytes of a code point that is still open wait for
@@ -21,9 +24,11 @@ is replaced; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
+from itertools import chain, islice, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,16 @@ from pyspark.sql import types as T
 
 from lodegraph.llm.common import append, with_columns_schema
 
-#: Entries of the tables that are built lazily; beyond it they start anew.
-FITS, PIECES = 120_000, 120_000
-#: Up to so many bytes before a piece's end its tokens are sought as a whole; so many bytes ahead usually tell which tokens can come.
-WHOLE = 64
-NEAR = 6
+#: Transitions and pairs of tokens that are kept; beyond it the tables start anew.
+MOVES, FITS = 800_000, 200_000
+#: In place of a byte: the piece ends.
+END = 256
+#: Bytes of pieces that step together; a longer piece than LONG steps alone.
+PASS, LONG = 1 << 16, 256
+#: Rows that are turned into Python objects at once; of a text of over WHOLE characters, SLAB pieces; ids that are decoded at once.
+ROWS, WHOLE, SLAB, CHUNK = 256, 100_000, 20_000, 4096
+#: An odd multiplier that spreads keys over the table.
+SPREAD = 0x9E3779B97F4A7C15
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,23 +54,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class State(NamedTuple):
+    """`prev` is the token emitted last, `open` the bytes since. Of `open`'s k first bytes the last token begins at
+    last[k - 1]; live are the places from which the rest of `open` begins a token."""
+
+    prev: bytes | None
+    open: bytes
+    last: tuple[int, ...]
+    live: tuple[int, ...]
+
+    def tokens(self, end: int) -> list[bytes]:
+        """Of the first `end` open bytes."""
+        out = []
+        while end:
+            begin = self.last[end - 1]
+            out.append(self.open[begin:end])
+            end = begin
+        return out[::-1]
+
+
 class Transducer:
-    """Reads a piece's bytes and emits its tokens.
+    """Reads pieces' bytes and emits their tokens. State 0 begins a piece, END leads back to it.
 
-    The state is the last token emitted. `_emit` gives, for a state and the bytes
-    that lie ahead, the tokens that no later byte can change. What `_fit` has found
-    of two tokens is kept, so the transitions are built as texts need them.
+    The table is an open-addressing hash table in arrays: `key` holds state * 257 + byte, `to` the next
+    state, `at` and `n` the place and number of the emitted ids in `flat`. Many pieces step together, a byte each.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_fits: int = FITS, max_pieces: int = PIECES):
-        self.ranks, self.max_fits, self.max_pieces = ranks, max_fits, max_pieces
-        self.longest = max(map(len, ranks))
-        self.beginnings = {t[:k] for t in ranks for k in range(1, len(t))}
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = MOVES, max_fits: int = FITS):
+        self.ranks, self.max_moves, self.max_fits = ranks, max_moves, max_fits
+        #: 1: a token, 2: what begins a longer one, 3: both.
+        self.kinds = dict.fromkeys({t[:k] for t in ranks for k in range(1, len(t))}, 2)
+        self.kinds |= {t: self.kinds.get(t, 0) | 1 for t in ranks}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.near: dict[bytes, tuple[bytes, ...]] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # half empty at most: a pass begins with max_moves or fewer and adds no more than its bytes and ends
+        self.bits = (2 * (max_moves + 2 * (PASS + LONG))).bit_length()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key, self.to, self.at, self.n = np.full(1 << self.bits, -1, np.int64), *np.zeros((3, 1 << self.bits), np.int32)
+        self.flat, self.written, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+        self.states, self.numbers = [State(None, b"", (), ())], {(None, b"", ()): 0}
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge gives token; None for a byte. What the merges of lower rank leave of it."""
@@ -106,106 +140,153 @@ class Transducer:
             else:
                 before, y = ranks[y] + 1, right[0]
 
-    def _ahead(self, s: bytes, at: int) -> tuple[bytes, ...]:
-        """The tokens that s has at `at`, the longest first. Where NEAR bytes decide, they are kept."""
-        near = s[at : at + NEAR]
-        found = self.near.get(near)
-        if found is None:
-            ranks, beginnings, out, end = self.ranks, self.beginnings, [], at
-            while end < len(s):
-                end += 1
-                t = s[at:end]
-                if t in ranks:
-                    out.append(t)
-                if t not in beginnings:
-                    break
-            found = tuple(out[::-1])
-            if near not in beginnings:
-                if len(self.near) >= self.max_fits // 2:
-                    self.near.clear()
-                self.near[near] = found
-        return found
-
-    def _whole(self, prev: bytes | None, s: bytes) -> list[bytes]:
-        """The tokens of s, which ends its piece: the one way in which all neighbours fit, found longest token first."""
-        fits, tokens, stack, at, last, left = self.fits, [], [], 0, prev, iter(self._ahead(s, 0))
-        while at < len(s):
-            for t in left:
-                fit = last is None or fits.get((last, t))
-                if fit is None:
-                    fit = self._fit(last, t)
-                if fit:
-                    stack.append(left)
-                    tokens.append(t)
-                    at, last = at + len(t), t
-                    left = iter(self._ahead(s, at))
-                    break
+    def _number(self, state: State) -> int:
+        # the tokens that lead to a live place are the encoding of the bytes before it; prev matters only to a token that begins right after it
+        name = (state.prev if 0 in state.live or not state.open else None, state.open, state.live)
+        number = self.numbers.setdefault(name, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
+
+    def _move(self, state: State, byte: int) -> tuple[State, list[bytes]]:
+        """Where a byte leads, and the tokens that are final with it."""
+        s, n = state.open + bytes((byte,)), len(state.open) + 1
+        begin, live = -1, []
+        for i in (*state.live, n - 1):
+            rest = s[i:]
+            kind = self.kinds.get(rest, 0)
+            if kind & 1 and begin < 0 and self._fit(s[state.last[i - 1] : i] if i else state.prev, rest):
+                begin = i
+            if kind & 2:
+                live.append(i)
+        if begin < 0:
+            raise ValueError(f"{s!r} has no tokens: the vocabulary lacks single bytes")
+        to = State(state.prev, s, (*state.last, begin), tuple(live))
+        # tokens before the place where the ways to all live places part are final
+        places = [*live, n]
+        while len(places) > 1:
+            before = to.last[places.pop() - 1]
+            if before not in places:
+                insort(places, before)
+        done = places[0]
+        if not done:
+            return to, []
+        out = to.tokens(done)
+        return State(out[-1], s[done:], tuple([k - done for k in to.last[done:]]), tuple([k - done for k in live])), out
+
+    def _build(self, key: int) -> int:
+        """Fills the table's slot for a key that it doesn't hold."""
+        number, byte = divmod(key, 257)
+        state = self.states[number]
+        to, out = (self.states[0], state.tokens(len(state.open))) if byte == END else self._move(state, byte)
+        if self.written + len(out) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(out)), np.uint32)])
+        self.flat[self.written : self.written + len(out)] = [self.ranks[t] for t in out]
+        slot = self._home(key)
+        while self.key[slot] != -1:
+            slot = (slot + 1) & (len(self.key) - 1)
+        self.key[slot], self.to[slot], self.at[slot], self.n[slot] = key, self._number(to), self.written, len(out)
+        self.written += len(out)
+        self.held += 1
+        return slot
+
+    def _home(self, key: int) -> int:
+        return (key * SPREAD & (1 << 64) - 1) >> 64 - self.bits
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of the keys, built where they are missing."""
+        slot = (keys.view(np.uint64) * np.uint64(SPREAD) >> np.uint64(64 - self.bits)).view(np.int64)
+        left = np.flatnonzero(self.key[slot] != keys)
+        while len(left):
+            at, wanted = slot[left], keys[left]
+            if len(missing := wanted[self.key[at] == -1]):
+                for key in np.unique(missing).tolist():
+                    self._build(key)
+            left = left[self.key[at] != wanted]
+            slot[left] = slot[left] + 1 & len(self.key) - 1
+        return slot
+
+    def _together(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many pieces one after another, and how many each has."""
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        state, who, said = np.zeros(len(order), np.int64), [], []
+        for k in range(length[0]):
+            m = np.searchsorted(-length, -k)
+            slot = self._slots(state[:m] * 257 + data[begin[:m] + k])
+            state[:m] = self.to[slot]
+            speaks = np.flatnonzero(self.n[slot])
+            who.append(order[speaks])
+            said.append(slot[speaks])
+        who, said = np.concatenate([*who, order]), np.concatenate([*said, self._slots(state * 257 + END)])
+        counts = np.bincount(who, self.n[said], len(order)).astype(np.int64)
+        said = said[np.argsort(who, kind="stable")]
+        n = self.n[said].astype(np.int64)
+        return self.flat[np.repeat(self.at[said] - np.cumsum(n) + n, n) + np.arange(n.sum())], counts
+
+    def _alone(self, data: bytes) -> np.ndarray:
+        """The ids of one long piece."""
+        number, out = 0, []
+        for byte in (*data, END):
+            if self.held > self.max_moves:
+                state = self.states[number]
+                self._clear()
+                number = self._number(state)
+            key, slot = number * 257 + byte, self._home(number * 257 + byte)
+            while self.key[slot] != key:
+                slot = self._build(key) if self.key[slot] == -1 else (slot + 1) & (len(self.key) - 1)
+            number = int(self.to[slot])
+            if n := self.n[slot]:
+                out.append(self.flat[self.at[slot] : self.at[slot] + n])
+        return np.concatenate(out) if out else np.empty(0, np.uint32)
+
+    def run(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, none empty, one after another, and how many each has."""
+        if not pieces:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        data = np.frombuffer("".join(pieces).encode(), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        if bounds[-1] < len(data):  # from code points to bytes
+            bounds = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[bounds]
+        length = np.diff(bounds)
+        long = np.flatnonzero(length > LONG)
+        edges = np.unique(np.concatenate([[0, len(pieces)], np.searchsorted(bounds, np.arange(PASS, len(data), PASS)), long, long + 1]))
+        ids, counts = [], []
+        for a, z in pairwise(edges.tolist()):
+            if self.held > self.max_moves:
+                self._clear()
+            if length[a] > LONG:
+                ids.append(self._alone(data[bounds[a] : bounds[z]].tobytes()))
+                counts.append([len(ids[-1])])
             else:
-                if not tokens:
-                    raise ValueError(f"{s!r} has no tokens: the vocabulary lacks single bytes")
-                left, at = stack.pop(), at - len(tokens.pop())
-                last = tokens[-1] if tokens else prev
-        return tokens
-
-    def _emit(self, prev: bytes | None, s: bytes) -> list[bytes]:
-        """The tokens at the start of s that all continuations of s share.
-
-        Every beginning of s has one last token. What follows s begins at its end or
-        inside a longer token, from a place where the rest of s begins one; the
-        tokens before all of these places' encodings part are final.
-        """
-        ranks, last = self.ranks, []
-        live: list[int] = []
-        for n in range(1, len(s) + 1):
-            # after prev, a short beginning of s can be one whose encoding joins prev: it is no place for a border
-            starts = [*live, n - 1] if n == 1 or last[-1] is not None else live
-            last.append(next((i for i in starts if s[i:n] in ranks and self._fit(s[last[i - 1] : i] if i else prev, s[i:n])), None))
-            live = [i for i in starts if s[i:n] in self.beginnings]
-        at = {*live} if last[-1] is None else {len(s), *live}
-        while len(at) > 1:
-            at.remove(top := max(at))
-            at.add(last[top - 1])
-        end, out = at.pop(), []
-        while end:
-            out.append(s[last[end - 1] : end])
-            end = last[end - 1]
-        return out[::-1]
-
-    def ids_of(self, piece: bytes) -> list[int]:
-        """The ids of one piece. More lookahead than a few tokens is taken only where continuations part for so long."""
-        out: list[bytes] = []
-        at, look = 0, 4 * self.longest
-        while at < len(piece):
-            prev = out[-1] if out else None
-            if len(piece) - at <= look:
-                out += self._whole(prev, piece[at:]) if len(piece) - at <= WHOLE else self._emit(prev, piece[at:])
-                done = sum(map(len, out))
-                if done == at:
-                    out += self._whole(prev, piece[at:])
-                    done = len(piece)
-            else:
-                out += self._emit(prev, piece[at : at + look])
-                done = sum(map(len, out))
-                look = look if done > at else 2 * look
-            at = done
-        return [self.ranks[t] for t in out]
-
-    def packed(self, pieces: Iterable[str]) -> bytes:
-        """The ids of all pieces as little-endian unsigned 32-bit integers."""
-        known, older, out = self.pieces, self.older, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= self.max_pieces:  # pieces in use stay, others go
-                    self.older = older = known
-                    self.pieces = known = {}
-                ids = older.get(piece)
-                if ids is None:
-                    tokens = self.ids_of(piece.encode())
-                    ids = pack(f"<{len(tokens)}I", *tokens)
-                known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+                found = self._together(data, bounds[a:z], length[a:z])
+                ids.append(found[0])
+                counts.append(found[1])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encoded(self, texts: list[str], cut) -> list[np.ndarray]:
+        """The ids of each text, which `cut`, a compiled pattern, cuts into pieces. A long text's pieces are cut SLAB at a time."""
+        out: list[np.ndarray] = []
+        some: list[list[str]] = []
+
+        def flush() -> None:
+            ids, counts = self.run(list(chain.from_iterable(some)))
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, some)])]
+            out.extend(ids[a:z] for a, z in pairwise(ends.tolist()))
+            some.clear()
+
+        for text in texts:
+            if len(text) <= WHOLE:
+                some.append(cut.findall(text))
+                continue
+            flush()
+            found = (m[0] for m in cut.finditer(text))
+            parts = []
+            while slab := list(islice(found, SLAB)):
+                parts.append(self.run(slab)[0])
+            out.append(np.concatenate(parts) if parts else np.empty(0, np.uint32))
+        flush()
+        return out
 
 
 def utf8_next(state: int, byte: int) -> int:
@@ -231,9 +312,10 @@ class Utf8Machine:
 
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        #: steps[state][token]: the state after the token if it began in state.
-        self.steps: list[dict[int, int]] = [{} for _ in range(9)]
-        self.closed = np.array([self._run(0, t) == 0 for t in self.tokens])
+        self.ends = np.cumsum([0, *map(len, self.tokens)])
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+        #: steps[state][token]: the state after the token if it began in state; -1 where not yet asked for.
+        self.steps = np.full((9, len(self.tokens)), -1, np.int8)
         self.clear()
 
     def clear(self) -> None:
@@ -247,29 +329,47 @@ class Utf8Machine:
                 return 8
         return state
 
-    def feed(self, ids: list[int]) -> str:
-        steps, tokens, state, out = self.steps, self.tokens, self.state, []
-        done = 0
-        for k, i in enumerate(ids):
-            to = steps[state].get(i)
-            if to is None:
-                to = steps[state][i] = self._run(state, tokens[i])
+    def _after(self, ids: np.ndarray) -> np.ndarray:
+        """The state after each token if it began in state 0."""
+        found = self.steps[0][ids]
+        if found.min() < 0:
+            for i in np.unique(ids[found < 0]).tolist():
+                self.steps[0][i] = self._run(0, self.tokens[i])
+            found = self.steps[0][ids]
+        return found
+
+    def feed(self, ids: np.ndarray) -> str:
+        # in state 0, tokens of whole code points lead to state 0: only from one that doesn't on are steps taken one by one
+        leaving, state, k, done = np.flatnonzero(self._after(ids)).tolist(), self.state, 0, 0
+        while True:
+            if not state:
+                later = bisect_left(leaving, k)
+                done = k = leaving[later] if later < len(leaving) else len(ids)
+            if k == len(ids):
+                break
+            i = int(ids[k])
+            to = self.steps[state][i]
+            if to < 0:
+                to = self.steps[state][i] = self._run(state, self.tokens[i])
             if to == 8:
-                return self._repair(ids, done)
-            state = to
-            if state == 0:
-                done = k + 1
-        out = self.waiting + b"".join([tokens[i] for i in ids[:done]]) if done else b""
-        self.waiting = (b"" if done else self.waiting) + b"".join([tokens[i] for i in ids[done:]])
+                return self._repair(ids)
+            state, k = int(to), k + 1
         self.state = state
-        return self._cut(out)
-
-    def _cut(self, data: bytes) -> str:
-        return data.decode("utf-8")
-
-    def _repair(self, ids: list[int], done: int) -> str:
+        if state and not done:
+            self.waiting += self._bytes(ids)
+            return ""
+        out = self.waiting + self._bytes(ids[:done])
+        self.waiting = self._bytes(ids[done:])
+        return out.decode()
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        begin = self.ends[ids]
+        n = self.ends[ids + 1] - begin
+        return self.flat[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
+
+    def _repair(self, ids: np.ndarray) -> str:
         """Bytes that aren't UTF-8: each longest beginning of a code point that fails becomes one U+FFFD."""
-        data, out, state, begun = self.waiting + b"".join([self.tokens[i] for i in ids]), [], 0, 0
+        data, out, state, begun = self.waiting + self._bytes(ids), [], 0, 0
         for k, byte in enumerate(data):
             to = utf8_next(state, byte)
             if to == 8:
@@ -293,11 +393,9 @@ class Utf8Machine:
         return left
 
     def decode(self, ids: np.ndarray) -> str:
-        """All of one text. Tokens that are whole code points need no state."""
-        if self.closed[ids].all():
-            return b"".join([self.tokens[i] for i in ids.tolist()]).decode("utf-8")
+        """All of one text, CHUNK ids at once."""
         self.clear()
-        out = [self.feed(ids[a : a + 4096].tolist()) for a in range(0, len(ids), 4096)]
+        out = [self.feed(ids[a : a + CHUNK]) for a in range(0, len(ids), CHUNK)]
         return "".join(out) + self.finish()
 
 
@@ -311,40 +409,51 @@ def machine(path: str) -> Utf8Machine:
     return Utf8Machine({i: t for t, i in read_ranks(path).items()})
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False) -> DataFrame:
-    """docs with ids_col: binary, the token ids as little-endian unsigned 32-bit integers.
+def _encoded(texts: pa.Array, vocabulary: str, pattern: str) -> pa.Array:
+    import regex
 
-    vocabulary: the path of a rank file, which every executor must have. pattern: what cuts a text into pieces.
-    """
-    kept, schema = with_columns_schema(docs, [ids_col], [(ids_col, T.BinaryType())])
-    if drop_text:
-        schema = T.StructType([f for f in schema.fields if f.name != text_col])
+    ids = transducer(vocabulary).encoded([x or "" for x in texts.to_pylist()], regex.compile(pattern))
+    return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
 
-        cut, t = regex.compile(pattern), transducer(vocabulary)
+def _decoded(ids: pa.Array, vocabulary: str) -> pa.Array:
+    m = machine(vocabulary)
+    return pa.array([m.decode(np.frombuffer(x, dtype="<u4")) if x else "" for x in ids.to_pylist()], pa.string())
+
+
+def _mapped(df: DataFrame, columns: list[tuple[str, T.DataType]], gone: str | None, make) -> DataFrame:
+    """df with the columns that make(batch) gives, a few rows at a time, and without the column `gone`."""
+    kept, schema = with_columns_schema(df, [n for n, _ in columns], columns)
+    if gone:
+        schema = T.StructType([f for f in schema.fields if f.name != gone])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, max(1, batch.num_rows), 512):
-                part = batch.slice(a, 512)
-                ids = pa.array([t.packed(m[0] for m in cut.finditer(x)) if x else b"" for x in part.column(text_col).to_pylist()], pa.binary())
-                yield append(part.drop_columns([text_col]) if drop_text else part, {ids_col: ids})
+            for a in range(0, max(1, batch.num_rows), ROWS):
+                part = batch.slice(a, ROWS)
+                yield append(part.drop_columns([gone]) if gone else part, make(part))
 
     return kept.mapInArrow(run, schema)
 
 
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False) -> DataFrame:
+    """docs with ids_col: binary, the token ids as little-endian unsigned 32-bit integers.
+
+    vocabulary: the path of a rank file, which every executor must have. pattern: what cuts a text into pieces; without groups.
+    """
+    return _mapped(docs, [(ids_col, T.BinaryType())], text_col if drop_text else None, lambda part: {ids_col: _encoded(part.column(text_col), vocabulary, pattern)})
+
+
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "text", drop_ids: bool = False) -> DataFrame:
     """encoded with text_col: the text of the ids. Null ids are as none; an id outside the vocabulary is an error."""
-    kept, schema = with_columns_schema(encoded, [text_col], [(text_col, T.StringType())])
-    if drop_ids:
-        schema = T.StructType([f for f in schema.fields if f.name != ids_col])
+    return _mapped(encoded, [(text_col, T.StringType())], ids_col if drop_ids else None, lambda part: {text_col: _decoded(part.column(ids_col), vocabulary)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(vocabulary)
-        for batch in batches:
-            for a in range(0, max(1, batch.num_rows), 512):
-                part = batch.slice(a, 512)
-                texts = pa.array([m.decode(np.frombuffer(x, dtype="<u4")) if x else "" for x in part.column(ids_col).to_pylist()], pa.string())
-                yield append(part.drop_columns([ids_col]) if drop_ids else part, {text_col: texts})
 
-    return kept.mapInArrow(run, schema)
+def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", back_col: str = "decoded") -> DataFrame:
+    """docs without text_col, with ids_col as `encode` gives it and back_col as `decode` does of it, in one pass."""
+
+    def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        ids = _encoded(part.column(text_col), vocabulary, pattern)
+        return {ids_col: ids, back_col: _decoded(ids, vocabulary)}
+
+    return _mapped(docs, [(ids_col, T.BinaryType()), (back_col, T.StringType())], text_col, make)

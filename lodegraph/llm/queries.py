@@ -52,9 +52,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, path, pattern, drop_text=True).select("doc_id", "ids", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
-    return byte_bpe.decode(ids, path, drop_ids=True).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    out = byte_bpe.encode_and_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    n_tokens = F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens")
+    return out.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against plain versions, on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 import re
 from functools import lru_cache
 
@@ -188,23 +189,51 @@ def test_bpe_equals_the_library_and_decodes(docs, none, rows):
 def test_bpe_of_any_text(text):
     import regex
 
-    got = np.frombuffer(byte_bpe.transducer(PATH).packed(regex.findall(PATTERN, text)), "<u4")
-    assert got.tolist() == reference().encode_ordinary(text)
-    assert byte_bpe.machine(PATH).decode(got) == text
+    got = byte_bpe.transducer(PATH).encoded([text, "", text], regex.compile(PATTERN))
+    assert [x.tolist() for x in got] == [reference().encode_ordinary(text), [], reference().encode_ordinary(text)]
+    assert byte_bpe.machine(PATH).decode(got[0]) == text
 
 
 def test_bpe_of_long_pieces_and_small_tables():
-    small = byte_bpe.Transducer(byte_bpe.read_ranks(PATH), max_fits=50, max_pieces=20)
-    for piece in ("a" * 3000, "é" * 900, "ab" * 700 + "the", "=" * 2000, "aA" * 600, "supercalifragilistic" * 60):
-        assert small.ids_of(piece.encode()) == reference()._core_bpe.encode_single_piece(piece.encode())
+    small = byte_bpe.Transducer(byte_bpe.read_ranks(PATH), max_moves=50, max_fits=20)
+    rng = random.Random(3)
+    for piece in ("a" * 3000, "é" * 900, "ab" * 700 + "the", "=" * 2000, "aA" * 600, "supercalifragilistic" * 60, "".join(rng.choices("etaoinsh", k=4000))):
+        for cut in (len(piece), 200, 7):
+            parts = [piece[i : i + cut] for i in range(0, len(piece), cut)]
+            assert small.run(parts)[0].tolist() == [x for p in parts for x in reference()._core_bpe.encode_single_piece(p.encode())]
+
+
+def test_bpe_of_a_piece_and_a_text_of_a_million_characters():
+    import regex
+
+    rng = random.Random(4)
+    piece = "".join(rng.choices(["the", "ing", "q", "zx", "ation", "é"], k=200_000))
+    text = "".join(rng.choices(["word ", "über ", "12 ", "\n", "it's "], k=300_000))
+    t = byte_bpe.transducer(PATH)
+    got = t.encoded([text, piece, "short"], regex.compile(PATTERN))
+    assert got[0].tolist() == reference().encode_ordinary(text) and got[2].tolist() == reference().encode_ordinary("short")
+    # a piece's encoding is the library's wherever one is cut at a border of its tokens
+    ends = np.cumsum([len(reference().decode_single_token_bytes(i)) for i in got[1].tolist()])
+    whole, begin = piece.encode(), 0
+    for end in ends[999::1000].tolist():
+        k = np.searchsorted(ends, begin, "right") if begin else 0
+        assert got[1][k : np.searchsorted(ends, end, "right")].tolist() == reference()._core_bpe.encode_single_piece(whole[begin:end])
+        begin = end
+    assert byte_bpe.machine(PATH).decode(got[0]) == text and byte_bpe.machine(PATH).decode(got[1]) == piece
+
+
+def test_encoding_and_decoding_in_one_pass(docs, none, rows):
+    both = byte_bpe.encode_and_decode(docs, PATH, PATTERN).collect()
+    assert fx.multiset((r.doc_id, r.decoded, tuple(np.frombuffer(r.ids, "<u4"))) for r in both) == fx.multiset((i, t or "", tuple(reference().encode_ordinary(t or ""))) for i, t, *_ in rows)
+    assert byte_bpe.encode_and_decode(none, PATH, PATTERN).count() == 0
 
 
 def test_streaming_decode_of_bytes_that_are_no_text():
     m = byte_bpe.Utf8Machine({i: bytes([i]) for i in range(256)})
     for data in (b"a\xc3", b"\xe2\x82\xac", b"\xff\xfea", b"\xe2\x82a", b"\xf0\x9f\x98\x80\xed\xa0\x80", b"\xc3\xc3\xa9"):
         m.clear()
-        out = "".join(m.feed([b]) for b in data) + m.finish()
-        assert out == data.decode("utf-8", "replace")
+        out = "".join(m.feed(np.array([b])) for b in data) + m.finish()
+        assert out == m.decode(np.frombuffer(data, np.uint8).astype(int)) == data.decode("utf-8", "replace")
 
 
 def test_decontamination(spark, docs, none):
