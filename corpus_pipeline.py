@@ -44,9 +44,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded_sha256, the digest of what they decode to."""
     path, pattern = vocabulary()
-    encoded = byte_bpe.encode(docs.select(*COLUMNS), path, pattern, drop_text=True)
-    decoded = byte_bpe.decode(encoded, path)
-    return decoded.select("doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode_and_decode(docs.select(*COLUMNS), path, pattern)
+    return encoded.select("doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("decontamination", leaks), ("encoding", tokens)]
