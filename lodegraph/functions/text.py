@@ -13,6 +13,12 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with"]
 
 
+def bound(values: list[Column], body) -> Column:
+    """body(values) with each value computed once a row, also where body's own functions use it for every element."""
+    held = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.element_at(F.transform(held, lambda s: body(*[s[f"v{i}"] for i in range(len(values))])), 1)
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -40,9 +46,11 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     """F1 of the normalized tokens as multisets; two empty answers agree."""
-    p, g = words(normalize_answer(prediction)), words(normalize_answer(gold))
-    same = multiset_overlap(p, g)
-    return F.when((F.size(p) == 0) & (F.size(g) == 0), 1.0).when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
+
+    def f1(p: Column, g: Column) -> Column:
+        return bound([multiset_overlap(p, g)], lambda same: F.when((F.size(p) == 0) & (F.size(g) == 0), 1.0).when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g))))
+
+    return bound([words(normalize_answer(prediction)), words(normalize_answer(gold))], f1)
 
 
 def supporting_recall(gold: Column, retrieved: Column) -> Column:

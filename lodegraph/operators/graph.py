@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.durable import kept
+
 
 def incident(edges: DataFrame, loops_twice: bool = False) -> DataFrame:
     """(node_id, src, rel, dst, other): each edge at both of its ends, a loop once, or twice in the store's way of counting."""
@@ -34,18 +36,23 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, nodes: DataFrame |
 
     Seeds and exclude don't count; a type is asked of the end only. Ordered by support, then hops, then id.
     """
-    step = incident(edges).select("node_id", "other").distinct()
+    step = incident(edges).select("node_id", "other")
+    ends = None if node_type is None else nodes.where(F.col("type") == node_type).select("node_id")
     frontier = seeds.select(F.col("node_id").alias("seed"), "node_id").distinct()
-    found = None
+    levels_ = []
     for hop in range(1, hops + 1):
-        frontier = frontier.join(step, "node_id").select("seed", F.col("other").alias("node_id")).distinct()
-        level = frontier.withColumn("hop", F.lit(hop))
-        found = level if found is None else found.unionByName(level)
+        if hop == hops and ends is not None:  # nothing is reached from the last hop's ends, so others needn't be
+            step = step.join(ends.withColumnRenamed("node_id", "other"), "other", "left_semi")
+        frontier = frontier.join(step, "node_id").select("seed", F.col("other").alias("node_id"))
+        if hop < hops:  # the next hop begins here, and the count reads it too
+            frontier = kept(frontier.distinct())
+        levels_.append(frontier.withColumn("hop", F.lit(hop)))
+    found = reduce(DataFrame.unionByName, levels_).groupBy("node_id", "seed").agg(F.min("hop").alias("hop"))
     gone = seeds.select("node_id") if exclude is None else seeds.select("node_id").union(exclude.select("node_id"))
     found = found.join(gone, "node_id", "left_anti")
-    if node_type is not None:
-        found = found.join(nodes.where(F.col("type") == node_type).select("node_id"), "node_id", "left_semi")
-    ranked = found.groupBy("node_id").agg(F.countDistinct("seed").alias("support"), F.min("hop").cast("long").alias("min_hops"))
+    if ends is not None:
+        found = found.join(ends, "node_id", "left_semi")
+    ranked = found.groupBy("node_id").agg(F.count(F.lit(1)).alias("support"), F.min("hop").cast("long").alias("min_hops"))
     return ranked.orderBy(F.desc("support"), "min_hops", "node_id").limit(limit)
 
 
@@ -59,12 +66,12 @@ def shared_entities(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, entity
     return ends.groupBy("node_id").agg(F.countDistinct("entity").alias("shared")).orderBy(F.desc("shared"), "node_id").limit(limit)
 
 
-def walk(edges: DataFrame, starts: DataFrame, max_hops: int = 3, relations: list[str] | None = None) -> DataFrame:
+def walk(edges: DataFrame, starts: DataFrame, max_hops: int = 3, relations: list[str] | None = None, node_cap: int | None = None) -> DataFrame:
     """(start, node_id, hops, rels, path): simple paths from starts (node_id), of each end and length the least by path.
 
-    The least path of every end at every length goes on; a path that isn't the least of
-    its end is extended too where the least one would meet itself, so paths are kept by end
-    and set of nodes. For reachability alone use `levels`.
+    Of paths of one length with the same nodes and the same end, only the least goes on: whatever follows, follows all of
+    them. What is left are sets of nodes, which grow with the degree to the power of max_hops at hubs; with node_cap, a
+    walk that keeps more paths of one length raises an error instead of going on. For reachability alone use `levels`.
     """
     step = incident(edges)
     if relations is not None:
@@ -74,10 +81,14 @@ def walk(edges: DataFrame, starts: DataFrame, max_hops: int = 3, relations: list
     found = []
     for hop in range(1, max_hops + 1):
         grown = paths.join(step, "node_id").where(~F.array_contains("path", F.col("other")))
-        paths = grown.select("start", F.col("other").alias("node_id"), F.concat("path", F.array("other")).alias("path"), F.concat("rels", F.array("rel")).alias("rels"))
+        grown = grown.select("start", F.col("other").alias("node_id"), F.concat("path", F.array("other")).alias("path"), F.concat("rels", F.array("rel")).alias("rels"))
+        least = F.min(F.struct(F.array_join("path", ">").alias("a"), F.array_join("rels", ">").alias("b"), "path", "rels")).alias("p")
+        paths = kept(grown.groupBy("start", "node_id", F.array_sort("path").alias("_nodes")).agg(least).select("start", "node_id", "p.path", "p.rels"))
+        if node_cap is not None and paths.count() > node_cap:
+            raise ValueError(f"more than {node_cap} paths of {hop} steps")
         found.append(paths.withColumn("hops", F.lit(hop).cast("long")))
-    w = Window.partitionBy("start", "node_id", "hops").orderBy(F.array_join("path", ">"), F.array_join("rels", ">"))
-    return reduce(DataFrame.unionByName, found).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    least = F.min(F.struct(F.array_join("path", ">").alias("a"), F.array_join("rels", ">").alias("b"), "path", "rels")).alias("p")
+    return reduce(DataFrame.unionByName, found).groupBy("start", "node_id", "hops").agg(least).select("start", "node_id", "hops", "p.rels", "p.path")
 
 
 def chain(edges: DataFrame, seeds: DataFrame, relations: list[str], keep_seeds: bool = False) -> DataFrame:
@@ -91,8 +102,8 @@ def chain(edges: DataFrame, seeds: DataFrame, relations: list[str], keep_seeds:
 
 
 def oriented(edges: DataFrame) -> DataFrame:
-    """(node_id, rel, other): every distinct edge both ways, the way back as ~rel."""
-    return edges.select(F.col("src").alias("node_id"), "rel", F.col("dst").alias("other")).union(edges.select("dst", F.concat(F.lit("~"), "rel"), "src")).distinct()
+    """(node_id, rel, other): every edge both ways, the way back as ~rel."""
+    return edges.select(F.col("src").alias("node_id"), "rel", F.col("dst").alias("other")).union(edges.select("dst", F.concat(F.lit("~"), "rel"), "src"))
 
 
 def chains(edges: DataFrame, seeds: DataFrame, length: int = 3, limit: int = 40) -> DataFrame:
@@ -101,20 +112,21 @@ def chains(edges: DataFrame, seeds: DataFrame, length: int = 3, limit: int = 40)
     frontier = seeds.select("node_id", F.lit("").alias("chain")).distinct()
     for i in range(length):
         label = F.col("rel") if i == 0 else F.concat_ws(">", "chain", "rel")
-        frontier = frontier.join(step, "node_id").select(F.col("other").alias("node_id"), label.alias("chain")).distinct()
+        frontier = kept(frontier.join(step, "node_id").select(F.col("other").alias("node_id"), label.alias("chain")).distinct())
     return frontier.groupBy("chain").agg(F.count(F.lit(1)).alias("ends")).orderBy(F.desc("ends"), "chain").limit(limit)
 
 
 def levels(edges: DataFrame, starts: DataFrame, depth: int, revisit: bool = False) -> DataFrame:
     """(depth, node_id): the nodes at each depth; unless revisit, a node only at its first."""
-    step = incident(edges).select("node_id", "other").distinct()
+    step = incident(edges).select("node_id", "other")
     seen = frontier = starts.select("node_id").distinct()
     out = []
     for d in range(1, depth + 1):
-        frontier = frontier.join(step, "node_id").select(F.col("other").alias("node_id")).distinct()
+        frontier = frontier.join(step, "node_id").select(F.col("other").alias("node_id"))
         if not revisit:
             frontier = frontier.join(seen, "node_id", "left_anti")
-            seen = seen.union(frontier)
+        frontier = kept(frontier.distinct())
+        seen = seen.union(frontier)
         out.append(frontier.select(F.lit(d).cast("long").alias("depth"), "node_id"))
     return reduce(DataFrame.unionByName, out)
 
@@ -124,32 +136,35 @@ def first_paths(edges: DataFrame, starts: DataFrame, attribute_relations: list[s
 
     An intermediate node is none that only holds attributes; e2 isn't the start. fanout caps the edges
     of a node by the same order and changes answers, so it is off unless asked for.
+
+    No path is enumerated: of each e2 the least last step is enough, and of each e1 the two least
+    ways on that differ in e2, as one of them doesn't lead back to the start.
     """
-    step = oriented(edges)
+    step = oriented(edges).distinct() if fanout is not None else oriented(edges)
     if fanout is not None:
         step = step.withColumn("_k", F.row_number().over(Window.partitionBy("node_id").orderBy("rel", "other"))).where(F.col("_k") <= fanout).drop("_k")
     values = edges.where(F.col("rel").isin(attribute_relations)).select(F.col("dst").alias("node_id")).join(edges.select(F.col("src").alias("node_id")), "node_id", "left_anti").distinct()
-    paths = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("e0"))
-    for i in (1, 2, 3):
-        named = step.select(F.col("node_id").alias(f"e{i - 1}"), F.col("rel").alias(f"r{i}"), F.col("other").alias(f"e{i}"))
-        paths = paths.join(named, f"e{i - 1}")
-        if i < 3:
-            paths = paths.join(values.withColumnRenamed("node_id", f"e{i}"), f"e{i}", "left_anti")
-        if i == 2:
-            paths = paths.where("e2 <> start")
+    through = step.join(values.withColumnRenamed("node_id", "other"), "other", "left_anti")
+    last = step.groupBy(F.col("node_id").alias("e2")).agg(F.min(F.struct(F.col("rel").alias("r3"), F.col("other").alias("e3"))).alias("z"))
+    on = through.select(F.col("node_id").alias("e1"), F.col("rel").alias("r2"), F.col("other").alias("e2")).join(last, "e2")
+    on = kept(on.groupBy("e1", "e2").agg(F.min(F.struct("r2", "e2", "z.r3", "z.e3")).alias("way")))
+    first = on.groupBy("e1").agg(F.min("way").alias("a"))
+    second = on.join(first, "e1").where("e2 <> a.e2").groupBy("e1").agg(F.min("way").alias("b"))
+    begun = through.select(F.col("node_id").alias("start"), F.col("rel").alias("r1"), F.col("other").alias("e1")).join(starts.select(F.col("node_id").alias("start")).distinct(), "start", "left_semi")
+    ways = begun.join(first, "e1").join(second, "e1", "left").withColumn("way", F.when(F.col("a.e2") != F.col("start"), F.col("a")).otherwise(F.col("b"))).where("way is not null")
     order = ["r1", "e1", "r2", "e2", "r3", "e3"]
-    least = paths.groupBy("start").agg(F.min(F.struct(*order)).alias("p"))
+    least = ways.groupBy("start").agg(F.min(F.struct("r1", "e1", "way.r2", "way.e2", "way.r3", "way.e3")).alias("p"))
     return least.select("start", *[F.col(f"p.{c}") for c in order])
 
 
 def path_lengths(edges: DataFrame, pairs: DataFrame, most: int = 3) -> DataFrame:
     """(a, b, steps) of pairs (a, b): the length of the shortest path, null if it is longer than most. Frontiers from each distinct a."""
-    step = incident(edges).select("node_id", "other").distinct()
+    step = incident(edges).select("node_id", "other")
     frontier = pairs.select("a", F.col("a").alias("node_id")).distinct()
     reached = frontier.withColumn("steps", F.lit(0))
     seen = frontier
     for d in range(1, most + 1):
-        frontier = frontier.join(step, "node_id").select("a", F.col("other").alias("node_id")).distinct().join(seen, ["a", "node_id"], "left_anti")
+        frontier = kept(frontier.join(step, "node_id").select("a", F.col("other").alias("node_id")).join(seen, ["a", "node_id"], "left_anti").distinct())
         seen = seen.union(frontier)
         reached = reached.unionByName(frontier.withColumn("steps", F.lit(d)))
     return pairs.join(reached.withColumnRenamed("node_id", "b"), ["a", "b"], "left").select("a", "b", F.col("steps").cast("long").alias("steps"))

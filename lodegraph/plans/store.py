@@ -9,15 +9,11 @@ Spark can write to will do.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegraph-")).rstrip("/")
+from lodegraph.operators.durable import shared_folder  # noqa: F401
 
 
 class WorldModelStore:

@@ -24,13 +24,15 @@ def pipe_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.pipe_triples(lines, inverse=True)
 
 
-@query("""SELECT event_id AS question_id, event_type AS category, 'what is ' || value AS question FROM events""")
+#: The kinds of events that questions may be about; any other is an error.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"""SELECT event_id AS question_id, CASE WHEN event_type IN ({", ".join(f"'{x}'" for x in EVENT_TYPES)}) THEN event_type ELSE error('unknown category') END AS category, 'what is ' || value AS question FROM events""")
 def question_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions by fallback fields, categories checked."""
     raw = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.concat(F.lit("what is "), F.col("value").cast("string")).alias("query"))
-    known = ["click", "view", "purchase", "error", "signup", "login", "logout", "scroll", "search"]
-    found = [r[0] for r in raw.select("type").distinct().limit(100).collect()]
-    return readers.questions(raw, sorted({*known, *found})).withColumn("question_id", F.col("question_id").cast("long"))
+    return readers.questions(raw, EVENT_TYPES).withColumn("question_id", F.col("question_id").cast("long"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT src, rel, dst FROM edges WHERE rel <> 'contains' ORDER BY 1, 2, 3")

@@ -47,11 +47,22 @@ def link_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.col("pos").cast("long").alias("pos"), F.col("width").cast("long").alias("width"), "node_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE i AS (SELECT item_id, string_split({KEY.format('text')}, ' ') AS w FROM benchmark),
+n AS (SELECT 'b' || item_id AS node_id, array_to_string(w[1:k], ' ') AS alias, item_id * 2 + 4 - k AS ord FROM i, (VALUES (4), (3)) t(k)),
+a AS (SELECT alias, arg_min(node_id, ord) AS node_id FROM n WHERE length(alias) >= 3 GROUP BY 1),
+d AS (SELECT doc_id, string_split({KEY.format('text')}, ' ') AS w FROM documents),
+g AS (SELECT doc_id, i AS pos, k AS width, array_to_string(w[i + 1:i + k], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d), (VALUES (1), (2), (3), (4)) t(k) WHERE i + k <= len(w)),
+c AS (SELECT doc_id, pos, width, node_id, row_number() OVER (PARTITION BY doc_id ORDER BY width DESC, pos) AS k FROM g JOIN a ON gram = alias),
+taken AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::STRUCT(pos BIGINT, width BIGINT, node_id VARCHAR)[] AS held FROM c
+  UNION ALL SELECT t.doc_id, t.k + 1, CASE WHEN len(list_filter(held, lambda h: c.pos < h.pos + h.width AND h.pos < c.pos + c.width)) = 0 THEN list_append(held, {{'pos': c.pos, 'width': c.width, 'node_id': c.node_id}}) ELSE held END FROM taken t JOIN c ON c.doc_id = t.doc_id AND c.k = t.k + 1),
+whole AS (SELECT doc_id, arg_max(held, k) AS held FROM taken GROUP BY 1)
+SELECT doc_id, h.pos AS pos, h.width AS width, h.node_id AS node_id FROM (SELECT doc_id, unnest(held) AS h FROM whole)""")
 def link_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: part names in whole documents, longest first and without overlaps."""
-    aliases = v.alias_index(part_names(spark, sf_dir))
-    return v.link(table(spark, sf_dir, "documents"), aliases, "doc_id", "text")
+    """V1: benchmark items, named by their first four or three words, in whole documents, longest first and without overlaps."""
+    first = lambda k: F.array_join(F.slice(F.split(v.key(F.col("text")), " "), 1, k), " ")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("node_id"), F.array(first(4), first(3)).alias("names"), F.col("item_id").alias("ord"))
+    out = v.link(table(spark, sf_dir, "documents"), v.alias_index(items), "doc_id", "text")
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("width").cast("long").alias("width"), "node_id")
 
 
 CLAIMS_SQL = """cl AS (SELECT o_orderkey AS claim_id, 'c' || o_custkey AS subject, 'IN_NATION' AS rel, o_orderkey % 25 AS said FROM orders),
