@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (local tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Unset, a temporary one in local sessions, as in tests; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="lodegraph-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -37,31 +40,60 @@ def materialise(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     Cuts the lineage, survives lost executors, is compressed, and has exact size
-    statistics for later joins. `path_of` gives the place, `discard` removes it.
+    statistics for later joins. `discard` removes it; what is left goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodegraph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodegraph_path = path
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove what `materialise` wrote for df; for intermediates that nothing reads any more."""
-    path = getattr(df, "_lodegraph_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def lean_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with Arrow batches of at most so many rows in its session, unless the session asks for a size of its own: texts are long, and each batch is held on both sides."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(rows))
-    return df
+def discard(*dfs: DataFrame) -> None:
+    """Remove what `materialise` wrote for dfs; for intermediates that nothing reads any more."""
+    for df in dfs:
+        path = getattr(df, "_lodegraph_path", None)
+        if path:
+            place, files = _place(df.sparkSession, path)
+            files.delete(place, True)
+
+
+def fresh(df: DataFrame, prefix: str = "_") -> str:
+    """A beginning that no column's name of df has, for columns of one's own."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+#: A key of more than one in SHARE rows is hot, so at most SHARE keys are; a hot key's rows are dealt to SALTS tasks.
+SHARE, SALTS = 1000, 64
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined on keys with groups, which has a row for each key and in column n the number of its rows. Hot keys are split.
+
+    groups is read three times, so it should be materialised.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * SHARE > total
+    hot = groups.where(is_hot).select(*keys, F.lit(SALTS).alias("_salts"))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce("_salts", F.lit(1))).cast("int").alias("_salt")
+    dealt = rows.join(F.broadcast(hot), keys, "left").select(*rows.columns, salt)  # fewer than SHARE rows
+    copies = groups.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, also if body's own functions use it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def row_key(*cols: str):
@@ -76,7 +108,7 @@ def order_key(col: str):
 
 def with_columns_schema(df: DataFrame, drop: list[str], add: list[tuple[str, T.DataType]]) -> tuple[DataFrame, T.StructType]:
     """df without the columns that the operator is about to write, and the schema with them appended."""
-    kept = lean_batches(df).select(*[F.col(f"`{c}`") for c in df.columns if c not in drop])
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in drop])
     return kept, T.StructType([*kept.schema.fields, *[T.StructField(n, t) for n, t in add]])
 
 

@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import lean_batches
-
 #: One edit is allowed for each ERRORS characters.
 ERRORS = 12
 #: Characters of items that one pass over the documents looks for.
@@ -137,7 +135,7 @@ def _search(block: list[tuple[int | None, str]], errors: int):
 
 def decontaminate(docs: DataFrame, items: DataFrame, errors: int = ERRORS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_errors): which items each document contains, with the least number of edits."""
-    texts = lean_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("length(text) > 0")
     chars = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = -(-chars // BLOCK) or 1
@@ -155,7 +153,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, errors: int = ERRORS, id_co
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("length(text) > 0")
     chars = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = -(-chars // BLOCK) or 1
-    out = lean_batches(docs)
+    out = docs
     for i in range(parts):
         block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
         own = [(r.item_id, t) for r in block.toLocalIterator() if (t := normal(r.text))]
