@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegraph.llm.byte_bpe import read_ranks
-from lodegraph.llm.common import lean_batches
+from lodegraph.llm.common import materialise
 
 #: Lengths to a block of the suffix sums.
-BLOCK = 4096
+BLOCK = 512
 
 
 @lru_cache(maxsize=2)
@@ -45,7 +45,7 @@ def lengths(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
             counts = [len(encoding.encode_ordinary(x)) if x else 0 for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["n_tokens"])
 
-    return lean_batches(docs).select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, T.StructType([T.StructField("n_tokens", T.LongType())]))
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, T.StructType([T.StructField("n_tokens", T.LongType())]))
 
 
 def histogram(lens: DataFrame) -> DataFrame:
@@ -94,4 +94,5 @@ def at_limits(table: DataFrame, wanted: list[int]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    return limits(histogram(lengths(docs, vocabulary, pattern, text_col)))
+    """What `limits` says of docs. The texts are encoded once; the histogram, a row for each length, is kept and read twice."""
+    return limits(materialise(histogram(lengths(docs, vocabulary, pattern, text_col))))
