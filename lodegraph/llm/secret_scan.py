@@ -1,10 +1,12 @@
 r"""Secret scans: fixed patterns, and candidate strings of high local entropy. DataFrame functions only.
 
 A pattern's places come from its matches and the pieces between them, whose
-lengths add up to code points. The entropy scan takes strings of the characters of
-keys that hold a digit; each belongs to a class (hexadecimal, lower-case letters
-and digits, or the base64 alphabet) with a window width and a threshold in bits. The window slides by
-one character at a time: two counts change, and the sum of c*log2(c) with them. A
+lengths add up to code points. The entropy scan takes all strings of 20 characters of
+keys or more; each belongs to a class (hexadecimal, lower-case letters with digits, letters of one case,
+no digits, or the whole base64 alphabet) with a window width and a threshold in bits; words run
+together need a higher one than keys do. The window slides by
+one character at a time: two counts change, and the sum of c*log2(c) with them. The counts of
+all characters lie in a few long integers, PACKED to one, so a change is one addition. A
 string whose densest window reaches its class's threshold is a finding unless the
 allow-list knows it: placeholders, UUIDs, hashes of the empty input, alphabets,
 numbers, and, where the text before it shows one, parts of addresses and paths.
@@ -17,18 +19,29 @@ replaced; an empty table gives an empty one.
 from __future__ import annotations
 
 from functools import reduce
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.quality_rules import let
+from lodegraph.llm.common import fresh, let
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, pattern, and the least length of the match or, for assignments, of the value.
 BASE = [("assign", ASSIGN, 6), ("access", r"AKIA[A-Z0-9]{16,}", 20), ("hex", r"[0-9a-f]{24,}", 24)]
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 #: class, what its strings look like, window width, bits that make a finding.
-CLASSES = [("hex", "^[0-9a-fA-F]+$", 20, 2.9), ("lower", "^[0-9a-z]+$", 20, 3.6), ("base64", "", 20, 3.8)]
+CLASSES = [
+    ("hex", "^[0-9a-fA-F]+$", 16, 2.9),
+    ("letters", "^(?:[a-z]+|[A-Z]+)$", 24, 3.85),
+    ("words", "^[A-Za-z+/_=-]+$", 24, 4.2),
+    ("lower", "^[0-9a-z]+$", 20, 3.6),
+    ("base64", "", 20, 3.8),
+]
+#: Counts to a long integer and bits of each; the first character's code. Windows are shorter than 2**BITS.
+PACKED, BITS, FIRST, LAST = 12, 5, ord("+"), ord("z")
+#: c*log2(c) of every count.
+WEIGHTS = [0.0, *[c * log2(c) for c in range(1, 2**BITS)]]
 #: Strings that are no secrets. A flag holds for its own alternative only.
 ALLOWED = "|".join([
     "(?i:example)", "(?i:sample)", "(?i:dummy)", "(?i:changeme)", "(?i:placeholder)", "(?i:your[_-])", "(?i:xxxx)",
@@ -70,27 +83,33 @@ def _places(text: Column, pattern: str, kind: str, keep) -> Column:
 
 
 def densest(string: Column, width: int) -> Column:
-    """The largest Shannon entropy, in bits, of a window of `width` characters; of the whole string if it is shorter."""
-    weight = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
-    w = F.lit(width)
+    """The largest Shannon entropy, in bits, of a window of `width` characters of keys; of the whole string if it is shorter."""
+    weights, w = F.array(*[F.lit(x) for x in WEIGHTS]), F.lit(width)
+    # a character's place: which long integer, and how far its count is shifted
+    place = lambda c: let(F.ascii(c) - FIRST, lambda x: F.struct(F.floor(x / PACKED).cast("int").alias("k"), (x % PACKED * BITS).alias("s")))
+    count = lambda n, x: F.call_function("shiftrightunsigned", F.get(n, x["k"]), x["s"]).bitwiseAND(2**BITS - 1).cast("int")
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["s"])
+    weight = lambda c: F.element_at(weights, c + 1)
+    entropy = lambda total, held: F.log2(held) - total / held
 
     def slide(codes: Column) -> Column:
-        zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        empty = F.array_repeat(F.lit(0).cast("long"), (LAST - FIRST) // PACKED + 1)
+        zero = F.struct(empty.alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
         def step(a: Column, i: Column) -> Column:
-            new = F.element_at(codes, i)
-            old = F.when(i > w, F.element_at(codes, F.greatest(i - w, F.lit(1))))
-            grown = F.element_at(a["n"], new + 1)
-            shrunk = F.element_at(a["n"], F.coalesce(old, F.lit(0)) + 1)
-            total = F.when(old.isNull(), a["sum"] + weight(grown + 1) - weight(grown)).when(old == new, a["sum"]).otherwise(a["sum"] + weight(grown + 1) - weight(grown) + weight(shrunk - 1) - weight(shrunk))
-            counts = F.transform(a["n"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-            held = F.least(i, w).cast("double")
-            full = (i >= w) | (i == F.size(codes))
-            return F.struct(counts.alias("n"), total.alias("sum"), F.when(full, F.greatest(a["best"], F.log2(held) - total / held)).otherwise(a["best"]).alias("best"))
+            new, old = F.element_at(codes, i), F.get(codes, i - w - 1)
+            grown, shrunk = count(a["n"], new), count(a["n"], old)
+            added, taken = weight(grown + 1) - weight(grown), weight(shrunk - 1) - weight(shrunk)
+            total = F.when(i <= w, a["sum"] + added).when(old == new, a["sum"]).otherwise(a["sum"] + added + taken)
+            counts = F.transform(a["n"], lambda c, k: c + F.when(k == new["k"], one(new)).otherwise(0) - F.when((i > w) & (k == old["k"]), one(old)).otherwise(0))
+            # the window before this step counts if it was full
+            best = F.when(i > w, F.greatest(a["best"], entropy(a["sum"], w.cast("double")))).otherwise(a["best"])
+            return F.struct(counts.alias("n"), total.alias("sum"), best.alias("best"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda a: a["best"])
+        last = lambda a: F.greatest(a["best"], entropy(a["sum"], F.least(F.size(codes), w).cast("double")))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, last)
 
-    return let(F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.ascii(c)), slide)
+    return let(F.transform(F.filter(F.split(string, ""), lambda c: c != ""), place), slide)
 
 
 def _in_place(match: Column, before: Column) -> Column:
@@ -116,11 +135,12 @@ def _written(spans: Column) -> Column:
 def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with base_spans and spans, arrays of (s, k, e): code points from s to before e, k the place in KINDS."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base_spans", "spans", "_entropy")])
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base_spans", "spans")])
     keep = {"assign": lambda m, before: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6}
     base = [_places(text, pattern, kind, keep.get(kind, lambda m, before, n=least: F.length(m) >= n)) for kind, pattern, least in BASE]
-    found = kept.withColumns({"base_spans": F.sort_array(F.concat(*base)), "_entropy": _places(text, CANDIDATE, "entropy", _telling)})
-    return found.withColumn("spans", F.sort_array(F.concat("base_spans", "_entropy"))).drop("_entropy")
+    own = fresh(kept, "_entropy")
+    found = kept.withColumns({"base_spans": F.sort_array(F.concat(*base)), own: _places(text, CANDIDATE, "entropy", _telling)})
+    return found.withColumn("spans", F.sort_array(F.concat("base_spans", own))).drop(own)
 
 
 def digests(scanned: DataFrame) -> DataFrame:
