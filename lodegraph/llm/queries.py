@@ -46,7 +46,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = quality_rules.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
