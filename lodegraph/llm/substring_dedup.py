@@ -13,7 +13,10 @@ that only what can repeat travels.
 
 Before anything is sent, a map task settles what it can: of equal runs or windows
 that it sees, only those of its smallest id are sent, the others are removed
-already. So a passage in a third of all documents is a row for each batch. Marks
+already. Runs of one anchor that differ, as of a passage in documents that go on differently,
+go to step 3 at once where a task sees more than FEW of them; two of
+different documents are sent for all, so that other tasks' runs of the anchor
+learn of them. So a passage in a third of all documents is a row or two for each batch. Marks
 meet their texts in one join; maximal intervals are their union.
 
 Defined cases: a null text has no words; a null id comes after all others; two rows
@@ -33,11 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegraph.llm import rolling
-from lodegraph.llm.common import append, materialise, order_key, row_key, with_columns_schema
+from lodegraph.llm.common import append, discard, fresh, materialise, order_key, row_key, with_columns_schema
 
 WINDOW, GRAM = 50, 16
-#: known: an earlier document in the same map task has the same; such rows lie anywhere, not with their anchor or hash.
-RUNS = "anchor long, known boolean, span long, ord long, rk long, s int, n int"
+#: state: ASK by anchor; KNOWN, an earlier document in the same map task has the same; DIFFER, its windows are counted. Rows that don't ask lie anywhere, not with their anchor.
+ASK, KNOWN, DIFFER = 0, 1, 2
+RUNS = "anchor long, state int, span long, ord long, rk long, s int, n int"
+#: Runs of an anchor that a map task sends for others to see, if they differ.
+FEW = 8
+#: known: an earlier document in the same map task has the window; such rows lie anywhere, not with their hash.
 HITS = "h1 long, h2 long, known boolean, ord long, rk long, pos array<int>"
 #: Rows whose texts a map task holds at once.
 BATCH = 2048
@@ -74,6 +81,23 @@ def _least(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _states(anchor: np.ndarray, span: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What becomes of each run: KNOWN, DIFFER or ASK."""
+    state = np.where(ids > _least([anchor, span], ids), KNOWN, ASK)
+    left = np.flatnonzero(state == ASK)
+    order = left[np.lexsort([ids[left], anchor[left]])]
+    if not len(order):
+        return state
+    new = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+    size = np.diff(np.append(new, len(order)))
+    # runs that are left have the same words only within one document, so a first and a last of different ids differ
+    many = (size > FEW) & (ids[order[new]] != ids[order[new + size - 1]])
+    inner = np.repeat(many, size)
+    inner[new] = inner[new + size - 1] = False
+    state[order[inner]] = DIFFER
+    return state
+
+
 def _send_runs(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,10 +108,10 @@ def _send_runs(window: int, gram: int):
                     doc, *rest = _runs(texts, window, gram)
                     parts.append((doc + begin, *rest))
                 doc, anchor, span, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                known = ids[doc] > _least([anchor, span], ids[doc])
-                anchor = np.where(known, anchor ^ keys[doc], anchor)
-                columns = [pa.array(anchor), pa.array(known), pa.array(span), pa.array(ids[doc]), pa.array(keys[doc]), pa.array(s, pa.int32()), pa.array(n, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "known", "span", "ord", "rk", "s", "n"])
+                state = _states(anchor, span, ids[doc])
+                anchor = np.where(state == ASK, anchor, anchor ^ keys[doc])
+                columns = [pa.array(anchor), pa.array(state, pa.int32()), pa.array(span), pa.array(ids[doc]), pa.array(keys[doc]), pa.array(s, pa.int32()), pa.array(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "state", "span", "ord", "rk", "s", "n"])
 
     return run
 
@@ -124,17 +148,20 @@ def _send_windows(window: int):
 
 
 def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rk, s, n): in the row of key rk, n windows from s on, each of which an earlier document has too."""
+    """(rk, marks): in the row of key rk, for each (s, n) of marks n windows from s on, each of which an earlier document has too."""
     texts = docs.select(order_key(id_col).alias("ord"), row_key(id_col, text_col).alias("rk"), F.col(f"`{text_col}`").alias("text"))
     runs = texts.where("text is not null").mapInArrow(_send_runs(window, gram), RUNS)
-    by_anchor = Window.partitionBy("anchor", "known")
+    by_anchor = Window.partitionBy("anchor", "state")
     judged = runs.select("*", F.min("ord").over(by_anchor).alias("lo"), F.max("ord").over(by_anchor).alias("hi"), (F.min("span").over(by_anchor) == F.max("span").over(by_anchor)).alias("same"))
-    found = materialise(judged.where("known or lo < hi").select("rk", "s", "n", (F.col("known") | F.col("same")).alias("sure"), (F.col("known") | (F.col("ord") > F.col("lo"))).alias("later")))
+    known = F.col("state") == KNOWN
+    found = materialise(judged.where(f"state <> {ASK} or lo < hi").select("rk", "s", "n", (known | (F.col("state") == ASK) & F.col("same")).alias("sure"), (known | (F.col("ord") > F.col("lo"))).alias("later")))
     whole = found.where("sure and later").select("rk", "s", "n")
     asked = found.where("not sure").groupBy("rk").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
     hits = texts.join(asked.hint("shuffle_hash"), "rk").select("ord", "rk", "text", "runs").mapInArrow(_send_windows(window), HITS)
     later = hits.withColumn("lo", F.min("ord").over(Window.partitionBy("h1", "h2", "known"))).where("known or ord > lo")
-    return whole.unionByName(later.select("rk", F.explode("pos").alias("s"), F.lit(1).alias("n")))
+    out = materialise(whole.unionByName(later.select("rk", F.explode("pos").alias("s"), F.lit(1).alias("n"))).groupBy("rk").agg(F.collect_list(F.struct("s", "n")).alias("marks")))
+    discard(found)
+    return out
 
 
 def intervals(places: list[dict], window: int) -> list[list[int]]:
@@ -151,17 +178,19 @@ def intervals(places: list[dict], window: int) -> list[list[int]]:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed, removed (maximal intervals of words, end exclusive) and kept_text, the words left joined by one space."""
     outputs = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), ("kept_text", T.StringType())]
-    found = marks(docs, window, gram, id_col, text_col).groupBy("rk").agg(F.collect_list(F.struct("s", "n")).alias("_marks"))
     kept, schema = with_columns_schema(docs, [n for n, _ in outputs], outputs)
-    keyed = kept.withColumn("_rk", row_key(id_col, text_col))
-    joined = keyed.join(found.withColumnRenamed("rk", "_rk").hint("shuffle_hash"), "_rk", "left").select(*[F.col(f"`{c}`") for c in kept.columns], "_marks")
+    own = fresh(kept)
+    key, mark = f"{own}rk", f"{own}marks"
+    found = marks(docs, window, gram, id_col, text_col).withColumnsRenamed({"rk": key, "marks": mark})
+    keyed = kept.withColumn(key, row_key(id_col, text_col))
+    joined = keyed.join(found.hint("shuffle_hash"), key, "left").select(*[F.col(f"`{c}`") for c in kept.columns], mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(a, 256)
                 rows = []
-                for text, places in zip(part.column(text_col).to_pylist(), part.column("_marks").to_pylist(), strict=True):
+                for text, places in zip(part.column(text_col).to_pylist(), part.column(mark).to_pylist(), strict=True):
                     words = text.encode().split() if text else []
                     gone = intervals(places or [], window)
                     left, at = [], 0
@@ -172,6 +201,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
                     rows.append((len(words), len(words) - len(left), gone, b" ".join(left).decode()))
                 values = list(zip(*rows, strict=True)) or [[]] * 4
                 types = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.string()]
-                yield append(part.drop_columns(["_marks"]), {n: pa.array(v, t) for (n, _), v, t in zip(outputs, values, types, strict=True)})
+                yield append(part.drop_columns([mark]), {n: pa.array(v, t) for (n, _), v, t in zip(outputs, values, types, strict=True)})
 
     return joined.mapInArrow(run, schema)
