@@ -8,8 +8,9 @@ the later copies of the maximal repeated runs. Unless a number of lines is asked
 run of `MIN_LINES` goes whatever its lines are, and a single line goes if it has a letter or a
 digit: blank lines, rules and lone brackets are layout and stay outside of runs.
 
-Doubling goes on as long as runs repeat, and `longest_run` tells how far: the largest
-power of two for which a run of as many lines begins in the document and elsewhere.
+The union over all lengths is that over the shortest, so ranks at one and two lines
+tell what is deleted. Doubling goes on as long as runs repeat; from its intervals come the
+maximal runs, and `longest_run` is the exact length of a document's longest.
 
 Defined cases: a null text has no lines and is kept as it is; an empty text is one
 empty line; documents are ordered by id, null last, then by row key; rows of one id
@@ -21,7 +22,6 @@ are replaced; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegraph.llm import doubling
-from lodegraph.llm.common import append, order_key, row_key, with_columns_schema
+from lodegraph.llm.common import append, discard, fresh, materialise, order_key, row_key, with_columns_schema
 
 #: Runs of so many lines go whatever is on them; shorter ones by their lines' contents.
 MIN_LINES = 2
@@ -42,37 +42,36 @@ def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return texts.select("rk", "ord", line).select("rk", "ord", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(17), "line").alias("b"))
 
 
-def line_dedup(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text", lengths: bool = True) -> DataFrame:
-    """docs with n_lines, n_removed, longest_run (null unless lengths) and kept_text, the lines left (null if the text is null).
+def line_dedup(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with n_lines, n_removed, longest_run and kept_text, the lines left (null if the text is null).
 
     With min_lines, runs of so many lines go and nothing else does; without, runs of MIN_LINES and single lines that say something.
     """
     alone, min_lines = min_lines is None, min_lines or MIN_LINES
     outputs = [("n_lines", T.LongType()), ("n_removed", T.LongType()), ("longest_run", T.LongType()), ("kept_text", T.StringType())]
     first = doubling.first_ranks(line_ids(docs, id_col, text_col), ["a", "b"])
-    levels = doubling.all_lengths(first) if lengths else [(1, first)]
-    known = {length: ranks for length, ranks in levels}
+    levels = doubling.all_lengths(first)
+    known = dict(levels)
     ranks = known[min_lines] if min_lines in known else doubling.at_length(first, min_lines)
     later = doubling.later_copies(ranks)
     if alone:  # single lines are below 0: -1 is the line at 0
         later = later.unionByName(doubling.later_copies(first).select("rk", (-1 - F.col("pos")).alias("pos")))
-    gone = later.groupBy("rk").agg(F.collect_list("pos").alias("_gone"))
-    marks = gone.withColumn("_longest", F.lit(None).cast("long"))
-    if lengths and levels:
-        runs = reduce(DataFrame.unionByName, [x.select("rk", F.lit(length).cast("long").alias("_longest")).distinct() for length, x in levels])
-        marks = runs.groupBy("rk").agg(F.max("_longest").alias("_longest")).join(gone, "rk", "full")
     kept, schema = with_columns_schema(docs, [n for n, _ in outputs], outputs)
-    joined = kept.withColumn("_rk", row_key(id_col, text_col)).join(marks.withColumnRenamed("rk", "_rk").hint("shuffle_hash"), "_rk", "left").select(*[F.col(f"`{c}`") for c in kept.columns], "_gone", "_longest")
+    own = fresh(kept)
+    key, gone, longest = f"{own}rk", f"{own}gone", f"{own}longest"
+    runs = doubling.longest(levels) if levels else first.groupBy("rk").agg(F.max(F.lit(0).cast("long")).alias("longest"))
+    marks = materialise(later.groupBy("rk").agg(F.collect_list("pos").alias(gone)).join(runs, "rk", "full").withColumnsRenamed({"rk": key, "longest": longest}))
+    discard(first, ranks, *known.values())
+    joined = kept.withColumn(key, row_key(id_col, text_col)).join(marks.hint("shuffle_hash"), key, "left").select(*[F.col(f"`{c}`") for c in kept.columns], gone, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(a, 256)
                 rows = []
-                for text, starts, longest in zip(*[part.column(c).to_pylist() for c in (text_col, "_gone", "_longest")], strict=True):
-                    longest = (longest or 0) if lengths else None
+                for text, starts, run_length in zip(*[part.column(c).to_pylist() for c in (text_col, gone, longest)], strict=True):
                     if text is None:
-                        rows.append((0, 0, longest, None))
+                        rows.append((0, 0, run_length or 0, None))
                         continue
                     lines = text.split("\n")
                     out = bytearray(len(lines))
@@ -82,8 +81,8 @@ def line_dedup(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc
                         elif any(map(str.isalnum, lines[-1 - s])):
                             out[-1 - s] = 1
                     left = [x for x, o in zip(lines, out, strict=True) if not o]
-                    rows.append((len(lines), len(lines) - len(left), longest, "\n".join(left)))
+                    rows.append((len(lines), len(lines) - len(left), run_length or 0, "\n".join(left)))
                 values = list(zip(*rows, strict=True)) or [[]] * 4
-                yield append(part.drop_columns(["_gone", "_longest"]), {n: pa.array(v, t) for (n, _), v, t in zip(outputs, values, [pa.int64()] * 3 + [pa.string()], strict=True)})
+                yield append(part.drop_columns([gone, longest]), {n: pa.array(v, t) for (n, _), v, t in zip(outputs, values, [pa.int64()] * 3 + [pa.string()], strict=True)})
 
     return joined.mapInArrow(run, schema)

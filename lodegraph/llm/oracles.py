@@ -33,13 +33,15 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, e.b FROM
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least USING (doc_id)"""
 
-#: Runs of two lines for the deletion; for longest_run, runs of every power of two that the longest document has.
+#: Runs of two lines for the deletion; for longest_run, stretches of the diagonals on which equal lines meet.
 LINE_DEDUP = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 line AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
-run AS (SELECT doc_id, i, k, md5(array_to_string(list_transform(l[i:i + k - 1], lambda x: md5(x)), '')) AS h FROM line, (SELECT pow(2, unnest(range(0, 20)))::BIGINT AS k) WHERE i + k - 1 <= len(l)),
+run AS (SELECT doc_id, i, k, md5(array_to_string(list_transform(l[i:i + k - 1], lambda x: md5(x)), '')) AS h FROM line, (VALUES (1), (2)) t(k) WHERE i + k - 1 <= len(l)),
 times AS (SELECT doc_id, i, k, count(*) OVER (PARTITION BY k, h) AS n, row_number() OVER (PARTITION BY k, h ORDER BY doc_id, i) AS place FROM run),
-longest AS (SELECT doc_id, max(k) AS longest_run FROM times WHERE n > 1 GROUP BY 1),
+one_line AS (SELECT doc_id, i, hash(h) AS h FROM run WHERE k = 1),
+meet AS (SELECT a.doc_id, b.doc_id AS other, a.i - b.i AS diagonal, a.i - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.i - b.i ORDER BY a.i) AS stretch FROM one_line a JOIN one_line b ON a.h = b.h AND (a.doc_id <> b.doc_id OR a.i <> b.i)),
+longest AS (SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, count(*) AS n FROM meet GROUP BY doc_id, other, diagonal, stretch) GROUP BY 1),
 two AS (SELECT doc_id, i FROM times WHERE k = 2 AND place > 1),
 gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM two UNION ALL SELECT doc_id, i + 1 FROM two)),
 kept AS (SELECT line.doc_id, count(*) FILTER (gone.i IS NULL) AS n, string_agg(l[line.i], chr(10) ORDER BY line.i) FILTER (gone.i IS NULL) AS kept FROM line LEFT JOIN gone USING (doc_id, i) GROUP BY 1)
@@ -67,7 +69,7 @@ b AS (SELECT lang, source, metric, CASE WHEN x < 32 THEN x ELSE x - x % (1 << (l
 slack AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {x})" for k, x in SLACK.items())}) s(metric, slack)),
 own AS (SELECT lang, source, metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3, count(*) AS total FROM b GROUP BY 1, 2, 3),
 everything AS (SELECT metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY 1),
-fence AS (SELECT lang, source, metric, CASE WHEN total >= {SUPPORT} THEN o.q3 + {SPREAD} * (o.q3 - o.q1) ELSE e.q3 + {SPREAD} * (e.q3 - e.q1) END + slack AS fence FROM own o JOIN everything e USING (metric) JOIN slack USING (metric)),
+fence AS (SELECT lang, source, metric, (total * (o.q3 + {SPREAD} * (o.q3 - o.q1) + slack) + {SUPPORT} * (e.q3 + {SPREAD} * (e.q3 - e.q1) + slack)) // (total + {SUPPORT}) AS fence FROM own o JOIN everything e USING (metric) JOIN slack USING (metric)),
 f AS (SELECT lang, source, {", ".join(_fence(k) for k in SLACK)} FROM fence GROUP BY 1, 2),
 j AS (SELECT v.*, coalesce(cov.n, 0) AS n_repeat_words, {" OR ".join(f"{k} > _{k}" for k in SLACK)} AS beyond FROM v LEFT JOIN cov USING (doc_id) JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT beyond AS kept FROM j"""
