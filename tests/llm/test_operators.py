@@ -20,7 +20,7 @@ from tests.llm import fixture as fx
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: Columns that the operators write or use, as they may stand in a table already.
-CLASH = ["n_words", "n_removed", "removed", "kept_text", "ids", "kept", "base_failed", "spans", "base_spans", "labels", "score", "n_lines", "rk", "ord", "node", "label", "u", "v", "s", "n", "_words", "h1"]
+CLASH = ["_rk", "_marks", "_gone", "_longest", "_parts", "_stream", "_entropy", "_qg0", "symbol_share", "dup_share", "upper_share", "word_tenths", "n_words", "n_removed", "removed", "kept_text", "ids", "kept", "base_failed", "spans", "base_spans", "labels", "score", "n_lines", "rk", "ord", "node", "label", "u", "v", "s", "n", "_words", "h1"]
 
 
 @lru_cache
@@ -119,6 +119,26 @@ def test_line_dedup_of_repeated_rows(spark):
     assert fx.multiset((r.doc_id, r.kept_text, r.longest_run) for r in got) == fx.multiset([(1, "a\nb\nc", 2), (1, "a\nb\nc", 2), (2, "x", 2), (None, "", 2), (None, None, 0)])
 
 
+def test_longest_runs_are_exact(spark):
+    rng = random.Random(2)
+    rows = [(k, "\n".join(rng.choice("abc") for _ in range(rng.randrange(1, 30)))) for k in range(12)] + [(20, "p\nq\nr\ns\nt\nu\nv"), (21, "x\np\nq\nr\ns\nt\nu\nv"), (22, "none"), (23, "z\n" * 50)]
+
+    def longest(i, text):
+        lines, most = text.split("\n"), 0
+        for j, other in rows:
+            theirs = other.split("\n")
+            for a in range(len(lines)):
+                for b in range(len(theirs)):
+                    n = 0
+                    while (i != j or a != b) and a + n < len(lines) and b + n < len(theirs) and lines[a + n] == theirs[b + n]:
+                        n += 1
+                    most = max(most, n)
+        return most
+
+    got = {r.doc_id: r.longest_run for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: longest(i, t) for i, t in rows} and got[20] == got[21] == 7
+
+
 def test_line_dedup_of_single_lines(spark):
     long = " ".join(f"w{k}" for k in range(60))
     rows = [(1, f"a b\n{long}\n\n---"), (2, f"c d\n{long}\ne f"), (3, f"{long}\n\ng h\n---"), (4, long), (5, f"i j\n{long}\n{long}"), (6, "g h\nk\n\n---")]
@@ -176,6 +196,35 @@ def test_densest_window_is_shannon_entropy(spark):
     assert got == pytest.approx(max(entropy(s[i : i + w]) for i in range(len(s) - w + 1)))
 
 
+def entropy_spans(text):
+    """The spans of the entropy scan, by counting each window anew."""
+    from collections import Counter
+    from math import log2
+
+    entropy = lambda x: -sum(c / len(x) * log2(c / len(x)) for c in Counter(x).values())
+    allowed, out = re.compile(secret_scan.ALLOWED), []
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        s, before = m[0], text[: m.start()][-secret_scan.BEFORE :]
+        width, bits = next((w, b) for _, look, w, b in secret_scan.CLASSES if re.match(look, s))
+        dense = max(entropy(s[i : i + width]) for i in range(max(1, len(s) - width + 1)))
+        if dense >= bits and not allowed.search(s) and not any(re.search(a, s) and re.search(b, before) for a, b in secret_scan.PLACES):
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_entropy_spans_by_brute_force(spark):
+    rng = random.Random(6)
+    pools = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "".join(map(chr, [*range(65, 91), *range(97, 123)])), "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58)])) + "+/_-", "ab", "etaoin"]
+    keys = ["".join(rng.choices(rng.choice(pools), k=rng.randrange(15, 60))) + rng.choice(["", "=", "=="]) for _ in range(300)]
+    keys += ["QzWvRtYpLmKjHgFdSxCbNqZwErTyUiOp", "donaudampfschifffahrtsgesellschaft", "AbstractSingletonProxyFactoryBean", "some-quite-long-name-of-a-thing", "-" * 60, "_" * 25, "A/" * 20, "a" * 40]
+    rows = [(k, f"{rng.choice(['é ', '', 'x: ', 'https://x.org/'])}{x} {rng.choice(keys)} end") for k, x in enumerate(keys)]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("entropy")] for r in secret_scan.digests(secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {k: entropy_spans(t) for k, t in rows}
+    assert sum(map(len, got.values())) > 100
+    found = {x for k, x in enumerate(keys) if entropy_spans(x)}
+    assert keys[300] in found and not found & set(keys[301:])
+
+
 def test_bpe_equals_the_library_and_decodes(docs, none, rows):
     ids = byte_bpe.encode(docs, PATH, PATTERN)
     assert fx.multiset((r.doc_id, tuple(np.frombuffer(r.ids, "<u4"))) for r in ids.collect()) == fx.multiset((i, tuple(reference().encode_ordinary(t or ""))) for i, t, *_ in rows)
@@ -319,6 +368,39 @@ def test_open_text_that_is_all_alike_is_boilerplate(spark):
     assert got[20].endswith(more) and got[21].endswith(more)
 
 
+def test_pages_repeated_long_and_with_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>word{k} and more</p>" for k in range(20_000)) + "</article>"
+    rows = [(1, "http://x.org/1", PAGE), (1, "http://x.org/1", PAGE), (2, "http://x.org/2", long), (3, "http://x.org/3", "<div>open text of this page only</div>"), (3, "http://x.org/3", "<div>open text of this page only</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(7) for c in ("_parts", "_stream", "_host", "_gone", "rk", "host")})
+    out = html_extract.html_extract(df)
+    got = fx.multiset((r.page_id, r.text[:12], r.n_chars, r._parts, r.host) for r in out.collect())
+    assert got == fx.multiset([(1, "Head&line Fi", 40, 7, 7)] * 2 + [(2, "word0 and mo", sum(len(f"word{k} and more ") for k in range(20_000)) - 1, 7, 7)] + [(3, "open text of", 27, 7, 7)] * 2)
+
+
+def test_suffix_array_of_all_text_by_brute_force(spark):
+    """Without trust in markup: a token goes if a run of RUN tokens over it stands on PAGES different pages of its host."""
+    rng = random.Random(9)
+    pool = [[f"{c}{k}" for k in range(rng.randrange(5, 14))] for c in "abcdef"]
+    pages = []
+    for k in range(40):
+        parts = [rng.choice(pool) for _ in range(4)] + [[f"own{k}x{j}" for j in range(9)]]
+        rng.shuffle(parts)
+        pages.append((k, f"http://h{k % 3}.org/{k}", [w for p in parts for w in p]))
+    pages.append((99, pages[0][1], pages[0][2]))
+    html = [(k, url, "<nav>" + " ".join(words[:20]) + "</nav><article><p>" + " ".join(words[20:]) + "</p></article>") for k, url, words in pages]
+    run, least = html_extract.RUN, html_extract.PAGES
+    seen: dict = {}
+    for _, url, words in pages:
+        for i in range(len(words) - run + 1):
+            seen.setdefault((html_extract.host_of(url), *words[i : i + run]), set()).add(tuple(words))
+    want = {}
+    for k, url, words in pages:
+        gone = {j for i in range(len(words) - run + 1) if len(seen[(html_extract.host_of(url), *words[i : i + run])]) >= least for j in range(i, i + run)}
+        want[k] = " ".join(w for j, w in enumerate(words) if j not in gone)
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(html, "page_id long, url string, html string"), trust=False).collect()}
+    assert got == want and any(len(want[k]) < sum(len(w) + 1 for w in words) - 1 for k, _, words in pages)
+
+
 def test_license_scan(spark, docs, none, rows):
     texts = {1: "Licensed under the Apache License, Version 2.0.", 2: "GNU General Public License v3 or later. All rights reserved", 3: "CC BY-SA 4.0 cc-by", 4: "nothing here", 5: None, 6: "", 7: "released under the MIT License"}
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
@@ -334,6 +416,52 @@ def test_license_scan(spark, docs, none, rows):
 
 
 def test_contained_detections_are_suppressed():
-    found = license_scan.scanner().detections("licensed under the apache license version 2 0")
-    assert [(r.label, r.weight) for _, _, r in found] == [("apache-2.0", 1.0)]
-    assert len(license_scan.rules()) > 200
+    find = license_scan.scanner().detections
+    assert [x[2:] for x in find("licensed under the apache license version 2 0")] == [("apache-2.0", 1.0)]
+    assert [x[2:] for x in find("mozilla public license version 2 0 and mozilla public license")] == [("mpl-2.0", 0.8), ("mpl", 0.6)]
+    assert [x[2:] for x in find("available under the terms of the gnu lgpl v2 1 spdx license identifier mit")] == [("lgpl-2.1", 1.0), ("mit", 1.0)]
+    assert [x[2] for x in find("under creative commons attribution sharealike 3 0 unported")] == ["cc-by-sa-3.0"]
+
+
+def test_every_licence_rule_finds_its_own_words():
+    """A rule's keyword stands at a word's beginning in whatever its pattern matches, and the words that it is made of match."""
+    from re import _parser
+
+    def example(parsed) -> str:
+        out = []
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out.append(chr(value))
+            elif name == "MAX_REPEAT":
+                out.append(example(value[2]) * value[0])
+            elif name == "SUBPATTERN":
+                out.append(example(value[3]))
+            elif name == "BRANCH":
+                out.append(example(value[1][0]))
+            elif name == "IN":
+                out.append({"CATEGORY_DIGIT": "7"}.get(str(value[0][1]), "x") if str(value[0][0]) == "CATEGORY" else chr(value[0][1]) if str(value[0][0]) == "LITERAL" else "x")
+            elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+                continue
+            else:
+                raise AssertionError(name)
+        return "".join(out)
+
+    assert 200 < len(license_scan.rules()) and len({(r.label, r.keyword, r.pattern) for r in license_scan.rules()}) == len(license_scan.rules())
+    for r in license_scan.rules():
+        words = example(_parser.parse(r.pattern))
+        assert f" {r.keyword}" in f" {words}", r
+        assert re.search(rf"(?<![^ ])(?:{r.pattern})(?![^ ])", words), r
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["cc", "by", "BY", "general", "Public", "license", "all", "rights", "reserved", "é", "x1", "-", "\n", ", ", " ", " ", " "]), max_size=40))
+def test_base_phrases_by_brute_force(parts):
+    text = "".join(parts)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(fx.LOWER))
+    at = [(k, label) for phrase, label in license_scan.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    n_words, n_base, first, last, base, labels, score = license_scan.scan(text)
+    places = [k for k, _ in at]
+    assert (n_words, n_base, first, last) == (len(words), len(at), min(places, default=None), max(places, default=None))
+    assert base == ",".join(sorted({x for _, x in at})) and set(filter(None, base.split(","))) <= set(labels.split(","))
+    assert 0 <= score <= 1
