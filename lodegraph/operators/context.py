@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import tokens
+from lodegraph.operators.durable import kept
 from lodegraph.operators.graph import incident, walk
 
 
@@ -35,6 +36,24 @@ def subgraph(edges: DataFrame, seeds: DataFrame, near: int = 10, most: int | Non
     return (both if most is None else both.orderBy("_o", "src", "rel", "dst").limit(most)).select("src", "rel", "dst")
 
 
+def keyword_subgraph(nodes: DataFrame, edges: DataFrame, words: list[str], most: int = 50, few: int = 10) -> DataFrame:
+    """(src, rel, dst): at most `most` edges of the question's words, at one of the nodes whose labels (node_id, label) have the largest share of words in the question, or with two of its words in their own names.
+
+    With fewer than `few`, the first edges instead. Edges come by src, rel, dst.
+    """
+    asked = F.array(*map(F.lit, sorted(set(words))))
+    own = F.array_distinct(tokens(F.col("label")))
+    best = nodes.select("node_id", (F.size(F.array_intersect(own, asked)) / F.size(own)).alias("s")).where("s > 0").orderBy(F.desc("s"), "node_id").limit(most).select("node_id")
+    at = lambda c: edges.join(F.broadcast(best.withColumnRenamed("node_id", c)), c, "left_semi").select("src", "rel", "dst")
+    name = lambda c: nodes.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
+    named = edges.join(name("src"), "src", "left").join(name("dst"), "dst", "left")
+    said = F.concat_ws(" ", F.coalesce("src_label", "src"), "rel", F.coalesce("dst_label", "dst"))
+    worded = named.where(F.size(F.array_intersect(F.array_distinct(tokens(said)), asked)) >= 2).select("src", "rel", "dst")
+    found = at("src").union(at("dst")).union(worded).distinct().orderBy("src", "rel", "dst").limit(most)
+    found = kept(found)
+    return found if found.count() >= few else edges.select("src", "rel", "dst").distinct().orderBy("src", "rel", "dst").limit(most)
+
+
 def guided_facts(edges: DataFrame, starts: DataFrame, relations: list[str], hops: int) -> DataFrame:
     """(src, rel, dst, hop, degree): facts met by a search along some relations, each at its first hop, with the other end's degree."""
     around = incident(edges)

@@ -101,6 +101,16 @@ def chain(edges: DataFrame, seeds: DataFrame, relations: list[str], keep_seeds:
     return frontier if keep_seeds else frontier.join(seeds.select("node_id"), "node_id", "left_anti")
 
 
+def chain_by_walk(edges: DataFrame, starts: DataFrame, relations: list[str], node_cap: int | None = None) -> DataFrame:
+    """(start, node_id): ends of `walk` whose least path has just these relations in order, `~rel` against the edge.
+
+    An end that is also reached by a lesser path of the same relations in another order is missing; `chain` finds it.
+    """
+    names = sorted({r.removeprefix("~") for r in relations})
+    found = walk(edges, starts, len(relations), names, node_cap)
+    return found.where(F.col("rels") == F.array(*map(F.lit, relations))).select("start", "node_id")
+
+
 def oriented(edges: DataFrame) -> DataFrame:
     """(node_id, rel, other): every edge both ways, the way back as ~rel."""
     return edges.select(F.col("src").alias("node_id"), "rel", F.col("dst").alias("other")).union(edges.select("dst", F.concat(F.lit("~"), "rel"), "src"))

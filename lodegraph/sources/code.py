@@ -16,6 +16,13 @@ _CLASS = re.compile(r"\bClass\b\s*(?:<<[^>]*>>\s*)?(?:\{[^}]*\}\s*)?([\w:]+)(?:\
 _PROPERTY = re.compile(r"(?:^|(?<=;)|(?<=\}))\s*(?:<<[^>]*>>\s*)?(?:\{[^}]*\}\s*)?(\w+)\s*:\s*([\w:]+)\s*\[([^\]]+)\]\s*;", re.M)
 
 
+_SERVICE = re.compile(r"\bService\b\s*(?:<<[^>]*>>\s*)?(?:\{[^}]*\}\s*)?([\w:]+)\s*\{")
+_QUERY = re.compile(r"\bquery\s*:\s*\|([^;]+);")
+#: How queries label their columns, in order of preference: 'Label' before a colon, a list of labels after the columns, a bare name before a colon.
+_LABELLED, _LISTED, _BARE = re.compile(r"~?\[\s*'([^']+)'\s*:"), re.compile(r"\],\s*\[([^\]]*)\]"), re.compile(r"~\[\s*(\w+)\s*:")
+SERVICES = "service string, class string, columns array<string>, paths array<string>, query string"
+
+
 def _body(text: str, at: int) -> str:
     """From after an opening brace to the brace that closes it."""
     depth, i = 1, at
@@ -25,6 +32,34 @@ def _body(text: str, at: int) -> str:
     return text[at : i - 1] if not depth else text[at:]
 
 
+def _service(name: str, body: str) -> tuple | None:
+    """A service's row; None unless it starts at all of a class and has as many labels as property paths."""
+    found = _QUERY.search(body)
+    query = " ".join(found[1].split()) if found else ""
+    start = re.match(r"([\w:]+)\.all\(\)", query)
+    if not start:
+        return None
+    labels = _LABELLED.findall(query)
+    if not labels and (listed := _LISTED.search(query)):
+        labels = [x.strip().strip("'") for x in listed[1].split(",")]
+    labels = labels or _BARE.findall(query)
+    paths = re.findall(r"\$\w+\.([\w.]+)", query)
+    return (name, start[1], labels, paths, query) if paths and len(labels) == len(paths) else None
+
+
+def services(files: DataFrame) -> DataFrame:
+    """(service, class, columns, paths, query) of service definitions in files (path, value): of equal queries the last by path and place."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, m.start(), *row) for p, text in zip(f["path"], f["value"], strict=True) for m in _SERVICE.finditer(text) if (row := _service(m[1], _body(text, m.end())))]
+            yield pd.DataFrame(rows, columns=["path", "at", "service", "class", "columns", "paths", "query"])
+
+    found = files.select("path", "value").mapInPandas(parse, "path string, at long, " + SERVICES)
+    last = found.groupBy("query").agg(F.max_by(F.struct("service", "class", "columns", "paths"), F.struct("path", "at")).alias("s"))
+    return last.select("s.*", "query")
+
+
 def class_models(files: DataFrame) -> DataFrame:
     """(name, parent, properties) of class definitions in files (path, value).
 

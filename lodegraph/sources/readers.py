@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,11 @@ def turtle(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     m = lambda i: F.regexp_extract("value", rf"^\s*{term}\s+{term}\s+{term}\s*\.\s*$", i)
     local = lambda c: F.regexp_replace(F.regexp_replace(c, r'^"|"(@[\w-]+)?$|[<>]', ""), r"^.*[#/:]", "")
     t = lines.select(*[local(m(i)).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]).where("s <> ''")
+    return ontology(t)
+
+
+def ontology(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, object properties and subclasses of triples (s, p, o) of local names."""
     is_a = t.where("p in ('type', 'a')")
     classes = is_a.where("o = 'Class'").select(F.col("s").alias("name")).distinct()
     value = lambda p, n: t.where(F.col("p") == p).groupBy("s").agg(F.min("o").alias(n))
@@ -101,6 +109,34 @@ def turtle(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return classes, props, t.where("p = 'subClassOf'").select(F.col("s").alias("name"), F.col("o").alias("parent"))
 
 
+def rdf_xml(files: DataFrame) -> DataFrame:
+    """(s, p, o) of RDF/XML files (path, value): local names of subjects, predicates, resources and literals. Typed and nested nodes count; a file that is no XML is an error."""
+    rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+    local = lambda x: x.replace("}", "#").replace("/", "#").rsplit("#", 1)[-1].rsplit(":", 1)[-1]
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.etree import ElementTree
+
+        def node(element, rows: list) -> str:
+            """The subject's name; its statements go to rows."""
+            name = local(element.get(f"{rdf}about") or element.get(f"{rdf}ID") or element.get(f"{rdf}nodeID") or f"_{len(rows)}")
+            if element.tag != f"{rdf}Description":
+                rows.append((name, "type", local(element.tag)))
+            for x in element:
+                value = x.get(f"{rdf}resource") or x.get(f"{rdf}nodeID")
+                rows.append((name, local(x.tag), local(value) if value else node(x[0], rows) if len(x) else (x.text or "").strip()))
+            return name
+
+        for f in frames:
+            rows: list = []
+            for text in f["value"]:
+                for element in ElementTree.fromstring(text):
+                    node(element, rows)
+            yield pd.DataFrame(rows, columns=["s", "p", "o"])
+
+    return files.select("path", "value").mapInPandas(parse, "s string, p string, o string")
+
+
 def schema_columns(snapshot: DataFrame) -> DataFrame:
     """(database, table, column, data_type, nullable, position, samples) of nested schema snapshots."""
     t = snapshot.select("database_name", F.explode("tables").alias("t")).select("database_name", "t.name", F.explode("t.columns").alias("c"))
