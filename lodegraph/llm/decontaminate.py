@@ -8,7 +8,11 @@ Both sides are compared with letters in lower case and words joined by one space
 
 The items are the stated query set. They are read in blocks of at most BLOCK
 characters, by their share of all characters; each block is one pass over the
-documents, so the broadcast automaton never grows with the items' number.
+documents, so the broadcast items never grow with their number. A Python worker builds
+a block's automaton once and keeps it for its later tasks.
+
+An item is found inside of words too, and one of less than ERRORS characters only unchanged: very
+short items strike wherever their letters stand.
 
 Defined cases: null or empty texts match nothing, on either side; an item that
 occurs often in a document is one row, with its least distance; equal items match
@@ -18,10 +22,12 @@ columns play no part; an empty table on either side gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One edit is allowed for each ERRORS characters.
@@ -119,9 +125,33 @@ class Finder:
         return out
 
 
-def _search(block: list[tuple[int | None, str]], errors: int):
+#: The last block's automaton of this Python worker, under the block's name.
+_built: dict[str, Finder] = {}
+
+
+def _blocks(spark: SparkSession, items: DataFrame, errors: int) -> list:
+    """For each block of items (item_id, text) a function that gives its Finder; its items are broadcast, BLOCK characters or so."""
+    asked = items.where("length(text) > 0")
+    chars = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = -(-chars // BLOCK) or 1
+    out = []
+    for i in range(parts):
+        block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
+        held, name = spark.sparkContext.broadcast([(r.item_id, t) for r in block.toLocalIterator() if (t := normal(r.text))]), uuid.uuid4().hex
+
+        def finder(held=held, name=name) -> Finder:
+            if name not in _built:
+                _built.clear()
+                _built[name] = Finder(held.value, errors)
+            return _built[name]
+
+        out.append(finder)
+    return out
+
+
+def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(block, errors)
+        finder = block()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -136,34 +166,21 @@ def _search(block: list[tuple[int | None, str]], errors: int):
 def decontaminate(docs: DataFrame, items: DataFrame, errors: int = ERRORS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_errors): which items each document contains, with the least number of edits."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("length(text) > 0")
-    chars = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = -(-chars // BLOCK) or 1
-    out = None
-    for i in range(parts):
-        block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
-        own = [(r.item_id, t) for r in block.toLocalIterator() if (t := normal(r.text))]
-        found = texts.mapInArrow(_search(own, errors), MATCHES)
-        out = found if out is None else out.unionByName(found)
-    return out
+    asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text"))
+    return reduce(DataFrame.unionByName, [texts.mapInArrow(_search(block), MATCHES) for block in _blocks(docs.sparkSession, asked, errors)])
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, errors: int = ERRORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text contains no item. Judged by row: texts are read and dropped in one pass for each block."""
-    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("length(text) > 0")
-    chars = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = -(-chars // BLOCK) or 1
     out = docs
-    for i in range(parts):
-        block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
-        own = [(r.item_id, t) for r in block.toLocalIterator() if (t := normal(r.text))]
-        out = out.mapInArrow(_drop(own, errors, text_col), out.schema)
+    for block in _blocks(docs.sparkSession, items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")), errors):
+        out = out.mapInArrow(_drop(block, text_col), out.schema)
     return out
 
 
-def _drop(block: list[tuple[int | None, str]], errors: int, text_col: str):
+def _drop(block, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(block, errors)
+        finder = block()
         for batch in batches:
             clean = pa.array([not (t and finder.matches(normal(t))) for t in batch.column(text_col).to_pylist()], pa.bool_())
             yield batch.filter(clean)

@@ -298,6 +298,31 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.decontaminate(none, items).count() == 0 and decontaminate.decontaminate(docs, items.limit(0)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=9), max_size=4), st.text("abc", max_size=20), st.integers(2, 5))
+def test_matches_by_brute_force(items, text, errors):
+    """An item is found if some stretch of the text is within its budget of edits; the least number of them is told."""
+    want = {}
+    for n, item in enumerate(items):
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        if min(row) <= len(item) // errors:
+            want[n] = min(row)
+    assert decontaminate.Finder(list(enumerate(items)), errors).matches(text) == want
+
+
+def test_decontamination_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "one quick brown fox here"), (1, "one quick brown fox here"), (2, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "quick brown fox"), (5, "quick brown fox"), (None, "brown fox")], "item_id long, text string")
+    got = sorted(map(str, decontaminate.decontaminate(docs, items).collect()))
+    assert len(got) == 6 and sum("item_id=None" in x for x in got) == 2
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [2]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", min_size=1, max_size=9), st.text("abc", max_size=14))
 def test_myers_distance(item, text):
