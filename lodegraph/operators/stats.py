@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.durable import numbered
+
 
 def mean(value: str) -> Column:
     """Without nulls; 0 if none is left."""
@@ -49,11 +51,11 @@ def bootstrap(paired: DataFrame, item: str, diff: str, resamples: int, seed: int
     Draw j of resample b takes the item whose number is a digest of (seed, b, j) modulo n. Items are
     numbered by id; resamples are rows, so they run in parallel, and only draws per item and resample are exchanged.
     """
-    numbered = paired.select(diff, (F.row_number().over(Window.orderBy(item)) - 1).alias("i"))  # items of one evaluation
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
+    items = numbered(paired.select(item, diff), [item]).select(diff, F.col("number").alias("i"))
+    n = items.agg(F.count(F.lit(1)).alias("n"))
     draws = paired.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))  # n is one row
     drawn = draws.select("b", "n", F.pmod(F.xxhash64(F.lit(seed), "b", "j"), F.col("n")).alias("i")).groupBy("b", "i", "n").agg(F.count(F.lit(1)).alias("c"))
-    means = drawn.join(numbered, "i").groupBy("b").agg((F.sum(F.col("c") * F.col(diff)) / F.max("n")).alias("m"))
+    means = drawn.join(items, "i").groupBy("b").agg((F.sum(F.col("c") * F.col(diff)) / F.max("n")).alias("m"))
     order = means.select("m", (F.row_number().over(Window.orderBy("m", "b")) - 1).alias("k"))  # one row for each resample
     low, high = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))
     bounds = order.agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as t
-from lodegraph.operators.durable import kept
+from lodegraph.operators.durable import numbered
 from lodegraph.plans.rules import container_edge
 
 
@@ -49,14 +49,6 @@ def siblings(items: DataFrame, group: str, order: str, node: str, rel: str = "fo
     return items.select(F.col(node).alias("src"), F.lit(rel).alias("rel"), nxt.alias("dst")).where("dst is not null")
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with number, from 0 by order. By ranges of the order: each range's own rank and the sizes of those before it. Rows of equal order are numbered in any way."""
-    ranged = kept(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each partition
-    return ranged.join(F.broadcast(before), "_p").withColumn("number", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + F.col("_b")).drop("_p", "_b")
-
-
 def view_export(nodes: DataFrame, edges: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     """Nodes that hold keep and have an edge within the view, numbered from 0 by id, with their degree; edges by number."""
     seen = nodes.where(keep).select("node_id")

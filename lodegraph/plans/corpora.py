@@ -7,8 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodegraph.operators.durable import kept
-from lodegraph.plans.builders import numbered
+from lodegraph.operators.durable import kept, numbered
 
 
 def _filled(template: Column, s: str, o: str) -> Column:

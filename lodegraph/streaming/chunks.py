@@ -9,13 +9,14 @@ twin groups by chunk and must give the same rows.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.durable import shared_folder
+
 
 def spans(n: Column, m: int) -> Column:
     """[start, end) of every chunk."""
@@ -69,18 +70,18 @@ def chunk_stream(tokens: DataFrame, m: int) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        nxt, waiting = state.get if state.exists else (0, "{}")
-        held = {int(k): v for k, v in json.loads(waiting).items()}
+        nxt, places, waiting = state.get if state.exists else (0, [], [])
+        held = dict(zip(map(int, places), waiting, strict=True))
         for f in frames:
             held.update({int(p): t for p, t in zip(f["pos"], f["token"], strict=True) if p >= nxt * m})
         out = []
         while all(nxt * m + i in held for i in range(m)):
             out.append((key[0], nxt, " ".join(held.pop(nxt * m + i) for i in range(m))))
             nxt += 1
-        state.update((nxt, json.dumps({str(k): v for k, v in held.items()})))
+        state.update((nxt, list(held), list(held.values())))
         yield pd.DataFrame(out, columns=["key", "chunk", "text"])
 
-    return tokens.groupBy("key").applyInPandasWithState(step, "key long, chunk long, text string", "nxt long, waiting string", "append", "NoTimeout")
+    return tokens.groupBy("key").applyInPandasWithState(step, "key long, chunk long, text string", "nxt long, places array<long>, waiting array<string>", "append", "NoTimeout")
 
 
 def once_per_text(queries: DataFrame, retrieve) -> DataFrame:
@@ -89,7 +90,9 @@ def once_per_text(queries: DataFrame, retrieve) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a bounded stream has given when all that is available is through."""
-    q = stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a bounded stream has given when all that is available is through: written as Parquet to the shared folder, batch by batch, and read from there."""
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/{name}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
