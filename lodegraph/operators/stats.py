@@ -110,6 +110,11 @@ def quota_sample(items: DataFrame, relation: str, item: str, each: int, total: i
     return items.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= each).orderBy(h, item).limit(total).drop("_k")
 
 
+def base_failures(results: DataFrame, item: str, arm: str, base: str, metric: str, below: float) -> DataFrame:
+    """(item) whose base arm has a metric under `below`; an item that the base arm didn't answer is none."""
+    return results.where((F.col(arm) == base) & (F.col(metric) < below)).select(item).distinct()
+
+
 def compared(results: DataFrame, run: str, baseline: str, keys: list[str], metric: str) -> DataFrame:
     """(keys..., metric, base, gain): every run's metric against the baseline's."""
     base = results.where(F.col(run) == baseline).select(*keys, F.col(metric).alias("base"))

@@ -11,7 +11,7 @@ from lodegraph.operators import context, loops
 from lodegraph.operators import graph as g
 from lodegraph.operators import retrieval as r
 from lodegraph.operators.durable import shared_folder
-from lodegraph.plans import corpora
+from lodegraph.plans import corpora, report
 from lodegraph.registry import query
 from lodegraph.sources import code, readers, samples
 from lodegraph.sources.tables import GRAPH_SQL, edges, nodes, table
@@ -272,3 +272,53 @@ def constrained_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = p.withColumn("answer_id", F.row_number().over(g.Window.orderBy("p_brand")).cast("long"))  # a row for each brand
     said = own.select((F.col("answer_id") + 1).alias("answer_id"), F.flatten(F.transform(F.slice("names", 1, 4), lambda x, i: F.when(i > 0, F.concat(F.array(F.lit(",")), x)).otherwise(x))).alias("tokens"))
     return loops.interventions(own.join(said, "answer_id"))
+
+
+ARMS = "SELECT o_orderstatus AS arm, o_totalprice / 500000 AS price, CASE WHEN o_orderstatus <> 'F' THEN o_custkey / 10000 END AS customer FROM orders"
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select(status.alias("arm"), (F.col("o_totalprice") / 500000).alias("price"), F.when(status != "F", F.col("o_custkey") / 10000).alias("customer"))
+
+
+@query(f"""WITH r AS (SELECT arm, avg(price) AS price, avg(customer) AS customer FROM ({ARMS}) GROUP BY 1), t AS (SELECT arm, '| ' || arm || ' | ' || printf('%.3f', price) || ' | ' || coalesce(printf('%.3f', customer), 'n/a') || ' |' AS line FROM r)
+SELECT 0::BIGINT AS k, '| arm | price | customer |' AS line UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT row_number() OVER (ORDER BY arm) + 1, line FROM t""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: mean metrics by arm as Markdown, n/a where an arm has none."""
+    lines = report.markdown(_arms(spark, sf_dir), "arm", ["price", "customer"]).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "k long, line string")
+
+
+@query(f"""SELECT arm, round(avg(price), 6) AS price, count(*) AS n, (SELECT count(*) FROM orders) AS counted FROM ({ARMS}) GROUP BY 1""")
+def run_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: a run's results with the manifest beside them, both read again."""
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    arms = _arms(spark, sf_dir)
+    payload = arms.groupBy("arm").agg(F.round(F.avg("price"), 6).alias("price"), F.count(F.lit(1)).alias("n"))
+    report.write_artifact(payload, report.manifest(spark, "prices", {"metric": "price"}, {"orders": arms.count()}), path)
+    described = spark.read.text(f"{path}/manifest").select(F.get_json_object("value", "$.counts.orders").cast("long").alias("counted"))
+    return spark.read.schema("arm string, price double, n long").json(f"{path}/payload").join(F.broadcast(described))  # one row
+
+
+@query("""SELECT CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'dsid_' || n_nationkey END AS doc_id, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE 'page__' || n_nationkey END AS slug, CASE WHEN n_nationkey % 5 = 0 THEN 'unknown' ELSE 'r' || n_regionkey END AS source,
+CASE WHEN n_nationkey % 5 > 1 THEN 'box' ELSE '' END AS container, 'text of ' || n_name AS text FROM nation""")
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of a tree, named by id and title, at three depths."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    for n in table(spark, sf_dir, "nation").collect():  # a file for each nation
+        k = n.n_nationkey
+        folder = ["", f"r{n.n_regionkey}/", f"r{n.n_regionkey}/box/"][min(2, k % 5)]
+        name = ("none_" if k % 3 == 0 else "dsid_") + f"{k}" + ("" if k % 4 == 0 else f"__page__{k}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}{name}.txt")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(f"text of {n.n_name}".encode()))
+        out.close()
+    return readers.document_tree(spark, root)
+
+
+@query("""SELECT 'dsid_' || (n_nationkey % 10) AS doc_id, min('page' || n_nationkey) AS slug FROM nation GROUP BY 1""")
+def first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: of each document id's files the first."""
+    n = table(spark, sf_dir, "nation")
+    return readers.first_files(n.select(F.concat(F.lit("dsid_"), (F.col("n_nationkey") % 10).cast("string")).alias("doc_id"), F.concat(F.lit("page"), F.col("n_nationkey").cast("string")).alias("slug")))

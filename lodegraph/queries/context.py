@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import context as x
 from lodegraph.operators import graph as g
+from lodegraph.operators import stats
 from lodegraph.operators.retrieval import QUERY_BLOCK, char_sum_vector, dot
 from lodegraph.registry import query
 from lodegraph.sources.tables import GRAPH_SQL, edges, nodes, table
@@ -107,10 +108,12 @@ def gold_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(n, ["conv_id", "turn"]).select("conv_id", "turn", leaked.alias("leaked"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("""WITH r AS (SELECT o_custkey, o_orderstatus AS arm, avg(o_totalprice) / 500000 AS m FROM orders GROUP BY 1, 2) SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM r WHERE arm = 'O' AND m < 0.5)""")
 def base_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose base metric isn't full."""
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
+    """Orders of customers whose mean of one status, the base arm, is low."""
+    o = table(spark, sf_dir, "orders")
+    results = o.groupBy("o_custkey", F.col("o_orderstatus").alias("arm")).agg((F.avg("o_totalprice") / 500000).alias("m"))
+    return o.join(stats.base_failures(results, "o_custkey", "arm", "O", "m", 0.5), "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
 @query("""WITH g AS (SELECT l_orderkey AS id, list_distinct(list(l_suppkey)) AS g FROM lineitem GROUP BY 1), p AS (SELECT l_orderkey AS id, list_distinct(list(l_suppkey)) AS p FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)

@@ -187,11 +187,17 @@ def graph_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.graph_health(edges(spark, sf_dir, ("contains",)), table(spark, sf_dir, "orders"))
 
 
-@query("SELECT 'doc::' || doc_id AS src, 'in_collection' AS rel, 'collection::' || source || '::' || lang AS dst FROM documents UNION ALL SELECT 'collection::' || source || '::' || lang, 'has_in_collection', 'doc::' || doc_id FROM documents")
+#: documents with _ for letters and digits outside ASCII, beside which SQL's \\b would see a border.
+_BORDERED = "(SELECT doc_id, regexp_replace(text, '[^\\P{L}A-Za-z]|[^\\P{N}0-9]', '_', 'g') AS text FROM documents)"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{1,9}}-\\d{{1,6}})\\b', 1)) AS x FROM {_BORDERED}),
+e AS (SELECT 'doc::' || doc_id AS src, 'in_collection' AS rel, 'collection::' || source || '::' || lang AS dst FROM documents WHERE lang <> '' UNION ALL SELECT 'doc::' || doc_id, 'references', 'ticket::' || x FROM t WHERE string_split(x, '-')[1] NOT IN ('UTF', 'ISO', 'RFC', 'SHA', 'HTTP', 'COVID'))
+SELECT src, rel, dst FROM e UNION ALL SELECT dst, 'has_' || rel, src FROM e""")
 def enterprise_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P4, §2.12: documents with their containers, both ways."""
+    """P4, §2.12: documents with their containers and tickets, both ways; none of their sources has speakers."""
     _, e = b.enterprise_graph(table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.col("lang").alias("container")))
-    return e.where("rel like '%collection'")
+    return e
 
 
 @query()

@@ -169,7 +169,13 @@ def text_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(q, "w").groupBy("item_id", "conv_id", "turn", "n").agg(F.count(F.lit(1)).alias("same")).select("item_id", "conv_id", "turn", F.round(F.col("same") / F.col("n"), 6).alias("overlap"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_split_to_array(x, '\\s+'))) AS n FROM s),
+f AS (SELECT doc_id, 1 AS i, 1 AS a, NULL::INTEGER AS z, NULL::INTEGER AS b FROM n
+  UNION ALL SELECT f.doc_id, i + 1, CASE WHEN full_now THEN coalesce(list_min(list_filter(range(a, i), lambda k: list_sum(n[k:i - 1]) <= 32)), i) ELSE a END, CASE WHEN full_now THEN i - 1 END, CASE WHEN full_now THEN a END
+  FROM (SELECT f.doc_id, f.i, f.a, n.n, i > a AND coalesce(list_sum(n[a:i - 1]), 0) + n[i] > 256 AS full_now FROM f JOIN n ON n.doc_id = f.doc_id WHERE f.i <= len(n.n)) f),
+c AS (SELECT doc_id, b, z, i FROM f WHERE z IS NOT NULL UNION ALL SELECT f.doc_id, a, len(n.n), i FROM f JOIN n ON n.doc_id = f.doc_id WHERE f.i = len(n.n) + 1 AND len(n.n) > 0 AND a <= len(n.n))
+SELECT c.doc_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY z, i) - 1 AS chunk, array_to_string(s[b:z], ' ') AS text FROM c JOIN n ON n.doc_id = c.doc_id""")
 def text_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunks of whole sentences with overlap."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.sentence_chunks(F.col("text"))).alias("chunk", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.sentence_chunks(F.col("text"))).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))

@@ -172,7 +172,13 @@ def passage_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.passage_votes(s, "claim").withColumn("truth", F.round("truth", 6))
 
 
-@query()
+def _polarity_sql(mention: str) -> str:
+    cues = "|".join(v.CUES)
+    return f"""CASE WHEN instr(lower(t), lower({mention})) > 0 THEN CASE WHEN len(regexp_extract_all(regexp_split_to_array(substr(lower(t), 1, instr(lower(t), lower({mention})) - 1), ' but | however | although |;|\\.|,')[-1], '\\b(?:{cues})\\b')) % 2 = 1 THEN 'denied' ELSE 'affirmed' END END"""
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, 'The user did not ' || event_type || CASE WHEN value > 20 THEN ', but was seen without an error' ELSE ' without cause' END AS t FROM events)
+SELECT event_id, {_polarity_sql("event_type")} AS event, {_polarity_sql("'error'")} AS error FROM e""")
 def negation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether sentences about events deny them."""
     e = table(spark, sf_dir, "events")
