@@ -24,11 +24,11 @@ from lodegraph.llm.common import discard, join_hot, materialise
 PLACE = ["rk", "ord", "pos"]
 
 
-def _ranked(rows: DataFrame, by: list[str], keep: list[str] = PLACE) -> DataFrame:
-    """Of rows whose key stands at two places at least, the columns `keep` and r, the key's rank. Ranks keep the keys' order and have gaps. A place given twice counts once."""
+def _ranked(rows: DataFrame, by: list[str], keep: list[str] = PLACE, ordered: bool = True) -> DataFrame:
+    """Of rows whose key stands at two places at least, the columns `keep` and r, the key's rank. Ranks keep the keys' order, unless only equality is asked for, and have gaps. A place given twice counts once."""
     place = F.xxhash64("rk", "pos")
     counted = rows.groupBy(*by).agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi")
-    ranks = materialise(counted.orderBy(*by).select(*by, F.monotonically_increasing_id().alias("_rank"), "_n"))
+    ranks = materialise((counted.orderBy(*by) if ordered else counted).select(*by, F.monotonically_increasing_id().alias("_rank"), "_n"))
     out = materialise(join_hot(rows, ranks, by, "_n").select(*keep, F.col("_rank").alias("r")).distinct())
     discard(ranks)
     return out
@@ -87,7 +87,7 @@ def longest(levels: list[tuple[int, DataFrame]]) -> DataFrame:
         else:
             on = ranks.select("rk", "ord", F.col("pos").alias("_at"), F.col("r").alias("r2"))
             ahead = now.withColumn("_at", F.col("pos") + F.col("len")).join(on, ["rk", "ord", "_at"])
-            grown = _ranked(ahead, ["level", "c", "r2"], [*PLACE, "len", "q"])
+            grown = _ranked(ahead, ["level", "c", "r2"], [*PLACE, "len", "q"], ordered=False)
             moved = grown.where("q").select("rk", F.lit(True).alias("_moved")).distinct()
             stay = now.join(moved, "rk", "left").withColumn("q", F.col("q") & F.col("_moved").isNull()).drop("_moved")
             grown_on = grown.select(*PLACE, (F.col("len") + length).alias("len"), "q", F.lit(2 * length + 1).alias("level"), F.col("r").alias("c"))
