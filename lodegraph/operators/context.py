@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions.text import tokens
 from lodegraph.operators.durable import kept
 from lodegraph.operators.graph import incident, walk
+from lodegraph.operators.retrieval import QUERY_BLOCK
 
 
 def paths_to_terms(edges: DataFrame, nodes: DataFrame, starts: DataFrame, terms: list[str], depth: int = 4, width: int = 20) -> DataFrame:
@@ -54,6 +56,24 @@ def keyword_subgraph(nodes: DataFrame, edges: DataFrame, words: list[str], most:
     return found if found.count() >= few else edges.select("src", "rel", "dst").distinct().orderBy("src", "rel", "dst").limit(most)
 
 
+def audit_links(questions: DataFrame, edges: DataFrame, chunks: DataFrame, most: int = 3, chars: int = 250) -> DataFrame:
+    """(query_id, rank, src, rel, dst, chunk_id, snippet): for each of questions (query_id, text) the first `most` edges (src, rel, dst, chunk_id), by themselves, that hold one of its words, with the text that they come from (chunk_id, text).
+
+    Words have more than three characters and may stand inside of names. The questions are a stated query set: blocks of them meet all edges.
+    """
+    asked = questions.select("query_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3)).alias("words"))
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    lowered = edges.select("src", "rel", "dst", "chunk_id", F.array(F.lower("src"), F.lower("dst"), F.lower("rel")).alias("_in"))
+    w = Window.partitionBy("query_id").orderBy("src", "rel", "dst", "chunk_id")
+    parts = []
+    for b in range(n):
+        own = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b))
+        met = lowered.join(own, F.exists("words", lambda x: F.exists(F.col("_in"), lambda y: F.contains(y, x))))
+        parts.append(met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).drop("_in", "words"))
+    snippet = F.coalesce(F.trim(F.substring("text", 1, chars)), F.lit("Chunk text not found")).alias("snippet")
+    return reduce(DataFrame.unionByName, parts).join(chunks.select("chunk_id", "text"), "chunk_id", "left").select("query_id", "rank", "src", "rel", "dst", "chunk_id", snippet)
+
+
 def guided_facts(edges: DataFrame, starts: DataFrame, relations: list[str], hops: int) -> DataFrame:
     """(src, rel, dst, hop, degree): facts met by a search along some relations, each at its first hop, with the other end's degree."""
     around = incident(edges)

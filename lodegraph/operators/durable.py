@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cached(df: DataFrame, folder: str, name: str, build) -> DataFrame:
+    """build(df), computed once for df's contents: kept below folder under name and a digest of the rows, in any order, and of the columns."""
+    digest = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("x"), F.sum(F.xxhash64(F.lit(5), *[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")).alias("s")).first()
+    spark = df.sparkSession
+    path = f"{folder}/{name}-{sha256('|'.join([*df.columns, *map(str, digest)]).encode()).hexdigest()[:32]}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        build(df).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """df with number, from 0 by order. By ranges of the order: each range's own rank and the sizes of those before it. Rows of equal order are numbered in any way."""
     ranged = kept(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodegraph.operators import context, loops
 from lodegraph.operators import graph as g
 from lodegraph.operators import retrieval as r
-from lodegraph.operators.durable import shared_folder
+from lodegraph.operators.durable import cached, shared_folder
 from lodegraph.plans import corpora, report
 from lodegraph.registry import query
 from lodegraph.sources import code, readers, samples
@@ -322,3 +322,28 @@ def first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: of each document id's files the first."""
     n = table(spark, sf_dir, "nation")
     return readers.first_files(n.select(F.concat(F.lit("dsid_"), (F.col("n_nationkey") % 10).cast("string")).alias("doc_id"), F.concat(F.lit("page"), F.col("n_nationkey").cast("string")).alias("slug")))
+
+
+@query("""WITH q AS (SELECT r_regionkey AS query_id, 'who is in ' || lower(r_name) || ' or has order' || r_regionkey AS text FROM region), e AS (SELECT n_name AS src, 'within' AS rel, r_name AS dst, 'k' || n_nationkey AS chunk_id FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'order' || o_orderkey, 'placed', 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+k AS (SELECT 'k' || n_nationkey AS chunk_id, n_name || ' lies here' AS text FROM nation), w AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) > 3)) AS w FROM q),
+m AS (SELECT DISTINCT query_id, src, rel, dst, chunk_id FROM e JOIN w ON contains(lower(src), w) OR contains(lower(dst), w) OR contains(lower(rel), w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rel, dst, chunk_id) AS rank FROM m) SELECT query_id, rank, src, rel, dst, r.chunk_id, coalesce(trim(substr(text, 1, 250)), 'Chunk text not found') AS snippet FROM r LEFT JOIN k ON k.chunk_id = r.chunk_id WHERE rank <= 3""")
+def audit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.12: from a question to edges of its words and the text that they come from."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    questions = region.select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("who is in "), F.lower("r_name"), F.lit(" or has order"), F.col("r_regionkey").cast("string")).alias("text"))
+    places = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_name").alias("src"), F.lit("within").alias("rel"), F.col("r_name").alias("dst"), key("k", "n_nationkey", "chunk_id"))
+    orders = table(spark, sf_dir, "orders").select(key("order", "o_orderkey", "src"), F.lit("placed").alias("rel"), key("c", "o_custkey", "dst"), key("o", "o_orderkey", "chunk_id"))
+    return context.audit_links(questions, places.unionByName(orders), nation.select(key("k", "n_nationkey", "chunk_id"), F.concat("n_name", F.lit(" lies here")).alias("text")))
+
+
+@query("SELECT item_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM benchmark")
+def cached_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is built of a table's contents is built once, and read the second time."""
+    items, folder = table(spark, sf_dir, "benchmark").select("item_id", "text"), shared_folder(spark)
+    cached(items, folder, "counts", lambda df: df.select("item_id", F.size(context.tokens(F.col("text"))).cast("long").alias("n")))
+
+    def again(df: DataFrame) -> DataFrame:
+        raise AssertionError("built twice")
+
+    return cached(items.orderBy(F.desc("item_id")), folder, "counts", again)
