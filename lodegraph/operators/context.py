@@ -82,7 +82,7 @@ def guided_facts(edges: DataFrame, starts: DataFrame, relations: list[str], hops
     frontier = seen = starts.select("node_id").distinct()
     facts = None
     for h in range(1, hops + 1):
-        met = frontier.join(step, "node_id").select("src", "rel", "dst", F.col("other").alias("node_id"), F.lit(h).cast("long").alias("hop"))
+        met = kept(frontier.join(step, "node_id").select("src", "rel", "dst", F.col("other").alias("node_id"), F.lit(h).cast("long").alias("hop")))
         facts = met if facts is None else facts.unionByName(met)
         frontier = met.select("node_id").distinct().join(seen, "node_id", "left_anti")
         seen = seen.union(frontier)

@@ -58,7 +58,7 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, nodes: DataFrame |
 
 def shared_entities(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, entity_types: list[str], end_type: str, limit: int) -> DataFrame:
     """(node_id, shared): nodes of end_type that share entities with the seeds, by how many distinct ones."""
-    step = incident(edges).select("node_id", "other").distinct()
+    step = incident(edges).select("node_id", "other")
     kinds = nodes.select("node_id", "type")
     entities = step.join(seeds.select("node_id"), "node_id").select(F.col("other").alias("node_id")).distinct().join(kinds.where(F.col("type").isin(entity_types)).select("node_id"), "node_id", "left_semi")
     ends = entities.withColumnRenamed("node_id", "entity").join(step.select(F.col("node_id").alias("entity"), F.col("other").alias("node_id")), "entity")
@@ -188,9 +188,9 @@ def edge_votes(edges: DataFrame, entities: DataFrame, doc_col: str = "doc_id") -
 
 def rare_neighbors(edges: DataFrame, linked: DataFrame, limit: int | None = None) -> DataFrame:
     """(query_id, node_id, rank): a query's linked nodes (query_id, node_id) first, then their neighbours, the least connected first."""
-    step = incident(edges).select("node_id", "other").distinct()
-    degree = step.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
-    near = linked.join(step, "node_id").select("query_id", F.col("other").alias("node_id")).distinct().join(linked.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    step = incident(edges).select("node_id", "other")
+    near = kept(linked.join(step, "node_id").select("query_id", F.col("other").alias("node_id")).distinct().join(linked.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"))
+    degree = step.join(near.select("node_id").distinct(), "node_id", "left_semi").groupBy("node_id").agg(F.countDistinct("other").alias("degree"))
     ordered = linked.select("query_id", "node_id", F.lit(-1).cast("long").alias("degree")).distinct().unionByName(near.join(degree, "node_id").select("query_id", "node_id", "degree"))
     out = ordered.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("degree", "node_id")).cast("long"))
     return out if limit is None else out.where(F.col("rank") <= limit)
@@ -221,7 +221,7 @@ def boosted(direct: DataFrame, edges: DataFrame, evidence: DataFrame, similarity
     An evidence neighbour is one hop away; a neighbour that isn't evidence leads on to evidence at two hops.
     Support counts seeds. score = similarity + weight * min(support, 5) / 5 / hops * spread of the direct scores.
     """
-    step = incident(edges).select("node_id", "other").distinct()
+    step = incident(edges).select("node_id", "other")
     is_evidence = evidence.select("node_id")
     one = direct.select(F.col("node_id").alias("seed"), "node_id").join(step, "node_id").select("seed", F.col("other").alias("node_id")).distinct()
     hit = one.join(is_evidence, "node_id", "left_semi").withColumn("hops", F.lit(1))
@@ -257,7 +257,7 @@ def hydrated(hits: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topped_up(seeds: DataFrame, edges: DataFrame, k: int, extra: int, damping: float = 0.85) -> DataFrame:
     """Seeds (query_id, node_id, score) and their unseen neighbours at the best damped score, the k + extra best."""
-    step = incident(edges).select("node_id", "other").distinct()
+    step = incident(edges).select("node_id", "other")
     near = seeds.join(step, "node_id").groupBy("query_id", F.col("other").alias("node_id")).agg((F.max("score") * damping).alias("score")).join(seeds.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
     both = seeds.select("query_id", "node_id", "score").unionByName(near.select("query_id", "node_id", "score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.durable import kept
 from lodegraph.operators.graph import incident
 
 SUPPORTED, CONTRADICTED, NOT_COVERED = "SUPPORTED", "CONTRADICTED", "NOT_COVERED"
@@ -75,11 +76,11 @@ def scoped_verdicts(claims: DataFrame, mentions: DataFrame, edges: DataFrame, ho
     hit = mentions.join(expected, ["claim_id", "node_id"], "left_semi").groupBy("claim_id").agg(F.lit(1).alias("direct"))
     state = claims.select("claim_id", "subject").join(expected.groupBy("claim_id").agg(F.lit(1).alias("expects")), "claim_id", "left").join(hit, "claim_id", "left").join(mentions.groupBy("claim_id").agg(F.lit(1).alias("mentions")), "claim_id", "left")
     if hops > 1:
-        step = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("other")).distinct()
+        step = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("other"))
         frontier = claims.select("claim_id", F.col("subject").alias("node_id"))
         seen, reached = frontier, None
         for h in range(1, hops + 1):
-            frontier = frontier.join(step, "node_id").select("claim_id", F.col("other").alias("node_id")).distinct().join(seen, ["claim_id", "node_id"], "left_anti")
+            frontier = kept(frontier.join(step, "node_id").select("claim_id", F.col("other").alias("node_id")).join(seen, ["claim_id", "node_id"], "left_anti").distinct())
             seen = seen.union(frontier)
             level = frontier.withColumn("far", F.lit(h))
             reached = level if reached is None else reached.unionByName(level)
@@ -151,11 +152,11 @@ def passage_votes(scored: DataFrame, claim: str) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node_id, depth): what seeds (node_id) reach along or against edges, by the least depth."""
-    step = incident(edges).select("node_id", "other").distinct()
+    step = incident(edges).select("node_id", "other")
     frontier = seen = seeds.select("node_id").distinct()
     out = frontier.withColumn("depth", F.lit(0))
     for h in range(1, hops + 1):
-        frontier = frontier.join(step, "node_id").select(F.col("other").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
+        frontier = kept(frontier.join(step, "node_id").select(F.col("other").alias("node_id")).join(seen, "node_id", "left_anti").distinct())
         seen = seen.union(frontier)
         out = out.unionByName(frontier.withColumn("depth", F.lit(h)))
     return out.where("depth > 0")

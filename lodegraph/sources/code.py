@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.durable import kept
+
 CLASSES = "name string, parent string, ord long, properties array<struct<name:string,type:string,multiplicity:string>>"
 FINDINGS = "path string, line long, defect string"
 _CLASS = re.compile(r"\bClass\b\s*(?:<<[^>]*>>\s*)?(?:\{[^}]*\}\s*)?([\w:]+)(?:\s+extends\s+([\w:]+))?\s*\{")
@@ -130,7 +132,7 @@ def inherited(classes: DataFrame, depth: int = 20) -> DataFrame:
     frontier = classes.select("name", F.col("name").alias("at"), F.lit(0).alias("distance"))
     reached, seen = frontier, frontier.select("name", "at")
     for d in range(1, depth + 1):
-        frontier = frontier.join(parents, "at").where("parent is not null").select("name", F.col("parent").alias("at"), F.lit(d).alias("distance")).join(seen, ["name", "at"], "left_anti")
+        frontier = kept(frontier.join(parents, "at").where("parent is not null").select("name", F.col("parent").alias("at"), F.lit(d).alias("distance")).join(seen, ["name", "at"], "left_anti"))
         if frontier.isEmpty():
             break
         seen, reached = seen.union(frontier.select("name", "at")), reached.unionByName(frontier)
