@@ -15,4 +15,5 @@ def test_queries_without_the_llm_folders(tmp_path):
         shutil.copytree(ROOT / "lodegraph", at / "lodegraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
         for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * (pipeline and (ROOT / "corpus_pipeline.py").exists()):
             shutil.copy(ROOT / name, at / name)
+        (at / "lodegraph/llm/__pycache__").mkdir(parents=True)
         subprocess.run([sys.executable, "-c", CODE], cwd=at, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(at), "HOME": str(tmp_path)})
