@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,6 +114,19 @@ def with_columns_schema(df: DataFrame, drop: list[str], add: list[tuple[str, T.D
     return kept, T.StructType([*kept.schema.fields, *[T.StructField(n, t) for n, t in add]])
 
 
+def map_in_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) whatever the columns are called: Spark's own takes a dot in a name for a field of a struct."""
+    names, wanted = list(df.columns), schema.names
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    numbered = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batch.rename_columns(names) for batch in batches):
+            yield out.rename_columns(numbered.names)
+
+    return plain.mapInArrow(renamed, numbered).toDF(*wanted)
+
+
 def append(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     arrays, names = [*batch.columns, *columns.values()], [*batch.schema.names, *columns]
     return pa.RecordBatch.from_arrays(arrays, names=names)

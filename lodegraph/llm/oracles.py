@@ -74,4 +74,27 @@ f AS (SELECT lang, source, {", ".join(_fence(k) for k in SLACK)} FROM fence GROU
 j AS (SELECT v.*, coalesce(cov.n, 0) AS n_repeat_words, {" OR ".join(f"{k} > _{k}" for k in SLACK)} AS beyond FROM v LEFT JOIN cov USING (doc_id) JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT beyond AS kept FROM j"""
 
-ORACLES = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_near_dedup": NEAR_DEDUP, "op4_line_dedup": LINE_DEDUP_ALONE, "op8_quality_rules": QUALITY_RULES}
+
+
+def _nearest(k: int) -> str:
+    """Each vector's nearest centroid after k rounds."""
+    return f"""a{k} AS MATERIALIZED (SELECT k, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, c)) AS b FROM (
+  SELECT k, vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{k}) GROUP BY k)"""
+
+
+def _moved(k: int) -> str:
+    """Centroids of round k + 1: whole floors of the means, the old one for an empty cluster."""
+    return f"""c{k + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{k} o LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM (
+  SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT b[2] AS c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY 1, 2)) GROUP BY 1) n USING (c))"""
+
+
+CENTROID_CLUSTERS = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT v, sha256('3:' || vec_id) AS h FROM v) ORDER BY h LIMIT 8),
+{", ".join(f"{_nearest(k)}, {_moved(k)}" for k in range(10))},
+{_nearest(10)}
+SELECT vec_id, b[2]::INT AS cluster, b[1] AS distance, sum(b[1]) OVER (PARTITION BY b[2])::BIGINT AS cluster_inertia, sum(b[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON c = b[2]"""
+
+ORACLES = {"op12_centroid_clusters": CENTROID_CLUSTERS, "op2_substring_dedup": SUBSTRING_DEDUP, "op3_near_dedup": NEAR_DEDUP, "op4_line_dedup": LINE_DEDUP_ALONE, "op8_quality_rules": QUALITY_RULES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts
+from lodegraph.llm import byte_bpe, centroid_clusters, decontaminate, html_extract, license_scan, line_dedup, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, token_counts
 from lodegraph.llm.common import read
 from lodegraph.llm.oracles import ORACLES  # noqa: F401
 
@@ -65,6 +65,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
+def model() -> str:
+    """Path of the public SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model(), back_col="decoded", drop_text=True)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroid_clusters.cluster(read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_clusters.centroid_name().alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -76,5 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extract": op9_html_extract,
     "op10_license_scan": op10_license_scan,
+    "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
