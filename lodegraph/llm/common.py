@@ -93,6 +93,18 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> Dat
     return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
+def frequent(counted: DataFrame, n: str, held: int, size: Column | None = None, held_size: int = 0) -> tuple[int, bool]:
+    """The least power of two so that at most `held` rows of counted have n or more, and, if size is given, held_size of it; and whether these are all rows."""
+    classes = counted.groupBy(F.floor(F.log2(n)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.lit(0) if size is None else size).alias("size"))
+    least, rows, total = 63, 0, 0
+    for r in classes.orderBy(F.desc("k")).collect():  # 63 rows at most
+        rows, total = rows + r["rows"], total + r["size"]
+        if rows > held or total > held_size:
+            return (2**least if least < 63 else 2**63 - 1), False
+        least = r["k"]
+    return (2**least if least < 63 else 2**63 - 1), True
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also if body's own functions use it for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

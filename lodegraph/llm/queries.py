@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, centroid_clusters, decontaminate, html_extract, license_scan, line_dedup, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, token_counts
+from lodegraph.llm import byte_bpe, centroid_clusters, decontaminate, html_extract, license_scan, line_dedup, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, token_alignment, token_counts
 from lodegraph.llm.common import read
 from lodegraph.llm.oracles import ORACLES  # noqa: F401
 
@@ -83,6 +83,12 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_clusters.centroid_name().alias("centroid_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -96,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_sentence_pieces": op11_sentence_pieces,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_token_alignment": op13_token_alignment,
 }
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import append, discard, map_in_arrow, materialise, with_columns_schema
+from lodegraph.llm.common import append, discard, frequent, map_in_arrow, materialise, with_columns_schema
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -133,21 +133,14 @@ def counted_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def word_table(docs: DataFrame, model: str, text_col: str = "text", held: int = HELD, held_bytes: int = HELD_BYTES) -> DataFrame:
     """word, ids: the most frequent words of docs, each segmented once; by powers of two of their number, as many classes as fit both bounds."""
     counted = materialise(counted_words(docs, text_col))
-    power = F.floor(F.log2("n")).cast("int")
-    sizes = counted.groupBy(power.alias("k")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word") * 5).alias("bytes")).orderBy(F.desc("k")).collect()  # 63 rows at most
-    least, words, taken = 63, 0, 0
-    for r in sizes:
-        words, taken = words + r["words"], taken + r["bytes"]  # an id for each byte at most, of four bytes
-        if words > held or taken > held_bytes:
-            break
-        least = r["k"]
+    least, _ = frequent(counted, "n", held, F.octet_length("word") * 5, held_bytes)  # an id for each byte at most, of four bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = pieces(model).segmented(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(list(ids.values()), pa.binary())], names=["word", "ids"])
 
-    table = materialise(counted.where(power >= least).select("word").mapInArrow(run, "word string, ids binary"))
+    table = materialise(counted.where(F.col("n") >= least).select("word").mapInArrow(run, "word string, ids binary"))
     discard(counted)
     return table
 
