@@ -222,8 +222,8 @@ def found(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_overlaps", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.list_(pa.int64())), ("pair", pa.int64()), ("n", pa.int64())])
 
-        def batch_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+        def batch_of(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
         own = aligner(a_path, b_path)
         row = TaskContext.get().partitionId() << 40
