@@ -10,21 +10,55 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Of local sessions, by their application: the temporary folder of each.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names. Unset, as in tests, a temporary folder of a local session; a cluster must name one."""
+    """What spark.checkpoint.dir names, or else setCheckpointDir. Neither set, as in tests, one temporary folder for a local session; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get().rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="lodegraph-")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="lodegraph-")
+        leaving(spark, _own[context.applicationId])
+    return _own[context.applicationId]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, which goes when the driver ends."""
+    return leaving(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def leaving(spark: SparkSession, path: str) -> str:
+    """path, which is removed when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, written and read again: computed once, whoever reads it, and not lost with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    """df, written and read again: computed once, whoever reads it, and not lost with an executor. `discard` removes it; what is left goes when the driver ends."""
+    path = new_folder(df.sparkSession, "kept")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodegraph_path = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Remove what `kept` wrote for dfs, which nothing reads any more."""
+    for df in dfs:
+        path = getattr(df, "_lodegraph_path", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cached(df: DataFrame, folder: str, name: str, build) -> DataFrame:

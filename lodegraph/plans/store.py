@@ -13,7 +13,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.operators.durable import shared_folder  # noqa: F401
 
 
 class WorldModelStore:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodegraph.operators import context, loops
 from lodegraph.operators import graph as g
 from lodegraph.operators import retrieval as r
-from lodegraph.operators.durable import cached, shared_folder
+from lodegraph.operators.durable import cached, new_folder, shared_folder
 from lodegraph.plans import corpora, report
 from lodegraph.registry import query
 from lodegraph.sources import code, readers, samples
@@ -103,7 +103,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT printf('fact::%06d', k) AS passage_id, CASE rel WHEN 'in_nation' THEN src || ' is in ' || dst ELSE src || ' lies in ' || dst END || '.' AS text, src || ',' || dst AS entities FROM k WHERE rel <> 'called'""")
 def fact_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§2.12, S12: a passage for each triple, written as JSON lines and read."""
-    path = f"{shared_folder(spark)}/passages-{uuid.uuid4().hex}"
+    path = new_folder(spark, "passages")
     corpora.write_passages(corpora.fact_passages(_places(spark, sf_dir), FORWARD), path)
     return samples.passages(spark, path).select("passage_id", "text", F.array_join("entities", ",").alias("entities"))
 
@@ -159,7 +159,7 @@ def training_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRAPH_SQL} SELECT rel, count(*) AS n, (SELECT count(*) FROM nodes) AS num_nodes FROM edges GROUP BY rel""")
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: the graph as JSON lines, GraphML and a manifest; what the manifest, read again, says of its relations."""
-    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    path = new_folder(spark, "export")
     corpora.export_graph(nodes(spark, sf_dir).select("node_id", "label", F.col("type").alias("kind")), edges(spark, sf_dir), path, {"corpus": "orders"})
     m = spark.read.text(f"{path}/manifest").select(F.from_json("value", "num_nodes long, relation_distribution map<string,long>").alias("m"))
     return m.select(F.explode("m.relation_distribution").alias("rel", "n"), F.col("m.num_nodes").alias("num_nodes"))
@@ -293,7 +293,7 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT arm, round(avg(price), 6) AS price, count(*) AS n, (SELECT count(*) FROM orders) AS counted FROM ({ARMS}) GROUP BY 1""")
 def run_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: a run's results with the manifest beside them, both read again."""
-    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    path = new_folder(spark, "run")
     arms = _arms(spark, sf_dir)
     payload = arms.groupBy("arm").agg(F.round(F.avg("price"), 6).alias("price"), F.count(F.lit(1)).alias("n"))
     report.write_artifact(payload, report.manifest(spark, "prices", {"metric": "price"}, {"orders": arms.count()}), path)
@@ -305,7 +305,7 @@ def run_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN n_nationkey % 5 > 1 THEN 'box' ELSE '' END AS container, 'text of ' || n_name AS text FROM nation""")
 def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files of a tree, named by id and title, at three depths."""
-    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    root = new_folder(spark, "tree")
     for n in table(spark, sf_dir, "nation").collect():  # a file for each nation
         k = n.n_nationkey
         folder = ["", f"r{n.n_regionkey}/", f"r{n.n_regionkey}/box/"][min(2, k % 5)]

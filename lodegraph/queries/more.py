@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import collapsed
 from lodegraph.operators import verify as v
+from lodegraph.operators.durable import kept, new_folder
 from lodegraph.plans import memory
-from lodegraph.plans.store import shared_folder
+from lodegraph.plans.store import WorldModelStore
 from lodegraph.queries.structure import CLASS_TEXT
 from lodegraph.registry import query
 from lodegraph.sources import code
 from lodegraph.sources.tables import table
+from lodegraph.streaming import spans
 
 
 def class_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +91,7 @@ def containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots written with their digest, read back and checked."""
     slots = table(spark, sf_dir, "embeddings").select(F.col("label").alias("qid"), F.col("vec_id").alias("slot"), F.col("embedding").alias("vec"))
-    path = f"{shared_folder(spark)}/slots-{uuid.uuid4().hex}"
+    path = new_folder(spark, "slots")
     memory.save(slots, path, {"model": "given"})
     return memory.load(spark, path).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
 
@@ -110,14 +112,33 @@ def one_hop_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around.withColumn("k", F.row_number().over(Window.partitionBy("node_id").orderBy("line"))).where("k <= 15").drop("k")
 
 
-@query("""SELECT event_id, CASE WHEN n_nationkey IS NULL THEN 'NOT_COVERED' WHEN n_regionkey < 2 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict FROM events LEFT JOIN nation ON n_nationkey = user_id""")
+@query("""WITH half AS (SELECT quantile_disc(o_orderkey, 0.5) AS k FROM orders),
+t AS (SELECT o_orderkey AS text_id, o_orderkey <= k AS early, c_custkey, c_name, n.n_name AS said, c_mktsegment, c_acctbal > 0 AS known, o_orderkey % 25 = c_nationkey AS fits, o_orderpriority FROM orders, half, customer, nation n WHERE c_custkey = o_custkey AND n.n_nationkey = o_orderkey % 25),
+s AS (SELECT text_id, 0 AS checkpoint, c_name || ' lives in ' || said || '.' AS span, CASE WHEN early AND NOT known THEN 'NOT_COVERED' WHEN fits THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict, early FROM t
+  UNION ALL SELECT text_id, 1, said || ' belongs to ' || r_name || '!', CASE WHEN r_regionkey = n_regionkey THEN 'SUPPORTED' ELSE 'CONTRADICTED' END, early FROM t JOIN nation ON n_name = said JOIN region ON r_regionkey = text_id % 5
+  UNION ALL SELECT text_id, 2, 'Its order is ' || o_orderpriority || '.', 'NOT_COVERED', early FROM t)
+SELECT text_id, checkpoint, span, verdict, CASE WHEN early THEN 'v1' ELSE 'v2' END AS version FROM s""")
 def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of spans judged against the graph, a stateless join of stream and table."""
-    from lodegraph.streaming.chunks import drained
-
-    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "events").select("event_id", "user_id").write.parquet(path)
-    stream = spark.readStream.schema("event_id long, user_id long").parquet(path)
-    judged = stream.join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("user_id"), "n_regionkey"), "user_id", "left")
-    verdict = F.when(F.col("n_regionkey").isNull(), v.NOT_COVERED).when(F.col("n_regionkey") < 2, v.SUPPORTED).otherwise(v.CONTRADICTED)
-    return drained(judged.select("event_id", verdict.alias("verdict")), f"spans_{uuid.uuid4().hex}")
+    """Texts about all orders, judged sentence by sentence against stored facts; a second version of them comes half way, with all customers."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    key = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    things = [c.select(key("c", "c_custkey").alias("node_id"), F.col("c_name").alias("label")), n.select(key("n", "n_nationkey"), "n_name"), r.select(key("r", "r_regionkey"), "r_name")]
+    known = reduce(DataFrame.union, things)
+    within = n.select(key("n", "n_nationkey").alias("src"), F.lit("in_region").alias("rel"), key("r", "n_regionkey").alias("dst"))
+    lives = lambda rows: rows.select(key("c", "c_custkey").alias("src"), F.lit("in_nation").alias("rel"), key("n", "c_nationkey").alias("dst"))
+    store = WorldModelStore(spark, new_folder(spark, "facts"))
+
+    said = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("o_orderkey") % 25 == F.col("n_nationkey")).join(r, F.col("o_orderkey") % 5 == F.col("r_regionkey"))
+    text = F.concat(F.col("c_name"), F.lit(" lives in "), "n_name", F.lit(". "), "n_name", F.lit(" belongs to "), "r_name", F.lit("! Its order is "), "o_orderpriority", F.lit("."))
+    half = table(spark, sf_dir, "orders").agg(F.expr("percentile_disc(0.5) within group (order by o_orderkey)").cast("long").alias("half"))
+    texts = kept(said.join(F.broadcast(half)).select(F.col("o_orderkey").cast("long").alias("text_id"), text.alias("text"), (F.col("o_orderkey") <= F.col("half")).alias("early")))  # one row
+
+    path = new_folder(spark, "texts")
+    texts.select("text_id", "text").limit(0).write.parquet(path)  # a stream's folder has to be there
+    stream = spark.readStream.schema("text_id long, text string").parquet(path)
+    validation = spans.SpanValidation(stream, {"lives in": "in_nation", "belongs to": "in_region"}, store, "facts", "world")
+    for version, facts, part in (("v1", lives(c.where("c_acctbal > 0")), texts.where("early")), ("v2", lives(c), texts.where("not early"))):
+        store.save(known, facts.unionByName(within), "facts", version, "world")
+        part.select("text_id", "text").write.mode("append").parquet(path)
+        validation.drain()
+    return validation.verdicts().select("text_id", "checkpoint", "span", "verdict", "version")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodegraph.plans.store import shared_folder
+from lodegraph.operators.durable import kept, new_folder
 from lodegraph.registry import query
 from lodegraph.sources.tables import table
 from lodegraph.streaming import chunks as c
@@ -76,14 +74,46 @@ def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_batches(conversation_tokens(spark, sf_dir), M)
 
 
-@query(CHUNKS_SQL)
+#: The stream of events: chunks of four, a key closes after two days, rows may be an hour late.
+SESSION = (4, "2 days", "1 hour")
+SESSIONS_SQL = """WITH a AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS token, ts FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 2 DAY THEN 1 ELSE 0 END AS gap FROM a WHERE token <> 'error' WINDOW w AS (PARTITION BY key ORDER BY ts, pos)),
+r AS (SELECT *, sum(gap) OVER (PARTITION BY key ORDER BY ts, pos) AS part FROM g),
+s AS (SELECT key, part, max(pos) AS top, max(ts) AS last FROM r GROUP BY 1, 2),
+k AS (SELECT key, part, coalesce(max(top) OVER (PARTITION BY key ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 4 + 1, 0) AS first,
+  lead(part) OVER (PARTITION BY key ORDER BY part) IS NOT NULL OR last + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM r) AS closed FROM s),
+p AS (SELECT r.*, pos // 4 AS chunk, first, closed FROM r JOIN k USING (key, part)),
+c AS (SELECT key, part, chunk, first, closed, count(*) AS n, string_agg(token, ' ' ORDER BY pos) AS text FROM p WHERE chunk >= first GROUP BY 1, 2, 3, 4, 5),
+f AS (SELECT *, sum(CASE WHEN n = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY key, part ORDER BY chunk) AS whole FROM c)
+SELECT key, chunk, text, CASE WHEN n = 4 THEN 'complete' ELSE 'incomplete' END AS status, n FROM f WHERE closed OR whole = chunk - first + 1
+UNION ALL SELECT key, NULL, NULL, 'late', count(*) FROM p WHERE closed AND chunk < first GROUP BY key, part"""
+
+
+def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events by their place; errors are lost on the way, which leaves holes."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    numbered = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), place.cast("long").alias("pos"), F.col("event_type").alias("token"), "ts")
+    return numbered.where("token <> 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(SESSIONS_SQL)
+def chunk_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: the batch twin: chunks of each user's events with holes, closed when no event comes for two days."""
+    return c.chunk_sessions(event_tokens(spark, sf_dir), *SESSION)
+
+
+@query(SESSIONS_SQL)
 def chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: the same chunks from a stream of the conversations table, with keyed state."""
-    # positions come from the batch side, as tokens of a live stream carry theirs
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    conversation_tokens(spark, sf_dir).select(F.col("key").cast("long").alias("key"), F.col("pos").cast("long").alias("pos"), "token").write.parquet(path)
-    stream = spark.readStream.schema("key long, pos long, token string").option("maxFilesPerTrigger", 2).parquet(path)
-    return c.drained(c.chunk_stream(stream, M), f"chunks_{uuid.uuid4().hex}")
+    """T5: the same chunks from a stream of the events, with keyed state and event-time timers."""
+    path, parts, files = new_folder(spark, "tokens"), 4, 4
+    tokens = kept(event_tokens(spark, sf_dir))
+    ends = tokens.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b"))
+    share = (F.unix_micros("ts") - F.col("a")) * parts / (F.col("b") - F.col("a") + 1)
+    dealt = tokens.join(F.broadcast(ends)).select(*tokens.columns, F.floor(share).alias("part"))  # one row
+    for k in range(parts):  # a stretch of time after the other, as they would come; each trigger reads one
+        dealt.where(F.col("part") == k).drop("part").repartition(files).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("key long, pos long, token string, ts timestamp").option("maxFilesPerTrigger", files).parquet(path)
+    return c.drained(c.chunk_stream(stream, *SESSION), "chunks")
 
 
 @query("SELECT conv_id, turn, count(*) OVER (PARTITION BY text) AS asked FROM conversations")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators import graph as g
 from lodegraph.plans import builders as b
 from lodegraph.plans import rules, runtime
-from lodegraph.plans.store import WorldModelStore, shared_folder
+from lodegraph.operators.durable import new_folder
+from lodegraph.plans.store import WorldModelStore
 from lodegraph.queries import text  # noqa: F401
 from lodegraph.registry import ORACLES, query
 from lodegraph.sources import code, readers
@@ -39,7 +38,7 @@ def question_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRAPH_SQL} SELECT src, rel, dst FROM edges WHERE rel <> 'contains' ORDER BY 1, 2, 3")
 def typed_edge_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written as tab-separated values and read again, by relation."""
-    path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    path = new_folder(spark, "edges")
     edges(spark, sf_dir).toDF("source", "metaedge", "target").write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
     return readers.typed_edges(spark, path, ["in_nation", "in_region", "placed_by", "supplied_by"])
 
@@ -216,7 +215,7 @@ def document_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey AS node_id, count(*) AS degree FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model built, saved, loaded, and asked."""
-    store = WorldModelStore(spark, f"{shared_folder(spark)}/models-{uuid.uuid4().hex}")
+    store = WorldModelStore(spark, new_folder(spark, "models"))
     n, e = store.get_or_build("tpch", "v1", "suppliers", lambda: (nodes(spark, sf_dir).where("type = 'supplier'"), edges(spark, sf_dir, ("supplied_by",))))
     return e.join(n.select(F.col("node_id").alias("dst")), "dst").groupBy(F.expr("cast(substring(dst, 2) as bigint)").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
 

@@ -3,8 +3,8 @@
 A sequence of n tokens is cut into chunks of m. The window of chunk u begins at
 u*m + m - 1, when the chunk is complete, and lasts m tokens; before the first, nothing is active.
 The stream keeps, for each key, the tokens of chunks that aren't complete and the number of
-the next chunk; tokens carry their position and may arrive in any order. The batch
-twin groups by chunk and must give the same rows.
+the next chunk; tokens carry their position and may arrive in any order. A key with a hole is closed by
+a timer. The batch twin cuts each key's tokens where the timer would and must give the same rows.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lodegraph.operators.durable import shared_folder
+from lodegraph.operators.durable import new_folder
 
 
 def spans(n: Column, m: int) -> Column:
@@ -63,25 +64,144 @@ def chunk_batches(tokens: DataFrame, m: int) -> DataFrame:
     return whole.select("key", "chunk", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("text"))
 
 
-def chunk_stream(tokens: DataFrame, m: int) -> DataFrame:
-    """The same rows from a stream: each chunk once, when its last token has come and all chunks before it are out.
+#: chunk and text are null in a row that counts late tokens; n is the number of tokens that the row stands for.
+CHUNKS = "key long, chunk long, text string, status string, n long"
+COMPLETE, INCOMPLETE, LATE = "complete", "incomplete", "late"
+NEVER = -(2**63)
 
-    State: the next chunk's number and the tokens that wait, at most those that came early.
+
+class ChunkProcessor(StatefulProcessor):
+    """The open chunks of one key: tokens wait in a map by their position, an event-time timer closes what no token has come to for `patience` microseconds.
+
+    A closed stretch gives its chunks as they are, whole or not, and the key goes on behind them; tokens of earlier chunks are late and
+    counted. `forget` microseconds after that a second timer removes what is left of the key.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        nxt, places, waiting = state.get if state.exists else (0, [], [])
-        held = dict(zip(map(int, places), waiting, strict=True))
-        for f in frames:
-            held.update({int(p): t for p, t in zip(f["pos"], f["token"], strict=True) if p >= nxt * m})
+    def __init__(self, m: int, patience: int, forget: int):
+        self.m, self.patience, self.forget = m, patience, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        #: The next chunk, late tokens so far, when the last token came (NEVER: the stretch is closed), and the timer (NEVER: none).
+        self.head = handle.getValueState("head", "nxt long, late long, last long, timer long")
+        self.waiting = handle.getMapState("waiting", "pos long", "token string")
+
+    def _load(self) -> None:
+        self.nxt, self.late, self.last, self.timer = (int(x) for x in self.head.get()) if self.head.exists() else (0, 0, NEVER, NEVER)
+        self.held = {int(k[0]): v[0] for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        self.stored = set(self.held)
+
+    def _store(self, wake: int) -> None:
+        """Only tokens that came or went are written."""
+        for p in self.stored.difference(self.held):
+            self.waiting.removeKey((p,))
+        for p in set(self.held).difference(self.stored):
+            self.waiting.updateValue((p,), (self.held[p],))
+        at = -(-wake // 1000)  # timers are in milliseconds
+        if at != self.timer:
+            if self.timer != NEVER:
+                self.handle.deleteTimer(self.timer)
+            self.handle.registerTimer(at)
+        self.head.update((self.nxt, self.late, self.last, at))
+
+    def _ready(self) -> list[tuple]:
+        """The next chunks, as long as they are complete."""
         out = []
-        while all(nxt * m + i in held for i in range(m)):
-            out.append((key[0], nxt, " ".join(held.pop(nxt * m + i) for i in range(m))))
-            nxt += 1
-        state.update((nxt, list(held), list(held.values())))
-        yield pd.DataFrame(out, columns=["key", "chunk", "text"])
+        while all(self.nxt * self.m + i in self.held for i in range(self.m)):
+            out.append((self.nxt, " ".join(self.held.pop(self.nxt * self.m + i) for i in range(self.m)), COMPLETE, self.m))
+            self.nxt += 1
+        return out
+
+    def _close(self) -> list[tuple]:
+        """Every chunk that has a token, then the count of late ones."""
+        out = []
+        for chunk in sorted({p // self.m for p in self.held}):
+            own = [self.held[p] for p in range(chunk * self.m, (chunk + 1) * self.m) if p in self.held]
+            out.append((chunk, " ".join(own), COMPLETE if len(own) == self.m else INCOMPLETE, len(own)))
+            self.nxt = chunk + 1
+        if self.late:
+            out.append((None, None, LATE, self.late))
+        self.held, self.late, self.last = {}, 0, NEVER
+        return out
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        chunk, text, status, n = zip(*rows, strict=True) if rows else ((), (), (), ())
+        plain = {"text": text, "status": status}
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(rows), dtype="int64"), "chunk": pd.Series(chunk, dtype="Int64"), **{c: pd.Series(x, dtype=object) for c, x in plain.items()}, "n": pd.Series(n, dtype="int64")})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._load()
+        out: list[tuple] = []
+        arrived = [r for f in rows for r in zip(f["at"], f["pos"], f["token"], strict=True)]
+        for at, pos, token in sorted(arrived, key=lambda r: (r[0], r[1])):
+            if self.last != NEVER and at - self.last > self.patience:
+                out += self._close()
+            self.last = max(self.last, int(at))
+            if pos < self.nxt * self.m:
+                self.late += 1
+            else:
+                self.held[int(pos)] = token
+                if pos // self.m == self.nxt:
+                    out += self._ready()
+        self._store(self.last + self.patience)
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
+        self.timer = NEVER if self.timer == expiredTimerInfo.getExpiryTimeInMs() else self.timer
+        if self.last == NEVER:
+            self.head.clear()
+            self.waiting.clear()
+            return
+        wake = self.last + self.patience + self.forget
+        out = self._close()
+        self._store(wake)
+        yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def chunk_stream(tokens: DataFrame, m: int, patience: str, delay: str = "0 seconds", forget: str = "365 days") -> DataFrame:
+    """CHUNKS of a stream of tokens (key long, pos long, token, ts), as `chunk_sessions` gives them of a table.
+
+    A chunk goes out once all before it are out, or once its key is closed: no token for `patience` of event time, by the watermark or by the
+    key's own next token. `delay` is how late rows may be; a row as old as the newest one less that is dropped. The stream needs the RocksDB state store: `drained` sets it for the
+    time that it runs.
+    """
+    own = tokens.select("key", "pos", "token", F.unix_micros("ts").alias("at"), "ts").withWatermark("ts", delay)
+    return own.groupBy("key").transformWithStateInPandas(ChunkProcessor(m, _micros(patience), _micros(forget)), CHUNKS, "append", "EventTime")
 
-    return tokens.groupBy("key").applyInPandasWithState(step, "key long, chunk long, text string", "nxt long, places array<long>, waiting array<string>", "append", "NoTimeout")
+
+def _micros(interval: str) -> int:
+    return int(pd.Timedelta(interval) / pd.Timedelta("1us"))
+
+
+def chunk_sessions(tokens: DataFrame, m: int, patience: str, delay: str = "0 seconds") -> DataFrame:
+    """The batch twin of `chunk_stream` for tokens that come in the order of ts, positions rising with it: CHUNKS.
+
+    A key's tokens fall into stretches where patience runs out between two of them. All chunks of a stretch go out that lie behind the stretch before; of the last
+    one only those complete from its first on, unless patience has run out for it as well when the stream ends.
+    """
+    order = Window.partitionBy("key").orderBy("at", "pos")
+    gap = F.coalesce((F.col("at") - F.lag("at").over(order) > _micros(patience)).cast("int"), F.lit(0))
+    rows = tokens.select("key", "pos", "token", F.unix_micros("ts").alias("at")).withColumn("_gap", gap).withColumn("part", F.sum("_gap").over(order))
+    stretches = rows.groupBy("key", "part").agg(F.max("pos").alias("top"), F.max("at").alias("last"))
+    ahead = Window.partitionBy("key").orderBy("part")
+    end = rows.agg((F.max("at") - _micros(delay)).alias("end"))
+    first = F.coalesce(F.floor(F.max("top").over(ahead.rowsBetween(Window.unboundedPreceding, -1)) / m) + 1, F.lit(0)).cast("long")
+    closed = F.lead("part").over(ahead).isNotNull() | (F.col("last") + _micros(patience) <= F.col("end"))
+    known = stretches.join(F.broadcast(end)).select("key", "part", first.alias("first"), closed.alias("closed"))  # end is one row
+    placed = rows.join(known, ["key", "part"]).withColumn("chunk", F.floor(F.col("pos") / m).cast("long"))
+    late = placed.where("closed and chunk < first").groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).select("key", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("string").alias("text"), F.lit(LATE).alias("status"), "n")
+    chunks = placed.where("chunk >= first").groupBy("key", "part", "chunk", "first", "closed").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    whole = F.sum((F.col("n") == m).cast("int")).over(Window.partitionBy("key", "part").orderBy("chunk"))
+    out = chunks.withColumn("_w", whole).where(F.col("closed") | (F.col("_w") == F.col("chunk") - F.col("first") + 1))
+    text = F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("text")
+    return out.select("key", "chunk", text, F.when(F.col("n") == m, COMPLETE).otherwise(INCOMPLETE).alias("status"), "n").unionByName(late)
 
 
 def once_per_text(queries: DataFrame, retrieve) -> DataFrame:
@@ -92,7 +212,12 @@ def once_per_text(queries: DataFrame, retrieve) -> DataFrame:
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a bounded stream has given when all that is available is through: written as Parquet to the shared folder, batch by batch, and read from there."""
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/{name}"
-    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    at = new_folder(spark, name)
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

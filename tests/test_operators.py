@@ -1,5 +1,6 @@
 """Operators on small hand-built inputs with known answers."""
 
+import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -188,12 +189,40 @@ def test_chunk_geometry(spark, m):
 
 def test_stream_waits_for_missing_tokens(spark, tmp_path):
     rows = [(1, 1, "b"), (1, 0, "a"), (1, 2, "c"), (1, 3, "d"), (2, 1, "y")]
-    for i, part in enumerate((rows[:1] + rows[4:], rows[1:4])):
-        spark.createDataFrame(part, "key long, pos long, token string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        del i
-    stream = spark.readStream.schema("key long, pos long, token string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = sorted(tuple(x) for x in c.drained(c.chunk_stream(stream, 2), "waits").collect())
-    assert got == [(1, 0, "a b"), (1, 1, "c d")]
+    got = streamed_chunks(spark, tmp_path, [[(*r, k + 1) for r in part] for k, part in enumerate((rows[:1] + rows[4:], rows[1:4]))], 2, "1 day")
+    assert got == [(1, 0, "a b", "complete", 2), (1, 1, "c d", "complete", 2)]
+
+
+def streamed_chunks(spark, tmp_path, batches, m, patience):
+    """Rows of the stream of batches of (key, pos, token, second), a trigger each."""
+    for part in batches:
+        rows = spark.createDataFrame(part, "key long, pos long, token string, at long")
+        rows.select("key", "pos", "token", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key long, pos long, token string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    return sorted((tuple(x) for x in c.drained(c.chunk_stream(stream, m, patience), "chunks").collect()), key=str)
+
+
+def test_a_timer_closes_a_key_with_a_hole(spark, tmp_path):
+    """Key 1 never gets its second token; key 2 moves the time on; then a token comes too late, and one goes on behind the closed chunk."""
+    batches = [[(1, 0, "a", 1), (1, 2, "c", 2), (1, 3, "d", 3)], [(2, 0, "x", 5)], [(2, 1, "y", 500)], [(1, 1, "b", 501), (1, 4, "e", 502), (1, 5, "f", 503)], [(2, 2, "z", 2000)]]
+    got = streamed_chunks(spark, tmp_path, batches, 2, "100 seconds")
+    assert got == sorted([(1, 0, "a", "incomplete", 1), (1, 1, "c d", "complete", 2), (1, 2, "e f", "complete", 2), (1, None, None, "late", 1), (2, 0, "x", "incomplete", 1), (2, None, None, "late", 1)], key=str)
+
+
+def test_sessions_equal_the_stream_on_random_tokens(spark, tmp_path):
+    rng, rows = random.Random(8), []
+    for k in range(12):
+        at = 0
+        for pos in range(rng.randrange(1, 40)):
+            at += rng.choice([1, 2, 3, 90])
+            if rng.random() > 0.15:
+                rows.append((k, pos, f"{k}.{pos}", at))
+    rows.sort(key=lambda r: r[3])
+    table = spark.createDataFrame(rows, "key long, pos long, token string, at long").select("key", "pos", "token", F.timestamp_seconds("at").alias("ts"))
+    want = sorted((tuple(x) for x in c.chunk_sessions(table, 3, "50 seconds").collect()), key=str)
+    cut = len(rows) // 3
+    assert streamed_chunks(spark, tmp_path, [rows[:cut], rows[cut : 2 * cut], rows[2 * cut :]], 3, "50 seconds") == want
+    assert {r[3] for r in want} == {"complete", "incomplete", "late"}
 
 
 def test_store_round_trip(spark, edges, tmp_path):
