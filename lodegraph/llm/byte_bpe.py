@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import append, with_columns_schema
+from lodegraph.llm.common import append, map_in_arrow, with_columns_schema
 
 #: Transitions and pairs of tokens that are kept; beyond it the tables start anew.
 MOVES, FITS = 800_000, 200_000
@@ -433,7 +433,7 @@ def _mapped(df: DataFrame, columns: list[tuple[str, T.DataType]], gone: str | No
                 part = batch.slice(a, ROWS)
                 yield append(part.drop_columns([gone]) if gone else part, make(part))
 
-    return kept.mapInArrow(run, schema)
+    return map_in_arrow(kept, run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False) -> DataFrame:

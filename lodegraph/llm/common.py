@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodegraph.operators.durable import discard, shared_folder  # noqa: F401
+from lodegraph.operators.durable import kept as materialise  # noqa: F401
+
 #: A word of the contracts: a run of anything but space and the five ASCII controls from tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
@@ -21,53 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Unset, a temporary one in local sessions, as in tests; a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get().rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="lodegraph-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again.
-
-    Compressed by zstd, whose buffers are reused; the default codec takes new ones outside the heap for each file.
-    Cuts the lineage, survives lost executors, is compressed, and has exact size
-    statistics for later joins. `discard` removes it; what is left goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodegraph-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lodegraph_path = path
-    place, files = _place(spark, path)
-    files.deleteOnExit(place)
-    return out
-
-
-def _place(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def discard(*dfs: DataFrame) -> None:
-    """Remove what `materialise` wrote for dfs; for intermediates that nothing reads any more."""
-    for df in dfs:
-        path = getattr(df, "_lodegraph_path", None)
-        if path:
-            place, files = _place(df.sparkSession, path)
-            files.delete(place, True)
-
-
 def fresh(df: DataFrame, prefix: str = "_") -> str:
     """A beginning that no column's name of df has, for columns of one's own."""
     while any(c.lower().startswith(prefix) for c in df.columns):

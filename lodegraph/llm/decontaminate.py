@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.llm.common import discard, map_in_arrow, materialise
+
 #: One edit is allowed for each ERRORS characters.
 ERRORS = 12
 #: Characters of items that one pass over the documents looks for.
-BLOCK = 16_000_000
+BLOCK = 1_600_000
 MATCHES = "doc_id long, item_id long, n_errors long"
 
 
@@ -171,10 +173,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, errors: int = ERRORS, id_co
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, errors: int = ERRORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text contains no item. Judged by row: texts are read and dropped in one pass for each block."""
-    out = docs
-    for block in _blocks(docs.sparkSession, items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")), errors):
-        out = out.mapInArrow(_drop(block, text_col), out.schema)
+    """The rows of docs whose text contains no item. Judged by row: texts are read and dropped in one pass for each block, and what is left is written before the next."""
+    out, written = docs, []
+    for k, block in enumerate(_blocks(docs.sparkSession, items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")), errors)):
+        if k:  # a task holds one automaton at a time
+            left = materialise(out)
+            discard(*written)
+            written, out = [left], left
+        out = map_in_arrow(out, _drop(block, text_col), out.schema)
     return out
 
 

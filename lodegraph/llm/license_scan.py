@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import append, with_columns_schema
+from lodegraph.llm.common import append, map_in_arrow, with_columns_schema
 
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -480,4 +480,4 @@ def license_scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True
                 columns = {n: pa.array(v, t) for (n, _), v, t in zip(OUTPUTS, values, types, strict=True)}
                 yield append(part if keep_text else part.drop_columns([text_col]), columns)
 
-    return kept.mapInArrow(run, schema)
+    return map_in_arrow(kept, run, schema)

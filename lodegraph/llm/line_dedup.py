@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegraph.llm import doubling
-from lodegraph.llm.common import append, discard, fresh, materialise, order_key, row_key, with_columns_schema
+from lodegraph.llm.common import append, discard, fresh, map_in_arrow, materialise, order_key, row_key, with_columns_schema
 
 #: Runs of so many lines go whatever is on them; shorter ones by their lines' contents.
 MIN_LINES = 2
@@ -42,15 +42,16 @@ def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return texts.select("rk", "ord", line).select("rk", "ord", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(17), "line").alias("b"))
 
 
-def line_dedup(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text", single_words: int = 1, longest_runs: bool = True) -> DataFrame:
     """docs with n_lines, n_removed, longest_run and kept_text, the lines left (null if the text is null).
 
-    With min_lines, runs of so many lines go and nothing else does; without, runs of MIN_LINES and single lines that say something.
+    With min_lines, runs of so many lines go and nothing else does; without, runs of MIN_LINES and single lines that say something: those of at least
+    single_words words and with a letter or a digit. Without longest_runs, longest_run is null, which spares all ranks but those that the deletion needs.
     """
     alone, min_lines = min_lines is None, min_lines or MIN_LINES
     outputs = [("n_lines", T.LongType()), ("n_removed", T.LongType()), ("longest_run", T.LongType()), ("kept_text", T.StringType())]
     first = doubling.first_ranks(line_ids(docs, id_col, text_col), ["a", "b"])
-    levels = doubling.all_lengths(first)
+    levels = doubling.all_lengths(first) if longest_runs else []
     known = dict(levels)
     ranks = known[min_lines] if min_lines in known else doubling.at_length(first, min_lines)
     later = doubling.later_copies(ranks)
@@ -59,11 +60,13 @@ def line_dedup(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc
     kept, schema = with_columns_schema(docs, [n for n, _ in outputs], outputs)
     own = fresh(kept)
     key, gone, longest = f"{own}rk", f"{own}gone", f"{own}longest"
-    runs = doubling.longest(levels) if levels else first.groupBy("rk").agg(F.max(F.lit(0).cast("long")).alias("longest"))
+    runs = doubling.longest(levels) if levels else first.select("rk", F.lit(0 if longest_runs else None).cast("long").alias("longest")).distinct()
     marks = materialise(later.groupBy("rk").agg(F.collect_list("pos").alias(gone)).join(runs, "rk", "full").withColumnsRenamed({"rk": key, "longest": longest}))
     discard(first, ranks, *known.values())
     joined = kept.withColumn(key, row_key(id_col, text_col)).join(marks.hint("shuffle_hash"), key, "left").select(*[F.col(f"`{c}`") for c in kept.columns], gone, longest)
 
+    none = 0 if longest_runs else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, max(1, batch.num_rows), 256):
@@ -71,18 +74,18 @@ def line_dedup(docs: DataFrame, min_lines: int | None = None, id_col: str = "doc
                 rows = []
                 for text, starts, run_length in zip(*[part.column(c).to_pylist() for c in (text_col, gone, longest)], strict=True):
                     if text is None:
-                        rows.append((0, 0, run_length or 0, None))
+                        rows.append((0, 0, run_length or none, None))
                         continue
                     lines = text.split("\n")
                     out = bytearray(len(lines))
                     for s in starts or ():
                         if s >= 0:
                             out[s : s + min_lines] = b"\1" * min_lines
-                        elif any(map(str.isalnum, lines[-1 - s])):
+                        elif any(map(str.isalnum, lines[-1 - s])) and (single_words < 2 or len(lines[-1 - s].split()) >= single_words):
                             out[-1 - s] = 1
                     left = [x for x, o in zip(lines, out, strict=True) if not o]
-                    rows.append((len(lines), len(lines) - len(left), run_length or 0, "\n".join(left)))
+                    rows.append((len(lines), len(lines) - len(left), run_length or none, "\n".join(left)))
                 values = list(zip(*rows, strict=True)) or [[]] * 4
                 yield append(part.drop_columns([gone, longest]), {n: pa.array(v, t) for (n, _), v, t in zip(outputs, values, [pa.int64()] * 3 + [pa.string()], strict=True)})
 
-    return joined.mapInArrow(run, schema)
+    return map_in_arrow(joined, run, schema)

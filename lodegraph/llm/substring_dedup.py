@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegraph.llm import rolling
-from lodegraph.llm.common import append, discard, fresh, materialise, order_key, row_key, with_columns_schema
+from lodegraph.llm.common import append, discard, fresh, map_in_arrow, materialise, order_key, row_key, with_columns_schema
 
 WINDOW, GRAM = 50, 16
 #: state: ASK by anchor; KNOWN, an earlier document in the same map task has the same; DIFFER, its windows are counted. Rows that don't ask lie anywhere, not with their anchor.
@@ -203,4 +203,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
                 types = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.string()]
                 yield append(part.drop_columns([mark]), {n: pa.array(v, t) for (n, _), v, t in zip(outputs, values, types, strict=True)})
 
-    return joined.mapInArrow(run, schema)
+    return map_in_arrow(joined, run, schema)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from tests.llm import fixture as fx
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: Columns that the operators write or use, as they may stand in a table already.
-CLASH = ["_rk", "_marks", "_gone", "_longest", "_parts", "_stream", "_entropy", "_qg0", "symbol_share", "dup_share", "upper_share", "word_tenths", "n_words", "n_removed", "removed", "kept_text", "ids", "kept", "base_failed", "spans", "base_spans", "labels", "score", "n_lines", "rk", "ord", "node", "label", "u", "v", "s", "n", "_words", "h1"]
+CLASH = ["x.y", "a b", "_rk", "_marks", "_gone", "_longest", "_parts", "_stream", "_entropy", "_qg0", "symbol_share", "dup_share", "upper_share", "word_tenths", "n_words", "n_removed", "removed", "kept_text", "ids", "kept", "base_failed", "spans", "base_spans", "labels", "score", "n_lines", "rk", "ord", "node", "label", "u", "v", "s", "n", "_words", "h1"]
 
 
 @lru_cache
@@ -146,6 +147,14 @@ def test_line_dedup_of_single_lines(spark):
     assert got == {1: rows[0][1], 2: "c d\ne f", 3: "g h\n---", 4: "", 5: "i j", 6: "k"}
 
 
+def test_line_dedup_of_single_lines_by_words_and_without_lengths(spark):
+    docs = spark.createDataFrame([(1, "one line of words\nYes\na"), (2, "Yes\nb\none line of words\nc")], "doc_id long, text string").withColumn("x.y", F.lit(1))
+    left = lambda **more: {r.doc_id: (r.kept_text, r.longest_run) for r in line_dedup.line_dedup(docs, **more).collect()}
+    assert left() == {1: ("one line of words\nYes\na", 1), 2: ("b\nc", 1)}
+    assert left(single_words=2) == {1: ("one line of words\nYes\na", 1), 2: ("Yes\nb\nc", 1)}
+    assert left(longest_runs=False) == {1: ("one line of words\nYes\na", None), 2: ("b\nc", None)}
+
+
 def test_line_dedup_of_runs_equals_its_sql(spark):
     from lodegraph.llm.common import read
     from lodegraph.llm.oracles import LINE_DEDUP
@@ -315,6 +324,19 @@ def test_matches_by_brute_force(items, text, errors):
     assert decontaminate.Finder(list(enumerate(items)), errors).matches(text) == want
 
 
+def test_decontamination_in_blocks_equals_one(spark, monkeypatch):
+    """Items over several blocks: the same matches and the same rows left, whatever block an item is in."""
+    words = [f"w{i % 37}x{i % 11}" for i in range(400)]
+    items = spark.createDataFrame([(k, " ".join(words[9 * k : 9 * k + 9])) for k in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 30])) for i in range(0, 200, 7)] + [(900, "nothing of that kind")], "doc_id long, text string").withColumn("x.y", F.lit(1))
+    one = fx.multiset(map(tuple, decontaminate.decontaminate(docs, items).collect()))
+    left = fx.multiset(map(tuple, decontaminate.without_leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK", 400)
+    assert len(decontaminate._blocks(spark, items, 12)) > 2
+    assert fx.multiset(map(tuple, decontaminate.decontaminate(docs, items).collect())) == one and len(one) > 50
+    assert fx.multiset(map(tuple, decontaminate.without_leaks(docs, items).collect())) == left == {(900, "nothing of that kind", 1): 1}
+
+
 def test_decontamination_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "one quick brown fox here"), (1, "one quick brown fox here"), (2, "nothing")], "doc_id long, text string")
     items = spark.createDataFrame([(5, "quick brown fox"), (5, "quick brown fox"), (None, "brown fox")], "item_id long, text string")
@@ -393,6 +415,54 @@ def test_open_text_that_is_all_alike_is_boilerplate(spark):
     assert got[20].endswith(more) and got[21].endswith(more)
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<div class="content-sidebar-wrap"><article><p>one two</p></article></div><div class="sidebar">menu</div>', "one two"),
+        ('<div class="layout has-sidebar"><article>one<p>two</p></article></div>', "one two"),
+        ('<form id="aspnetForm"><input name=q><article><p>one two</p></article></form>', "one two"),
+        ('<article><h1 class="post-header">one</h1><p>two</p></article>', "one two"),
+        ('<article><div class="article-header"><h1>one</h1></div><p>two</p></article>', "one two"),
+        ('<article><section id="social"><p>one</p></section><p id="notice-of-appeal">two</p></article>', "one two"),
+        ('<article><p>one <label>two</label> <span class="alert">three</span> <button>four</button></p></article>', "one two three"),
+        ('<article><p>one</p><div class="advert">two</div><aside><article>three</article></aside><p class="notice">four</p><p hidden>five</p></article>', "one"),
+        ("<article><p>one <b>two</i> three</article></p></div>", "one two three"),
+        ("<article><p>one <a href='x>two</a> three</p>", "one two three"),
+        ("<p>one &amp; two<!-- three", "one & two"),
+        ("one <", "one <"),
+        (None, ""),
+    ],
+)
+def test_main_text_of_odd_pages(html, want):
+    assert html_extract._joined(html_extract.segments(html), set()) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '", "<script ", "<!", "<!--", "<div>", "</i>", "<div></i>", "<p>x", "&", "<ul><li>", "<article>", '<div class="ad">'])
+def test_broken_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    html_extract.segments(piece * 100_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_the_host_array_decides_what_markup_leaves_in_doubt(spark):
+    """Doubtful elements of articles: on five pages of a host the same stretch goes, what stands on one page stays. By brute force over all stretches of the host's open tokens."""
+    rng, rows = random.Random(12), []
+    again = "subscribe today to read more of what our newsroom writes each day"
+    for k in range(5):
+        own = " ".join(f"o{rng.randrange(9999)}" for _ in range(12))
+        rows.append((k, f"http://a.example/{k}", f'<article><h1 class="post-header">title {k}</h1><p>prose {k} of the article itself</p><div id="promo">{again}</div><div class="article-note">{own}</div></article>'))
+    rows.append((9, "http://b.example/", rows[0][2]))
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("x.y", F.lit(0))).collect()}
+    parts = {k: html_extract.segments(h) for k, _, h in rows}
+    for k, url, _ in rows:
+        tokens = {j: html_extract._open_tokens(parts[j]) for j, u, _ in rows if html_extract.host_of(u) == html_extract.host_of(url)}
+        pages_of = lambda run: sum(any(t[i : i + len(run)] == run for i in range(len(t))) for t in tokens.values())  # noqa: B023, E731
+        own = tokens[k]
+        gone = {i + d for i in range(len(own) - html_extract.RUN + 1) if pages_of(own[i : i + html_extract.RUN]) >= html_extract.PAGES for d in range(html_extract.RUN)}
+        assert got[k] == html_extract._joined(parts[k], gone)
+    assert again not in got[0] and again in got[9] and "title 3" in got[3] and all(f"prose {k} of" in got[k] for k in range(5))
+
+
 def test_pages_repeated_long_and_with_clashing_columns(spark):
     long = "<article>" + "".join(f"<p>word{k} and more</p>" for k in range(20_000)) + "</article>"
     rows = [(1, "http://x.org/1", PAGE), (1, "http://x.org/1", PAGE), (2, "http://x.org/2", long), (3, "http://x.org/3", "<div>open text of this page only</div>"), (3, "http://x.org/3", "<div>open text of this page only</div>")]
