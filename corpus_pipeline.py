@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs and of single lines go; so does a document of which nothing is left."""
-    out = line_dedup.line_dedup(docs).where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.line_dedup(docs, longest_runs=False).where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*COLUMNS)
 
 
