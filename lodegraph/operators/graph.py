@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators import reach
 from lodegraph.operators.durable import kept
 
 
@@ -36,23 +37,9 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, nodes: DataFrame |
 
     Seeds and exclude don't count; a type is asked of the end only. Ordered by support, then hops, then id.
     """
-    step = incident(edges).select("node_id", "other")
     ends = None if node_type is None else nodes.where(F.col("type") == node_type).select("node_id")
-    frontier = seeds.select(F.col("node_id").alias("seed"), "node_id").distinct()
-    levels_ = []
-    for hop in range(1, hops + 1):
-        if hop == hops and ends is not None:  # nothing is reached from the last hop's ends, so others needn't be
-            step = step.join(ends.withColumnRenamed("node_id", "other"), "other", "left_semi")
-        frontier = frontier.join(step, "node_id").select("seed", F.col("other").alias("node_id"))
-        if hop < hops:  # the next hop begins here, and the count reads it too
-            frontier = kept(frontier.distinct())
-        levels_.append(frontier.withColumn("hop", F.lit(hop)))
-    found = reduce(DataFrame.unionByName, levels_).groupBy("node_id", "seed").agg(F.min("hop").alias("hop"))
     gone = seeds.select("node_id") if exclude is None else seeds.select("node_id").union(exclude.select("node_id"))
-    found = found.join(gone, "node_id", "left_anti")
-    if ends is not None:
-        found = found.join(ends, "node_id", "left_semi")
-    ranked = found.groupBy("node_id").agg(F.count(F.lit(1)).alias("support"), F.min("hop").cast("long").alias("min_hops"))
+    ranked = reach.support(incident(edges).select("node_id", "other"), seeds, hops, ends).join(gone, "node_id", "left_anti")
     return ranked.orderBy(F.desc("support"), "min_hops", "node_id").limit(limit)
 
 
@@ -168,16 +155,13 @@ def first_paths(edges: DataFrame, starts: DataFrame, attribute_relations: list[s
 
 
 def path_lengths(edges: DataFrame, pairs: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b, steps) of pairs (a, b): the length of the shortest path, null if it is longer than most. Frontiers from each distinct a."""
-    step = incident(edges).select("node_id", "other")
-    frontier = pairs.select("a", F.col("a").alias("node_id")).distinct()
-    reached = frontier.withColumn("steps", F.lit(0))
-    seen = frontier
-    for d in range(1, most + 1):
-        frontier = kept(frontier.join(step, "node_id").select("a", F.col("other").alias("node_id")).join(seen, ["a", "node_id"], "left_anti").distinct())
-        seen = seen.union(frontier)
-        reached = reached.unionByName(frontier.withColumn("steps", F.lit(d)))
-    return pairs.join(reached.withColumnRenamed("node_id", "b"), ["a", "b"], "left").select("a", "b", F.col("steps").cast("long").alias("steps"))
+    """(a, b, steps) of pairs (a, b): the length of the shortest path, null if it is longer than most. Searched from both ends, by bitmaps of the first ones."""
+    return reach.pair_steps(incident(edges).select("node_id", "other"), pairs, most)
+
+
+def path_distribution(edges: DataFrame, hits: DataFrame, most: int = 3) -> DataFrame:
+    """(steps, n): how many pairs of two hits (node_id) have a shortest path of so many steps, null for longer ones or none."""
+    return reach.distances(incident(edges).select("node_id", "other"), hits, most)
 
 
 def edge_votes(edges: DataFrame, entities: DataFrame, doc_col: str = "doc_id") -> DataFrame:

@@ -112,22 +112,37 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.levels(edges(spark, sf_dir), start, 4)
 
 
-@query("""WITH hit AS (SELECT 'n' || n_nationkey AS node_id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 5000),
-e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-step AS (SELECT src AS n, dst AS o FROM e UNION SELECT dst, src FROM e),
-one AS (SELECT n AS a, o AS b, 1 AS d FROM step),
-two AS (SELECT DISTINCT x.a, s.o AS b, 2 AS d FROM one x JOIN step s ON s.n = x.b),
-three AS (SELECT DISTINCT x.a, s.o AS b, 3 AS d FROM two x JOIN step s ON s.n = x.b),
-best AS (SELECT a, b, min(d) AS d FROM (FROM one UNION ALL FROM two UNION ALL FROM three) GROUP BY ALL)
+HITS_SQL = "hit AS (SELECT 'n' || n_nationkey AS node_id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 5000)"
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, regions and the richer suppliers."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("node_id")
+    return table(spark, sf_dir, "nation").select(key("n", "n_nationkey")).union(table(spark, sf_dir, "region").select(key("r", "r_regionkey"))).union(table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(key("s", "s_suppkey")))
+
+
+@query(f"""WITH {GRAPH_SQL}, {HITS_SQL}, step AS (SELECT DISTINCT node_id, other FROM incident),
+one AS (SELECT s.node_id AS a, s.other AS b FROM hit JOIN step s USING (node_id)),
+two AS (SELECT DISTINCT x.a, s.other AS b FROM one x JOIN step s ON s.node_id = x.b),
+near AS (SELECT h.node_id AS b, s.other AS m FROM hit h JOIN step s USING (node_id)),
+three AS (SELECT DISTINCT x.a, n.b FROM two x JOIN near n ON n.m = x.b),
+best AS (SELECT a, b, min(d) AS d FROM (SELECT a, b, 1 AS d FROM one UNION ALL SELECT a, b, 2 FROM two UNION ALL SELECT a, b, 3 FROM three) GROUP BY ALL)
 SELECT coalesce(best.d::VARCHAR, 'more') AS steps, count(*) AS n FROM hit x JOIN hit y ON x.node_id < y.node_id LEFT JOIN best ON best.a = x.node_id AND best.b = y.node_id GROUP BY 1""")
 def graph_path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far apart the matched nodes are, pair by pair."""
-    e = edges(spark, sf_dir, ("in_nation", "in_region"))
-    e = e.where(~F.col("src").startswith("c"))
-    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("node_id")
-    hits = table(spark, sf_dir, "nation").select(key("n", "n_nationkey")).union(table(spark, sf_dir, "region").select(key("r", "r_regionkey"))).union(table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(key("s", "s_suppkey")))
-    pairs = hits.select(F.col("node_id").alias("a")).join(hits.select(F.col("node_id").alias("b")), F.col("a") < F.col("b"))
-    return g.path_lengths(e, pairs).groupBy(F.coalesce(F.col("steps").cast("string"), F.lit("more")).alias("steps")).agg(F.count(F.lit(1)).alias("n"))
+    """How far apart the matched nodes are in the whole graph, by the number of pairs."""
+    return g.path_distribution(edges(spark, sf_dir), hits(spark, sf_dir)).select(F.coalesce(F.col("steps").cast("string"), F.lit("more")).alias("steps"), "n")
+
+
+@query(f"""WITH {GRAPH_SQL}, pair AS (SELECT DISTINCT 's' || l_suppkey AS a, 'c' || o_custkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity = 50),
+step AS (SELECT DISTINCT node_id, other FROM incident), origin AS (SELECT DISTINCT a FROM pair), to_b AS (SELECT s.other AS m, b FROM (SELECT DISTINCT b FROM pair) JOIN step s ON s.node_id = b),
+one AS (SELECT a, s.other AS b FROM origin JOIN step s ON s.node_id = a), two AS (SELECT DISTINCT a, m.b FROM one JOIN to_b m ON m.m = one.b),
+far AS (SELECT DISTINCT a, s.other AS b FROM one JOIN step s ON s.node_id = one.b), three AS (SELECT DISTINCT a, m.b FROM far JOIN to_b m ON m.m = far.b)
+SELECT a, b, CASE WHEN (a, b) IN (FROM two) THEN 2::BIGINT WHEN (a, b) IN (FROM three) THEN 3 END AS steps FROM pair""")
+def graph_pair_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest path of suppliers to customers who bought much from them, pair by pair."""
+    many = table(spark, sf_dir, "lineitem").where("l_quantity = 50").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = many.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("b")).distinct()
+    return g.path_lengths(edges(spark, sf_dir), pairs)
 
 
 @query("""WITH e AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, l_suppkey AS doc_id FROM lineitem),
