@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,25 +114,3 @@ def join_path_sql(tables: list[str], keys: dict[tuple[str, str], tuple[str, str]
             raise ValueError(f"no foreign key leads to {t}")
         lines.append(f"JOIN {t} ON {on[0]} = {on[1]}")
     return "\n".join(lines + ([f"WHERE {where}"] if where else []))
-
-
-def closest(names: DataFrame, golds: DataFrame, key: str, threshold: float = 0.82) -> DataFrame:
-    """(key, gold, verdict, ratio) for golds (key, gold) by the names of their key (key, name): HIT if equal when normalised, NEAR by sequence similarity, else MISS.
-
-    Similarity is Ratcliff and Obershelp's, which no expression has; each gold meets the names of its own key only.
-    """
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    pairs = golds.select(key, "gold", plain(F.col("gold")).alias("_g")).join(names.select(key, plain(F.col("name")).alias("_n")).distinct(), key, "left")
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-    best = pairs.withColumn("r", ratio("_g", "_n")).groupBy(key, "gold").agg(F.max("r").alias("ratio"))
-    return best.withColumn("verdict", F.when(F.col("ratio") == 1, "HIT").when(F.col("ratio") >= threshold, "NEAR").otherwise("MISS"))
-
-
-def streamed(frames: Iterator[pd.DataFrame], call) -> Iterator[pd.DataFrame]:
-    """For mapInPandas with an external model: call(texts) for each batch; an error is an error, never a placeholder."""
-    for f in frames:
-        yield f.assign(answer=call(list(f["text"])))

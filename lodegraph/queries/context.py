@@ -11,6 +11,7 @@ from lodegraph.operators import context as x
 from lodegraph.operators import graph as g
 from lodegraph.operators import stats
 from lodegraph.operators.retrieval import QUERY_BLOCK, char_sum_vector, dot
+from lodegraph.operators.similarity import closest
 from lodegraph.registry import query
 from lodegraph.sources.tables import GRAPH_SQL, edges, nodes, table
 
@@ -131,7 +132,7 @@ def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HIT, NEAR or MISS of each part's name among the names of its brand's other type."""
     p = table(spark, sf_dir, "part")
     golds = p.where("p_size < 10").select("p_brand", F.col("p_name").alias("gold")).distinct()
-    return x.closest(p.where("p_size >= 10").select("p_brand", F.col("p_name").alias("name")), golds, "p_brand")
+    return closest(p.where("p_size >= 10").select("p_brand", F.col("p_name").alias("name")), golds, "p_brand")
 
 
 @query()

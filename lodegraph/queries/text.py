@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as t
+from lodegraph.operators.similarity import similar_sets
 from lodegraph.registry import query
 from lodegraph.sources.tables import table
 
@@ -126,11 +127,9 @@ pair AS (SELECT a.p_name AS a, b.p_name AS b, count(*) AS same FROM ng a JOIN ng
 SELECT a, b, round(same / (ca.n + cb.n - same)::DOUBLE, 6) AS jaccard FROM pair JOIN c ca ON ca.p_name = a JOIN c cb ON cb.p_name = b WHERE same >= 0.45 * (ca.n + cb.n - same)""")
 def text_trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """names that are alike by their trigrams, found through shared ones."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", t.trigrams(F.col("p_name")).alias("g"))
-    grams = names.select("p_name", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    a, b = grams.toDF("a", "na", "gram"), grams.toDF("b", "nb", "gram")
-    same = a.join(b, "gram").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("same"))
-    return same.where("same >= 0.45 * (na + nb - same)").select("a", "b", F.round(F.col("same") / (F.col("na") + F.col("nb") - F.col("same")), 6).alias("jaccard"))
+    names = table(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("id"), t.trigrams(F.col("p_name")).alias("items"))
+    found = similar_sets(names, names, 0.45, ordered=True)
+    return found.select("a", "b", F.round(F.col("same") / (F.col("na") + F.col("nb") - F.col("same")), 6).alias("jaccard"))
 
 
 @query("""SELECT 's' || s_suppkey AS node_id, s_name || ' is located in ' || n_name || '.' AS forward, n_name || ' is home of ' || s_name || '.' AS inverse FROM supplier JOIN nation ON n_nationkey = s_nationkey""")

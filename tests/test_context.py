@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.operators import context as x
+from lodegraph.operators import similarity
 
 
 def test_join_path_in_either_direction():
@@ -21,5 +22,5 @@ def test_bridge_is_the_middle(spark):
 def test_closest_names(spark):
     names = spark.createDataFrame([(1, "Aspirin  tablet"), (1, "Ibuprofen")], "k int, name string")
     golds = spark.createDataFrame([(1, "aspirin tablet"), (1, "ibuprofin"), (1, "zinc"), (2, "zinc")], "k int, gold string")
-    got = {(r.k, r.gold): r.verdict for r in x.closest(names, golds, "k").collect()}
+    got = {(r.k, r.gold): r.verdict for r in similarity.closest(names, golds, "k").collect()}
     assert got == {(1, "aspirin tablet"): "HIT", (1, "ibuprofin"): "NEAR", (1, "zinc"): "MISS", (2, "zinc"): "MISS"}
