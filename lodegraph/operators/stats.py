@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.operators.durable import numbered
-
 
 def mean(value: str) -> Column:
     """Without nulls; 0 if none is left."""
@@ -45,21 +45,52 @@ def transitions(before: DataFrame, after: DataFrame, item: str, status: str, sta
     return both.groupBy("before").pivot("after", statuses).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def bootstrap(paired: DataFrame, item: str, diff: str, resamples: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """(mean, low, high, n): the paired bootstrap's interval of the mean difference.
+#: Items of a block of a bootstrap, roughly; resamples that are drawn at once hold at most so many counts.
+BLOCK, AT_ONCE = 250_000, 2_000_000
+
 
-    Draw j of resample b takes the item whose number is a digest of (seed, b, j) modulo n. Items are
-    numbered by id; resamples are rows, so they run in parallel, and only draws per item and resample are exchanged.
+def resampled_means(items: DataFrame, value: str, resamples: int, seed: int) -> DataFrame:
+    """(b, m): the mean of each resample of all items, as many drawn with replacement as there are.
+
+    How many of a resample's draws fall into each block of items follows a multinomial law, which every block's task draws for itself from the same
+    seed. Within its block a task draws how often each distinct value comes, and sends one sum for each resample. No draw is a row.
     """
-    items = numbered(paired.select(item, diff), [item]).select(diff, F.col("number").alias("i"))
-    n = items.agg(F.count(F.lit(1)).alias("n"))
-    draws = paired.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))  # n is one row
-    drawn = draws.select("b", "n", F.pmod(F.xxhash64(F.lit(seed), "b", "j"), F.col("n")).alias("i")).groupBy("b", "i", "n").agg(F.count(F.lit(1)).alias("c"))
-    means = drawn.join(items, "i").groupBy("b").agg((F.sum(F.col("c") * F.col(diff)) / F.max("n")).alias("m"))
-    order = means.select("m", (F.row_number().over(Window.orderBy("m", "b")) - 1).alias("k"))  # one row for each resample
+    plain = items.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    total = plain.count()
+    if not total:
+        return items.sparkSession.createDataFrame([], "b long, m double")
+    parts = max(1, -(-total // BLOCK))
+    dealt = plain.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
+    sizes = {r["block"]: r["n"] for r in dealt.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # a row for each block
+    blocks = sorted(sizes)
+    share = np.array([sizes[k] for k in blocks]) / total
+
+    def sums(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("v")
+        at = blocks.index(int(f["block"].iloc[0]))
+        draws = np.random.default_rng(seed).multinomial(total, share, size=resamples)[:, at]
+        rng, v, p = np.random.default_rng([seed, at]), f["v"].to_numpy(), f["n"].to_numpy() / f["n"].sum()
+        step = max(1, AT_ONCE // len(v))
+        out = np.concatenate([rng.multinomial(draws[k : k + step], p) @ v for k in range(0, resamples, step)])
+        return pd.DataFrame({"b": np.arange(resamples), "s": out})
+
+    return dealt.groupBy("block").applyInPandas(sums, "b long, s double").groupBy("b").agg((F.sum("s") / total).alias("m"))
+
+
+def bootstrap(paired: DataFrame, diff: str, resamples: int = 10_000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """(mean, low, high, n, excludes_zero): the paired bootstrap's interval of the mean difference, by the order of the resamples' means."""
+    order = resampled_means(paired, diff, resamples, seed).select("m", (F.row_number().over(Window.orderBy("m", "b")) - 1).alias("k"))  # one row for each resample
     low, high = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))
     bounds = order.agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))
-    return paired.agg(F.avg(diff).alias("mean"), F.count(F.lit(1)).alias("n")).crossJoin(bounds).select("mean", "low", "high", "n")  # one row each
+    whole = paired.agg(F.avg(diff).alias("mean"), F.count(diff).alias("n"))
+    return whole.crossJoin(bounds).select("mean", "low", "high", "n", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))  # one row each
+
+
+def bootstrap_mean(scores: DataFrame, score: str, resamples: int = 1000, seed: int = 42, ci: float = 0.95) -> DataFrame:
+    """(mean, low, high, n) of one sample's scores, by interpolated percentiles of the resamples' means, rounded to four places; zeros without scores."""
+    q = lambda p: F.round(F.coalesce(F.percentile("m", F.lit(p)), F.lit(0.0)), 4)
+    bounds = resampled_means(scores, score, resamples, seed).agg(q((1 - ci) / 2).alias("low"), q((1 + ci) / 2).alias("high"))
+    return scores.agg(F.coalesce(F.avg(score), F.lit(0.0)).alias("mean"), F.count(score).alias("n")).crossJoin(bounds).select("mean", "low", "high", "n")  # one row each
 
 
 def mcnemar(b: Column, c: Column) -> Column:
@@ -133,20 +164,3 @@ def set_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     sets = reduce(DataFrame.unionAll, [a.subtract(b), b.subtract(a)]).agg(F.count(F.lit(1)).alias("s"))
     bags = reduce(DataFrame.unionAll, [differs(a, b), differs(b, a)]).agg(F.count(F.lit(1)).alias("g"))
     return sets.crossJoin(bags).select((F.col("s") == 0).alias("same_set"), (F.col("g") == 0).alias("same_bag"))  # one row each
-
-
-def perturbed(text: Column, kind: str, seed: Column) -> Column:
-    """A deterministic degradation of a text: numbers * 5 + 7, two words swapped, a word dropped or doubled, or the text cut to half."""
-    w = F.split(text, " ")
-    at = F.pmod(F.xxhash64(seed, F.lit(kind)), F.greatest(F.size(w) - 1, F.lit(1))).cast("int")
-    if kind == "numbers":
-        return F.regexp_replace(text, r"\d+", "7")
-    if kind == "truncate":
-        return F.array_join(F.slice(w, 1, F.greatest(F.floor(F.size(w) / 2).cast("int"), F.lit(1))), " ")
-    if kind == "drop":
-        return F.array_join(F.filter(w, lambda x, i: i != at), " ")
-    if kind == "double":
-        return F.array_join(F.flatten(F.transform(w, lambda x, i: F.when(i == at, F.array(x, x)).otherwise(F.array(x)))), " ")
-    if kind == "swap":
-        return F.array_join(F.transform(w, lambda x, i: F.coalesce(F.when(i == at, F.get(w, at + 1)).when(i == at + 1, F.get(w, at)).otherwise(x), x)), " ")
-    raise ValueError(kind)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from lodegraph.operators import retrieval as r
 from lodegraph.operators.durable import cached, new_folder, shared_folder
 from lodegraph.plans import corpora, report
 from lodegraph.registry import query
-from lodegraph.sources import code, readers, samples
+from lodegraph.sources import code, readers, samples, turtle
 from lodegraph.sources.tables import GRAPH_SQL, edges, nodes, table
 
 
@@ -88,6 +90,40 @@ def rdf_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.ontology(readers.rdf_xml(files))[1]
 
 
+@query("""WITH k AS (SELECT s_suppkey AS k, s_nationkey AS n, s_name FROM supplier)
+SELECT 'class' AS kind, 'Sup' || k AS a, NULL AS b, NULL AS c FROM k UNION ALL SELECT 'property', 'sup' || k, 'SELLS AS "' || upper(s_name) || '"; OR NOT', CASE WHEN k % 2 = 0 THEN 'nation' || n ELSE 'entitynode' END FROM k
+UNION ALL SELECT 'subclass', 'Sup' || k, 'Nation' || n, NULL FROM k UNION ALL SELECT 'subclass', 'Sup' || k, 'Sup' || (k // 2), NULL FROM k UNION ALL SELECT 'restriction', 'p' || k, 'Sup' || k, NULL FROM k""")
+def turtle_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Turtle file of each supplier, with prefixes, lists of predicates and objects, blank nodes, collections and literals of all kinds."""
+    s = table(spark, sf_dir, "supplier")
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    text = F.concat(
+        F.lit('@prefix : <http://x.org/o#> . # the vocabulary\nPREFIX owl: <http://www.w3.org/2002/07/owl#>\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n@base <http://x.org/> .\n:Sup'), k, F.lit(" a owl:Class ;\n  rdfs:subClassOf :Nation"), n,
+        F.lit(" , <o#Sup"), F.floor(F.col("s_suppkey") / 2).cast("string"), F.lit("> ;\n  rdfs:seeAlso [ a owl:Restriction ; owl:onProperty :p"), k, F.lit(" ; owl:someValuesFrom :Sup"), k,
+        F.lit(' ] ;\n  rdfs:comment """two\nlines; with , and . and "quotes\\"""""@en-GB , \'one\'^^<http://www.w3.org/2001/XMLSchema#string> ; :size 1.5e3 , -2 , .5 , true ; :list ( 1 [ ] ( "x" ) ) ; .\n:p'), k,
+        F.lit(' a owl:ObjectProperty ; rdfs:domain :Sup'), k, F.lit(' ; rdfs:label "sells as \\"'), "s_name", F.lit('\\"; or not"@en '), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("; rdfs:range :Nation"), n)).otherwise(""), F.lit(" .\n"),
+    )
+    found = turtle.local_names(turtle.triples(s.select(F.concat(k, F.lit(".ttl")).alias("path"), text.alias("value"))))
+    classes, properties, parents = readers.ontology(found)
+    none = F.lit(None).cast("string")
+    limits = found.where("p = 'onProperty'").select("s", F.col("o").alias("a")).join(found.where("p = 'someValuesFrom'").select("s", F.col("o").alias("b")), "s")
+    parts = [classes.select(F.lit("class").alias("kind"), F.col("name").alias("a"), none.alias("b"), none.alias("c")), properties.select(F.lit("property"), "domain", "label", "range"), parents.select(F.lit("subclass"), "name", "parent", none), limits.select(F.lit("restriction"), "a", "b", none)]
+    return reduce(DataFrame.union, parts)
+
+
+@query("""WITH f AS (SELECT 'r' || (o_orderkey % 7) AS repo, o_orderkey % 5 AS place, o_orderkey % 4 AS body FROM orders),
+x AS (SELECT repo, CASE body WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 1 ELSE 3 END AS lines, (body = 2)::INT AS unparsed, CASE body WHEN 1 THEN 3 ELSE 0 END AS findings FROM f WHERE place < 2)
+SELECT repo, count(*) AS files, sum(lines)::BIGINT AS lines, sum(unparsed)::BIGINT AS unparsed, sum(findings)::BIGINT AS findings FROM x GROUP BY 1""")
+def python_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source trees with a file of each order: code, tests and folders that don't count, files that don't parse; read back as whole files and scanned."""
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c + 1).cast("int"))
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    place = pick(["/src/m", "/pkg/sub/m", "/tests/m", "/src/test_m", "/.venv/lib/m"], k % 5)
+    body = pick(["x = 1\ny = 2\n", "def f(a=[]):\n    try:\n        pass\n    except:\n        pass\n", "def broken(:\n", "class A:\n    b = 1\n\n"], k % 4)
+    path = F.concat(F.lit("r"), (k % 7).cast("string"), place, k.cast("string"), F.lit(".py"))
+    return code.python_report(o.select(path.alias("path"), body.alias("value")), F.substring_index("path", "/", 1))
+
+
 FORWARD = {"in_nation": "{s} is in {o}.", "in_region": "{s} lies in {o}."}
 INVERSE = {"in_nation": "{o} has {s}.", "in_region": "{o} spans {s}."}
 PLACES = """e AS (SELECT 's' || s_suppkey AS src, 'in_nation' AS rel, 'n' || s_nationkey AS dst FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'in_region', 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'called', s_name FROM supplier)"""
@@ -250,8 +286,8 @@ def iterative_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT DISTINCT l_orderkey AS q, 'p' || l_partkey AS name FROM lineitem), a AS (SELECT q, name FROM t WHERE hash(q) IS NOT NULL AND CAST(name[2:] AS BIGINT) % 3 = 0 UNION ALL SELECT DISTINCT q, 'x' || (q % 5) FROM t UNION ALL SELECT DISTINCT q, 'y' || (q % 3) FROM t),
-m AS (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY name) AS k FROM t WHERE (q, name) NOT IN (SELECT q, name FROM a)), x AS (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY name) AS k FROM a WHERE (q, name) NOT IN (SELECT q, name FROM t))
-SELECT q AS question_id, name FROM a WHERE (q, name) NOT IN (SELECT q, name FROM x WHERE k <= 3) UNION ALL SELECT q, name FROM m WHERE k <= 3""")
+m AS (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY name) AS k FROM t ANTI JOIN a USING (q, name)), x AS (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY name) AS k FROM a ANTI JOIN t USING (q, name))
+SELECT q AS question_id, name FROM a ANTI JOIN (SELECT q, name FROM x WHERE k <= 3) USING (q, name) UNION ALL SELECT q, name FROM m WHERE k <= 3""")
 def corrected_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of an order's parts, corrected in three rounds by a model that mends one omission and one invention at a time."""
     supported = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.col("l_partkey").alias("part")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import BEGIN, END
+from lodegraph.operators import perturb
 from lodegraph.operators import stats as s
 from lodegraph.queries.text import BORDERED
 from lodegraph.registry import query
@@ -87,10 +88,16 @@ def paired_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean difference between a supplier's balance and its nation's customers' mean."""
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
-    d = table(spark, sf_dir, "supplier").join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", (F.col("s_acctbal") - F.col("m")).alias("d"))
-    return s.bootstrap(d, "s_suppkey", "d", 2000, 7)
+    """Interval of the mean difference between a customer's balance and the suppliers' mean of the nation."""
+    m = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("m"))
+    d = table(spark, sf_dir, "customer").join(m, F.col("s_nationkey") == F.col("c_nationkey")).select((F.col("c_acctbal") - F.col("m")).alias("d"))
+    return s.bootstrap(d, "d")
+
+
+@query()
+def mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile interval of the mean value of all events."""
+    return s.bootstrap_mean(table(spark, sf_dir, "events"), "value")
 
 
 @query("""WITH x AS (SELECT c_mktsegment AS g, count(*) FILTER (c_acctbal > 0 AND c_nationkey < 5) AS b, count(*) FILTER (c_acctbal <= 0 AND c_nationkey >= 5) AS c FROM customer GROUP BY 1),
@@ -180,11 +187,66 @@ def schema_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 
 
-@query("""SELECT conv_id, turn, md5(regexp_replace(text, '\\d+', '7', 'g')) AS numbers, md5(array_to_string(string_split(text, ' ')[1:greatest(len(string_split(text, ' ')) // 2, 1)], ' ')) AS cut FROM conversations""")
+def _draw(seed: str, salt: str) -> str:
+    return f"('0x' || substr(md5({seed} || '{salt}'), 1, 8))::BIGINT"
+
+
+def _replaced(old: str, new: str) -> str:
+    return f"CASE WHEN contains(text, {old}) THEN substr(text, 1, instr(text, {old}) - 1) || {new} || substr(text, instr(text, {old}) + length({old})) END"
+
+
+_ID = "fact_id::VARCHAR"
+PERTURBED_SQL = f"""WITH f AS (SELECT o_orderkey AS fact_id, 'Order ' || o_orderkey || ' of ' || c_mktsegment || ' cost ' || o_totalprice || ' and ' || CASE WHEN o_orderstatus = 'F' THEN 'is' ELSE 'was' END || ' sent to ' || n_name || ' from ' || o_orderpriority AS text
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+m AS (SELECT *, regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?\\b') AS nums, list_filter(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]{{3,}}\\b'), lambda x: lower(x) NOT IN ('the', 'this', 'that', 'these', 'there', 'when', 'what')) AS names FROM f),
+t AS (SELECT *, nums[{_draw(_ID, "number")} % len(nums) + 1] AS num, names[{_draw(_ID, "name")} % len(names) + 1] AS name FROM m),
+v AS (SELECT *, CASE WHEN num::DOUBLE = floor(num::DOUBLE) THEN (num::DOUBLE * 5 + 7)::BIGINT::VARCHAR ELSE printf('%.1f', num::DOUBLE * 5 + 7) END AS new FROM t),
+own AS (SELECT name, CASE WHEN min(fact_id) = max(fact_id) THEN min(fact_id) END AS owner FROM (SELECT fact_id, unnest(names) AS name FROM m) GROUP BY 1),
+pool AS (SELECT name, owner, row_number() OVER (ORDER BY owner IS NOT NULL, owner, name) - 1 AS number, count(*) OVER () AS total FROM own),
+span AS (SELECT owner AS fact_id, min(number) AS begin, count(*) AS width FROM pool WHERE owner IS NOT NULL GROUP BY 1),
+d AS (SELECT v.fact_id, text, v.name, p.number AS at_, p.total, p.owner IS NULL AS out_, coalesce(begin, total) AS begin, coalesce(width, 0) AS width FROM v JOIN pool p ON p.name = v.name LEFT JOIN span s ON s.fact_id = v.fact_id),
+r AS (SELECT *, {_draw(_ID, "other")} % (total - width - out_::INT) AS r FROM d WHERE total - width - out_::INT > 0),
+q AS (SELECT *, CASE WHEN out_ AND r >= at_ THEN r + 1 ELSE r END AS x FROM r),
+e AS (SELECT q.fact_id, {_replaced("q.name", "o.name")} AS entity FROM q JOIN pool o ON o.number = CASE WHEN x >= begin THEN x + width ELSE x END),
+n AS (SELECT fact_id, row_number() OVER (ORDER BY fact_id) - 1 AS number, count(*) OVER () AS total, string_split(text, ' ') AS w FROM f),
+g AS (SELECT a.fact_id, array_to_string(list_concat(a.w[1:len(a.w) // 2], b.w[len(b.w) // 2 + 1:]), ' ') AS swap FROM n a JOIN n b ON b.number = (a.number + {_draw("a.fact_id::VARCHAR", "graft")} % (a.total - 1) + 1) % a.total WHERE len(a.w) > 6 AND len(b.w) > 6),
+k AS (SELECT v.fact_id, {_replaced("num", "new")} AS numeric, entity, coalesce({_replaced("' is '", "' is not '")}, {_replaced("' was '", "' was not '")}) AS negation, swap FROM v LEFT JOIN e ON e.fact_id = v.fact_id LEFT JOIN g ON g.fact_id = v.fact_id),
+o AS (SELECT *, list_sort(list_filter([{", ".join("{'o': " + _draw(_ID, x) + f", 'kind': '{x}', 'variant': " + ('"numeric"' if x == "numeric" else x) + "}" for x in ("numeric", "entity", "negation", "swap"))}], lambda s: s.variant IS NOT NULL))[1] AS first FROM k)
+SELECT fact_id, "numeric", entity, negation, swap, first.kind AS kind, first.variant AS variant FROM o"""
+
+
+@query(PERTURBED_SQL)
 def perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degraded texts."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.md5(s.perturbed(F.col("text"), "numbers", F.col("turn"))).alias("numbers"), F.md5(s.perturbed(F.col("text"), "truncate", F.col("turn"))).alias("cut"))
+    """False variants of a fact of each order: a number, a name, the statement or the second half changed."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    verb = F.when(F.col("o_orderstatus") == "F", "is").otherwise("was")
+    price = F.col("o_totalprice").cast("decimal(15,2)").cast("string") if dict(o.dtypes)["o_totalprice"].startswith("decimal") else F.col("o_totalprice").cast("string")
+    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of "), "c_mktsegment", F.lit(" cost "), price, F.lit(" and "), verb, F.lit(" sent to "), "n_name", F.lit(" from "), "o_orderpriority")
+    return perturb.variants(o.select(F.col("o_orderkey").alias("fact_id"), text.alias("text"))).drop("text")
+
+
+def _cut(a: str, b: str) -> str:
+    """Characters a to b, end exclusive, of name."""
+    return f"substr(name, ({a}) + 1, greatest(({b}) - ({a}), 0))"
+
+
+def _at(kind: str, end: int) -> str:
+    return f"({_draw('k::VARCHAR', kind)} % greatest(length(name) - {end} - 1, 1) + 1)"
+
+
+DEGRADED_SQL = f"""WITH p AS (SELECT p_partkey AS k, p_name AS name FROM part), i AS (SELECT *, {_at("char_swap", 2)} AS s, {_at("char_drop", 1)} AS d, {_at("char_double", 1)} AS t FROM p)
+SELECT k AS p_partkey, name AS exact, lower(name) AS lowercase, CASE WHEN length(name) < 4 THEN name ELSE {_cut("0", "s")} || {_cut("s + 1", "s + 2")} || {_cut("s", "s + 1")} || {_cut("s + 2", "length(name)")} END AS char_swap,
+CASE WHEN length(name) < 4 THEN name ELSE {_cut("0", "d")} || {_cut("d + 1", "length(name)")} END AS char_drop, CASE WHEN length(name) < 3 THEN name ELSE {_cut("0", "t")} || {_cut("t", "t + 1")} || {_cut("t", "length(name)")} END AS char_double,
+substr(name, 1, greatest(4, length(name) * 3 // 4)) AS truncated, string_split(name, ' ')[-1] AS surname,
+CASE WHEN contains(name, ' ') THEN array_to_string(list_transform(string_split(name, ' ')[:-2], lambda w: w[1] || '.'), ' ') || ' ' || string_split(name, ' ')[-1] ELSE name END AS initials FROM i"""
+
+
+@query(DEGRADED_SQL)
+def degraded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's name misspelt in each way, and shortened as names of persons are."""
+    p = table(spark, sf_dir, "part")
+    name, seed = F.col("p_name"), F.col("p_partkey").cast("string")
+    return p.select("p_partkey", *[perturb.degraded(name, k, seed).alias(k) for k in perturb.DEGRADED], *[perturb.renamed(name, k).alias(k) for k in ("surname", "initials")])
 
 
 @query("""WITH e AS (SELECT label, vec_id FROM embeddings), v AS (SELECT p_partkey AS vec_id FROM part WHERE p_size < 25) SELECT label, round(count(*) FILTER (v.vec_id IS NULL) / count(*)::DOUBLE, 6) AS invented FROM e LEFT JOIN v USING (vec_id) GROUP BY 1""")

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.operators.durable import kept
@@ -113,6 +113,32 @@ def python_defects(files: DataFrame) -> DataFrame:
     return files.select("path", "value").mapInPandas(run, FINDINGS)
 
 
+#: Folders that hold no code to be measured.
+SKIPPED = [".git", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", ".tox", ".mypy_cache", "site-packages", ".pytest_cache", "tests", "test", "testing", "examples", "example", "docs", "benchmarks_legacy", "scripts", "notebooks"]
+
+
+def python_files(files: DataFrame) -> DataFrame:
+    """files (path, value) of Python code: without folders of SKIPPED and without tests, by the path's parts."""
+    parts = F.split("path", "/")
+    base = F.element_at(parts, -1)
+    own = F.endswith("path", F.lit(".py")) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))) & ~F.startswith(base, F.lit("test_")) & ~F.endswith(base, F.lit("_test.py"))
+    return files.where(own)
+
+
+def python_report(files: DataFrame, root: Column) -> DataFrame:
+    """(repo, files, lines, unparsed, findings) of each source tree: root gives a file's tree by its path. Trees without a file of their own have no row.
+
+    Lines end as Python's do; a finding is counted once for its file, line and defect.
+    """
+    own = python_files(files).select(root.alias("repo"), "path", F.coalesce("value", F.lit("")).alias("value"))
+    ended = F.split(F.regexp_replace("value", "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n")
+    lines = F.size(ended) - F.when(F.element_at(ended, -1) == "", 1).otherwise(0)
+    found = python_defects(own).distinct().groupBy("path").agg(F.count(F.when(F.col("defect") == "unparsed", 1)).alias("u"), F.count(F.when(F.col("defect") != "unparsed", 1)).alias("d"))
+    each = own.select("repo", "path", lines.alias("n")).join(found, "path", "left")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return each.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), total("n", "lines"), total("u", "unparsed"), total("d", "findings"))
+
+
 def resolved_types(classes: DataFrame) -> DataFrame:
     """(name, property, type, target): the class that a property's type names: in full, else by a short name that one class has, else the candidate of the longest package prefix shared with the owner."""
     short = lambda c: F.substring_index(c, "::", -1)

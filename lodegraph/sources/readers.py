@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.sources.turtle import local_names, triples
+
 
 def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Line-delimited for .jsonl and any .gz, blank lines skipped; a list or one object for .json; else an error."""
@@ -87,16 +89,9 @@ def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.unionByName(back)
 
 
-def turtle(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes, object properties (domain, label, range; EntityNode by default) and subclasses of N-Triples-like lines (value).
-
-    Lines hold one statement of subject, predicate and object, in angle brackets, prefixed, or quoted.
-    """
-    term = r'(<[^>]*>|[\w-]*:[\w-]+|a|"[^"]*"(?:@[\w-]+)?)'
-    m = lambda i: F.regexp_extract("value", rf"^\s*{term}\s+{term}\s+{term}\s*\.\s*$", i)
-    local = lambda c: F.regexp_replace(F.regexp_replace(c, r'^"|"(@[\w-]+)?$|[<>]', ""), r"^.*[#/:]", "")
-    t = lines.select(*[local(m(i)).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]).where("s <> ''")
-    return ontology(t)
+def turtle(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, object properties (domain, label, range; EntityNode by default) and subclasses of Turtle files (value, and path if there is one)."""
+    return ontology(local_names(triples(files if "path" in files.columns else files.withColumn("path", F.lit("")))))
 
 
 def ontology(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

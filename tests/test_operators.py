@@ -123,7 +123,7 @@ def test_mcnemar(spark):
 
 def test_bootstrap_repeats_and_brackets(spark):
     df = spark.createDataFrame([(i, float(i % 5) - 1) for i in range(60)], "i int, d double")
-    a, b = (s.bootstrap(df, "i", "d", 300, 1).first() for _ in range(2))
+    a, b = (s.bootstrap(df, "d", 300, 1).first() for _ in range(2))
     assert tuple(a) == tuple(b)
     assert a.low < a["mean"] < a.high and a.n == 60
 
