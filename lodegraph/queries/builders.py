@@ -100,7 +100,7 @@ def turtle_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         F.lit('@prefix : <http://x.org/o#> . # the vocabulary\nPREFIX owl: <http://www.w3.org/2002/07/owl#>\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n@base <http://x.org/> .\n:Sup'), k, F.lit(" a owl:Class ;\n  rdfs:subClassOf :Nation"), n,
         F.lit(" , <o#Sup"), F.floor(F.col("s_suppkey") / 2).cast("string"), F.lit("> ;\n  rdfs:seeAlso [ a owl:Restriction ; owl:onProperty :p"), k, F.lit(" ; owl:someValuesFrom :Sup"), k,
-        F.lit(' ] ;\n  rdfs:comment """two\nlines; with , and . and "quotes\\"""""@en-GB , \'one\'^^<http://www.w3.org/2001/XMLSchema#string> ; :size 1.5e3 , -2 , .5 , true ; :list ( 1 [ ] ( "x" ) ) ; .\n:p'), k,
+        F.lit(' ] ;\n  rdfs:comment """two\nlines; with , and . and "quotes\\""""@en-GB , \'one\'^^<http://www.w3.org/2001/XMLSchema#string> ; :size 1.5e3 , -2 , .5 , true ; :list ( 1 [ ] ( "x" ) ) ; .\n:p'), k,
         F.lit(' a owl:ObjectProperty ; rdfs:domain :Sup'), k, F.lit(' ; rdfs:label "sells as \\"'), "s_name", F.lit('\\"; or not"@en '), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("; rdfs:range :Nation"), n)).otherwise(""), F.lit(" .\n"),
     )
     found = turtle.local_names(turtle.triples(s.select(F.concat(k, F.lit(".ttl")).alias("path"), text.alias("value"))))
