@@ -38,6 +38,8 @@ CLASSES = [
     ("lower", "^[0-9a-z]+$", 20, 3.6),
     ("base64", "", 20, 3.8),
 ]
+#: Characters of a part that is judged on its own.
+PART = 20
 #: Counts to a long integer and bits of each; the first character's code. Windows are shorter than 2**BITS.
 PACKED, BITS, FIRST, LAST = 12, 5, ord("+"), ord("z")
 #: c*log2(c) of every count.
@@ -82,9 +84,9 @@ def _places(text: Column, pattern: str, kind: str, keep) -> Column:
     return F.when(text.rlike(pattern), let(text, lambda t: walk(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), 0)))).otherwise(none)
 
 
-def densest(string: Column, width: int) -> Column:
+def densest(string: Column, width: int | Column) -> Column:
     """The largest Shannon entropy, in bits, of a window of `width` characters of keys; of the whole string if it is shorter."""
-    weights, w = F.array(*[F.lit(x) for x in WEIGHTS]), F.lit(width)
+    weights, w = F.array(*[F.lit(x) for x in WEIGHTS]), width if isinstance(width, Column) else F.lit(width)
     # a character's place: which long integer, and how far its count is shifted
     place = lambda c: let(F.ascii(c) - FIRST, lambda x: F.struct(F.floor(x / PACKED).cast("int").alias("k"), (x % PACKED * BITS).alias("s")))
     count = lambda n, x: F.call_function("shiftrightunsigned", F.get(n, x["k"]), x["s"]).bitwiseAND(2**BITS - 1).cast("int")
@@ -118,13 +120,29 @@ def _in_place(match: Column, before: Column) -> Column:
     return reduce(Column.__or__, [match.rlike(begins) & end.rlike(shows) for begins, shows in PLACES])
 
 
+def _limits(string: Column) -> Column:
+    """Width and bits of the string's class; it is chosen first, so that one loop over the string follows."""
+    pairs = [(look, F.struct(F.lit(width).alias("width"), F.lit(bits).alias("bits"))) for _, look, width, bits in CLASSES]
+    chosen = F.when(string.rlike(pairs[0][0]), pairs[0][1])
+    for look, limits in pairs[1:-1]:
+        chosen = chosen.when(string.rlike(look), limits)
+    return chosen.otherwise(pairs[-1][1])
+
+
+def _is_mixed(string: Column) -> Column:
+    return string.rlike("[a-z]") & string.rlike("[A-Z]") & string.rlike("[0-9]")
+
+
 def _telling(match: Column, before: Column) -> Column:
-    """Whether the candidate's entropy reaches its class's threshold, and the allow-list doesn't know it."""
-    reaches = F.lit(False)
-    for _, look, width, bits in reversed(CLASSES):
-        here = densest(match, width) >= bits
-        reaches = F.when(match.rlike(look), here).otherwise(reaches) if look else here
-    return ~match.rlike(ALLOWED) & ~_in_place(match, before) & reaches
+    """Whether the candidate, or a part of it between / _ and -, reaches its class's threshold, and the allow-list doesn't know it.
+
+    Parts are judged by their own class, so that a prefix doesn't raise a key's threshold, nor a word of the allow-list before it hide it. Of a part of an address or path
+    only parts of both cases and digits are judged.
+    """
+    parts = F.filter(F.split(match, "[/_-]+"), lambda x: F.length(x) >= PART)
+    asked = lambda placed: F.when(placed, F.filter(parts, _is_mixed)).otherwise(F.array_distinct(F.concat(F.array(match), parts)))
+    tells = lambda x: ~x.rlike(ALLOWED) & let(_limits(x), lambda c: densest(x, c["width"]) >= c["bits"])
+    return F.exists(let(_in_place(match, before), asked), tells)
 
 
 def _written(spans: Column) -> Column:
