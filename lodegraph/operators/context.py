@@ -7,17 +7,58 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import tokens
+from lodegraph.functions.text import normalize_answer, tokens
 from lodegraph.operators.durable import kept
-from lodegraph.operators.graph import incident, walk
+from lodegraph.operators.graph import incident
 from lodegraph.operators.retrieval import QUERY_BLOCK
 
 
 def paths_to_terms(edges: DataFrame, nodes: DataFrame, starts: DataFrame, terms: list[str], depth: int = 4, width: int = 20) -> DataFrame:
-    """(start, node_id, hops, path, matches): paths to nodes whose label has a term, the shortest and best matching first. Nothing but the first `width` is the feature."""
-    hit = nodes.select("node_id", F.size(F.array_intersect(F.array_distinct(tokens(F.col("label"))), F.array(*[F.lit(t) for t in terms]))).alias("matches")).where("matches > 0")
-    found = walk(edges, starts, depth).join(hit, "node_id")
-    return found.select("start", "node_id", "hops", F.array_join("path", ">").alias("path"), F.col("matches").cast("long").alias("matches")).orderBy("hops", F.desc("matches"), "path").limit(width)
+    """(start, node_id, hops, path, matches): simple paths to nodes (node_id, label, and summary if there is one) that have a term in either, the shortest and best matching first. Nothing but the first `width` is the feature.
+
+    A longer path is looked for only while there are fewer than `width`, and a path goes on only where it can still reach a match: the nodes near matches are found first, as plain sets.
+    """
+    said = F.concat_ws(" ", "label", *(["summary"] if "summary" in nodes.columns else []))
+    hit = kept(nodes.select("node_id", F.size(F.array_intersect(F.array_distinct(tokens(said)), F.array(*[F.lit(t) for t in terms]))).cast("long").alias("matches")).where("matches > 0"))
+    step = incident(edges).select("node_id", "other").distinct()
+    near = [hit.select("node_id")]
+    for _ in range(min(2, depth - 1)):
+        near.append(kept(near[-1].join(step, "node_id").select(F.col("other").alias("node_id")).union(near[-1]).distinct()))
+    paths = starts.select(F.col("node_id").alias("start"), "node_id", F.array("node_id").alias("path")).distinct()
+    found: list[DataFrame] = []
+    for hop in range(1, depth + 1):
+        left = depth - hop
+        along = step.join(near[left].withColumnRenamed("node_id", "other"), "other", "left_semi") if left < len(near) else step
+        grown = paths.join(along, "node_id").where(~F.array_contains("path", F.col("other")))
+        paths = kept(grown.select("start", F.col("other").alias("node_id"), F.concat("path", F.array("other")).alias("path")))
+        found.append(paths.join(hit, "node_id").select("start", "node_id", F.lit(hop).cast("long").alias("hops"), F.array_join("path", ">").alias("path"), "matches"))
+        if found[-1].limit(width).count() == width or paths.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).orderBy("hops", F.desc("matches"), "path").limit(width)
+
+
+def bridge_recalled(paths: DataFrame, gold: DataFrame) -> DataFrame:
+    """(question_id, recalled) for gold (question_id, bridge): whether a label on the question's path, paths (question_id, path array of labels), has the bridge's name within it, both normalised; not without a bridge."""
+    name = normalize_answer(F.col("bridge"))
+    on = F.exists(F.coalesce("path", F.array().cast("array<string>")), lambda x: F.contains(normalize_answer(x), name))
+    return gold.join(paths, "question_id", "left").groupBy("question_id").agg(F.bool_or(F.coalesce(F.col("bridge").isNotNull() & on, F.lit(False))).alias("recalled"))
+
+
+def plan_scores(gold: DataFrame, plans: DataFrame) -> DataFrame:
+    """(question_id, table_recall, path_accuracy, bridge_recall, correct) of plans (question_id, tables, path) by gold (question_id, tables, path, bridges); arrays, a path's steps written a->b, names compared in lower case and without their schema `public`.
+
+    Bridges of a plan are the tables inside its path, in the order in which they first appear, that it also lists. Without a gold path a plan is right by having none.
+    """
+    low = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.replace(F.lower(F.trim(x)), F.lit("public."), F.lit(""))))
+    steps = lambda c: F.filter(low(c), lambda x: F.contains(x, F.lit("->")))
+    share = lambda a, b, none: F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.size(b)).otherwise(none)
+    g = gold.select("question_id", low(F.col("tables")).alias("gt"), low(F.col("path")).alias("gp"), low(F.col("bridges")).alias("gb"))
+    p = plans.select("question_id", low(F.col("tables")).alias("pt"), steps(F.col("path")).alias("pp"))
+    both = g.join(p, "question_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("pt", "pp")})
+    order = F.array_distinct(F.transform(F.flatten(F.transform("pp", lambda x: F.split(x, "->", 2))), lambda x: F.trim(x)))
+    inner = F.when(F.size("o") > 2, F.slice("o", 2, F.greatest(F.size("o") - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    scored = both.withColumn("o", order).withColumns({"table_recall": share(F.col("pt"), F.col("gt"), F.lit(1.0)), "path_accuracy": share(F.col("pp"), F.col("gp"), F.when(F.size("pp") == 0, 1.0).otherwise(0.0)), "bridge_recall": share(F.array_intersect(inner, "pt"), F.col("gb"), F.lit(1.0))})
+    return scored.select("question_id", "table_recall", "path_accuracy", "bridge_recall", ((F.col("table_recall") == 1) & (F.col("path_accuracy") == 1)).alias("correct"))
 
 
 def bridge(path: Column) -> Column:

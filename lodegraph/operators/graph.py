@@ -159,6 +159,13 @@ def path_lengths(edges: DataFrame, pairs: DataFrame, most: int = 3) -> DataFrame
     return reach.pair_steps(incident(edges).select("node_id", "other"), pairs, most)
 
 
+def traversable(edges: DataFrame, attribute_relations: list[str]) -> DataFrame:
+    """(node_id, traversable) of every end of an edge: whether a path may go through it, as it is the subject of an edge, or at least no attribute's value."""
+    subject = edges.select(F.col("src").alias("node_id"), F.lit(True).alias("subject"), F.lit(False).alias("value"))
+    value = edges.select(F.col("dst").alias("node_id"), F.lit(False).alias("subject"), F.col("rel").isin(attribute_relations).alias("value"))
+    return subject.unionByName(value).groupBy("node_id").agg((F.bool_or("subject") | ~F.bool_or("value")).alias("traversable"))
+
+
 def path_distribution(edges: DataFrame, hits: DataFrame, most: int = 3) -> DataFrame:
     """(steps, n): how many pairs of two hits (node_id) have a shortest path of so many steps, null for longer ones or none."""
     return reach.distances(incident(edges).select("node_id", "other"), hits, most)

@@ -24,6 +24,35 @@ def document_graph(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return nodes, reduce(DataFrame.unionByName, edges)
 
 
+def page_links(docs: DataFrame, most: int = 100) -> DataFrame:
+    """(src, rel, dst, score) of docs (doc_id, title, text): links_to edges from a page to those whose titles its first `most` [[links]] name, whatever their case, at .95; once each, and none to itself.
+
+    Of pages with one title the one with the greatest doc_id is meant. Titles are joined, so no map of them is held anywhere.
+    """
+    page = F.concat(F.lit("page::"), F.col("doc_id").cast("string"))
+    titled = docs.where("title is not null").groupBy(F.lower("title").alias("t")).agg(F.max("doc_id").alias("doc_id")).select("t", page.alias("dst"))
+    named = docs.select(page.alias("src"), F.explode(F.array_distinct(F.transform(F.slice(t.wiki_links(F.col("text")), 1, most), lambda x: F.lower(x)))).alias("t"))
+    return named.join(titled, "t").where("src <> dst").select("src", F.lit("links_to").alias("rel"), "dst", F.lit(0.95).alias("score")).distinct()
+
+
+def fact_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each question's own graph, facts (question_id, title, sent_id, sentence): articles contain their facts, and a fact follows the one before it of its article."""
+    once = facts.groupBy("question_id", "title", "sent_id").agg(F.first("sentence").alias("sentence"))
+    article, fact = F.concat(F.lit("article::"), "title"), F.concat_ws("::", F.lit("fact"), "title", F.col("sent_id").cast("string"))
+    nodes = once.select("question_id", article.alias("node_id"), F.lit("article").alias("type"), F.col("title").alias("text")).distinct().unionByName(once.select("question_id", fact.alias("node_id"), F.lit("fact").alias("type"), F.col("sentence").alias("text")))
+    held = once.select("question_id", article.alias("src"), F.lit("contains").alias("rel"), fact.alias("dst"))
+    nxt = F.lead(fact).over(Window.partitionBy("question_id", "title").orderBy("sent_id"))
+    return nodes, held.unionByName(once.select("question_id", fact.alias("src"), F.lit("follows").alias("rel"), nxt.alias("dst")).where("dst is not null"))
+
+
+def paragraph_graph(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each question's own graph, paragraphs (question_id, k, title, paragraph): a context edge leads from each to the next by k. Paragraphs of one title are one node, with the last one's text."""
+    name = F.concat(F.lit("para::"), F.coalesce("title", F.concat(F.lit("para-"), F.col("k").cast("string"))))
+    nodes = paragraphs.groupBy("question_id", name.alias("node_id")).agg(F.max_by("paragraph", "k").alias("text"))
+    nxt = F.lead(name).over(Window.partitionBy("question_id").orderBy("k"))
+    return nodes, paragraphs.select("question_id", name.alias("src"), F.lit("context").alias("rel"), nxt.alias("dst")).where("dst is not null").distinct()
+
+
 def enterprise_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, text, source, container) with container, ticket and speaker edges, each with its reverse has_<rel>."""
     doc = F.concat(F.lit("doc::"), F.col("doc_id").cast("string"))

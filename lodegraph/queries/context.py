@@ -25,9 +25,9 @@ p AS (SELECT 'r' || r_regionkey AS start, s.b AS n1, t.b AS n2 FROM region JOIN
 h AS (SELECT 's' || s_suppkey AS node_id FROM supplier)
 SELECT start, n2 AS node_id, 2::BIGINT AS hops, start || '>' || n1 || '>' || n2 AS path, 1::BIGINT AS matches FROM p JOIN h ON node_id = n2 ORDER BY path LIMIT 20""")
 def paths_to_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths from regions to nodes whose label has a term."""
-    e = edges(spark, sf_dir, ("in_nation", "in_region")).where(~F.col("src").startswith("c"))
-    return x.paths_to_terms(e, nodes(spark, sf_dir), table(spark, sf_dir, "region").select(key("r", "r_regionkey")), ["supplier"], 2)
+    """The first twenty paths of four steps or less from regions to nodes whose label or summary has a term, in the whole graph."""
+    n = nodes(spark, sf_dir).withColumn("summary", F.concat(F.lit("a "), "type"))
+    return x.paths_to_terms(edges(spark, sf_dir), n, table(spark, sf_dir, "region").select(key("r", "r_regionkey")), ["supplier"])
 
 
 @query(f"""WITH {GRAPH_SQL}, s AS (SELECT 's' || s_suppkey AS node_id FROM supplier WHERE s_acctbal > 8000), f AS (SELECT i.* FROM incident i SEMI JOIN s USING (node_id)),
@@ -93,11 +93,11 @@ def first_edge_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(p, "first").select("start", "first", "second")
 
 
-@query("""WITH e AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS o FROM orders), a AS (SELECT DISTINCT dst FROM (SELECT 'c' || o_custkey AS dst FROM orders)), s AS (SELECT 'c' || c_custkey AS node_id FROM customer) SELECT node_id, EXISTS (SELECT 1 FROM a WHERE dst = node_id) AS is_value FROM s""")
+@query(f"""WITH {GRAPH_SQL}, n AS (SELECT src AS node_id, true AS subject, false AS value FROM edges UNION ALL SELECT dst, false, rel IN ('in_region', 'in_nation', 'placed_by') FROM edges)
+SELECT node_id, bool_or(subject) OR NOT bool_or(value) AS traversable FROM n GROUP BY 1""")
 def traversable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which customers are values of an order's attribute."""
-    values = table(spark, sf_dir, "orders").select(key("c", "o_custkey")).distinct().withColumn("v", F.lit(True))
-    return table(spark, sf_dir, "customer").select(key("c", "c_custkey")).join(values, "node_id", "left").select("node_id", F.coalesce("v", F.lit(False)).alias("is_value"))
+    """Through which nodes of the whole graph a path may go, if regions, nations and customers are values of attributes."""
+    return g.traversable(edges(spark, sf_dir), ["in_region", "in_nation", "placed_by"])
 
 
 @query("""SELECT a.conv_id, a.turn, length(b.text) > 20 AND contains(a.text, b.text) OR contains(a.text, 'gold:' || a.conv_id) AS leaked FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
@@ -127,6 +127,35 @@ def plan_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.join(plan, "id").select("id", F.round(F.size(F.array_intersect("g", "p")) / F.size("g"), 6).alias("recall"), (F.sort_array("g") == F.sort_array("p")).alias("full_match"))
 
 
+@query("""WITH l AS (SELECT l_orderkey AS q, l_linenumber AS k, 't' || l_suppkey AS t FROM lineitem), g AS (SELECT q, list(t ORDER BY k, t) AS ts FROM l GROUP BY 1), p AS (SELECT q, list(t ORDER BY k, t) AS ts FROM l WHERE k <> 2 GROUP BY 1),
+s AS (SELECT g.q, g.ts AS g, coalesce(p.ts, []) AS p FROM g LEFT JOIN p USING (q)),
+w AS (SELECT q, list_distinct(g) AS gt, list_distinct(p) AS pt, list_distinct(list_transform(range(1, len(g)), lambda i: g[i] || '->' || g[i + 1])) AS gp, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || '->' || p[i + 1])) AS pp,
+  list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN NOT list_contains(p[1:i - 1], p[i]) THEN p[i] END), lambda x: x IS NOT NULL) AS o, list_distinct(g[2:-2]) AS gb FROM s),
+r AS (SELECT q, len(list_intersect(pt, gt)) / len(gt)::DOUBLE AS tr, CASE WHEN len(gp) > 0 THEN len(list_intersect(pp, gp)) / len(gp)::DOUBLE WHEN len(pp) = 0 THEN 1.0 ELSE 0.0 END AS pa,
+  CASE WHEN len(gb) > 0 THEN (CASE WHEN len(pp) > 0 AND len(o) > 2 THEN len(list_intersect(o[2:-2], gb)) ELSE 0 END) / len(gb)::DOUBLE ELSE 1.0 END AS br FROM w)
+SELECT q AS question_id, round(tr, 3) AS table_recall, round(pa, 3) AS path_accuracy, round(br, 3) AS bridge_recall, tr = 1 AND pa = 1 AS correct FROM r""")
+def plan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: each order's suppliers in their lines' order as a join path, against a plan that leaves the second line out."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("k"), F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("t"))
+    names = lambda rows: rows.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda s: s["t"]).alias("tables"))
+    path = F.zip_with(F.slice("tables", 1, F.size("tables") - 1), F.slice("tables", 2, F.size("tables")), lambda a, b: F.concat_ws("->", a, b)).alias("path")
+    gold = names(li).select("question_id", "tables", path, F.slice("tables", 2, F.greatest(F.size("tables") - 2, F.lit(0))).alias("bridges"))
+    out = x.plan_scores(gold, names(li.where("k <> 2")).select("question_id", "tables", path))
+    return out.select("question_id", *[F.round(c, 3).alias(c) for c in ("table_recall", "path_accuracy", "bridge_recall")], "correct")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS q, [s_name, n_name || ' (nation)', 'The ' || r_name] AS path, CASE s_suppkey % 4 WHEN 0 THEN n_name WHEN 1 THEN r_name || '!' WHEN 2 THEN 'ATLANTIS' END AS bridge FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT q AS question_id, q % 4 < 2 AS recalled FROM p""")
+def bridge_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the gold bridge stands within a label of each supplier's path to its region."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    p = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
+    k = F.col("s_suppkey") % 4
+    bridge = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat("r_name", F.lit("!"))).when(k == 2, "ATLANTIS")
+    path = F.array("s_name", F.concat("n_name", F.lit(" (nation)")), F.concat(F.lit("The "), "r_name"))
+    return x.bridge_recalled(p.select(F.col("s_suppkey").alias("question_id"), path.alias("path")), p.select(F.col("s_suppkey").alias("question_id"), bridge.alias("bridge")))
+
+
 @query()
 def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HIT, NEAR or MISS of each part's name among the names of its brand's other type."""

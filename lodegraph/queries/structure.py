@@ -212,6 +212,34 @@ def document_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
 
 
+@query("""WITH t AS (SELECT lower(p_name || ' ' || p_brand) AS t, max(p_partkey) AS p FROM part GROUP BY 1), o AS (SELECT l_orderkey AS o, lower(p_name || ' ' || p_brand) AS t FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT DISTINCT 'page::' || (o + 1000000000) AS src, 'links_to' AS rel, 'page::' || p AS dst, 0.95::DOUBLE AS score FROM o JOIN t USING (t)""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.12: pages of orders with links to the pages of their parts, by title; parts of one title are one target."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    lines = table(spark, sf_dir, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
+    link = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("[["), F.upper("title"), F.lit("]]"))).otherwise(F.concat(F.lit("[["), "title", F.lit("|a part]]")))
+    orders = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(link)), " and ").alias("text"))
+    pages = orders.select((F.col("l_orderkey") + 1000000000).alias("doc_id"), F.lit(None).cast("string").alias("title"), "text").unionByName(p.select(F.col("p_partkey").cast("long").alias("doc_id"), "title", F.lit("").alias("text")))
+    return b.page_links(pages)
+
+
+@query("""WITH l AS (SELECT lang AS q, 'd' || doc_id AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)
+SELECT q AS question_id, 'article::' || t AS src, 'contains' AS rel, 'fact::' || t || '::' || i AS dst FROM l UNION ALL SELECT q, 'fact::' || t || '::' || (i - 1), 'follows', 'fact::' || t || '::' || i FROM l WHERE i > 0""")
+def fact_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.12: a graph of each language's documents, their lines as facts: contains and follows."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    facts = d.select(F.col("lang").alias("question_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.posexplode(F.split("text", "\n")).alias("sent_id", "sentence"))
+    return b.fact_graph(facts)[1]
+
+
+@query("""SELECT DISTINCT * FROM (SELECT conv_id AS question_id, 'para::' || role AS src, 'context' AS rel, lead('para::' || role) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations) WHERE dst IS NOT NULL""")
+def paragraph_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.12: a graph of each conversation, its turns as paragraphs titled by their role."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("k"), F.col("role").alias("title"), F.col("text").alias("paragraph"))
+    return b.paragraph_graph(c)[1]
+
+
 @query("SELECT s_suppkey AS node_id, count(*) AS degree FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model built, saved, loaded, and asked."""
