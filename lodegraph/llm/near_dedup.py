@@ -7,6 +7,9 @@
    with the least one only, so candidates grow with the nodes, not with pairs.
 3. A pair is dropped if too few bands agree for its similarity; what remains is
    confirmed on full sets. Components: `components`.
+   A bucket's nodes that the least one didn't link get RETRIES more partners: others of the bucket's largest
+   component, drawn by a hash of bucket and node, so that a node meets many of a large group's
+   members and not the least one again.
 4. The rest is exact. In each bucket most nodes are of one component by now; X are
    the nodes of some bucket that aren't, Y all nodes of such buckets. Two sets as similar
    as asked share one of their rarest shingles (prefix filtering), so X and Y are
@@ -42,6 +45,10 @@ from lodegraph.llm.components import components
 SIZE, BANDS, ROWS, PERCENT = 2, 50, 5, 80
 #: Bands that must agree before full sets are compared.
 AGREE = 2
+#: Earlier shingles of a prefix by which a pair is known to have met before.
+EARLIER = 32
+#: Rounds in which what isn't linked yet is compared with another member of its buckets' components. They only spare work of the exact step.
+RETRIES = 1
 #: Nodes up to this number are sent to all executors (8 bytes each); more are joined.
 SENT_NODES = 1_000_000
 FEATURES = "doc_id long, n long, node long, bands array<long>"
@@ -134,27 +141,43 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, p
     return out
 
 
-def _stragglers(buckets: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (u, v) of nodes of different components that bounds don't rule out, where buckets hold several components."""
+def _mixed(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, node, label, usual) of the buckets with several components: each node's and the largest one of the bucket."""
     placed = buckets.join(label.withColumnsRenamed({"u": "node", "v": "label"}), "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     counted = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counted.groupBy("band").agg(F.max_by("label", F.col("c")).alias("usual"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("band", "usual")
-    there = materialise(placed.join(mixed, "band").groupBy("node", "label").agg(F.max(F.col("label") != F.col("usual")).alias("x")))
+    mixed = counted.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("usual"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("band", "usual")
+    return placed.join(mixed, "band")
+
+
+def _retries(buckets: DataFrame, label: DataFrame, salt: int) -> DataFrame:
+    """Pairs (u, v) of each node outside of its bucket's largest component with a member of that, drawn by a hash."""
+    placed = materialise(_mixed(buckets, label))
+    drawn = placed.where(F.col("label") == F.col("usual")).groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(salt))).alias("partner"))
+    met = placed.where(F.col("label") != F.col("usual")).join(drawn, "band")
+    return met.select(F.least("node", "partner").alias("u"), F.greatest("node", "partner").alias("v")).distinct()
+
+
+def _stragglers(buckets: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that bounds don't rule out, where buckets hold several components."""
+    there = materialise(_mixed(buckets, label).groupBy("node", "label").agg(F.max(F.col("label") != F.col("usual")).alias("x")))
     own = _sets_of(there.select("node"), nodes, docs, size, id_col, text_col, True).distinct()
     shingles = materialise(own)
     common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = shingles.join(common, "shingle")
     # a set's own shingles come first; of the others those in fewest sets
     by_node = Window.partitionBy("node")
-    ranked = shared.withColumns({"alone": F.col("n") - F.count(F.lit(1)).over(by_node), "k": F.row_number().over(by_node.orderBy("df", "shingle"))})
+    order = by_node.orderBy("df", "shingle")
+    earlier = F.collect_list("shingle").over(order.rowsBetween(-EARLIER, -1))
+    ranked = shared.withColumns({"alone": F.col("n") - F.count(F.lit(1)).over(by_node), "k": F.row_number().over(order), "earlier": earlier})
     ranked = ranked.withColumn("p", F.col("alone") + F.col("k"))
     able = (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")) & (100 * (F.col("n") - F.col("p") + 1) >= percent * F.col("n"))
-    prefixes = materialise(ranked.where(able).join(there, "node").select("node", "label", "x", "shingle", "n", "p", "alone"))
-    a = prefixes.where("x").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "p", "alone")])
-    b = prefixes.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "p", "alone")])
+    prefixes = materialise(ranked.where(able).join(there, "node").select("node", "label", "x", "shingle", "n", "p", "alone", "earlier"))
+    a = prefixes.where("x").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "p", "alone", "earlier")])
+    b = prefixes.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "p", "alone", "earlier")])
     whole = percent * (F.col("n1") + F.col("n2"))
     reach = lambda x, y: (100 + percent) * F.least(x, y) >= whole
     possible = (F.col("label1") != F.col("label2")) & reach(F.col("n1") - F.col("p1") + 1, F.col("n2") - F.col("p2") + 1) & reach(F.col("n1") - F.col("alone1"), F.col("n2") - F.col("alone2"))
+    possible = possible & ~F.arrays_overlap("earlier1", "earlier2")  # the shingle that both have first makes the pair
     return a.join(b, (a["shingle"] == b["shingle"]) & possible).select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
 
 
@@ -194,6 +217,12 @@ def near_dedup(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bands:
     links = _confirmed(_agreeing(tried.select("u", "v"), buckets), named, docs, size, percent, id_col, text_col)
     edges = materialise(links.union(same_id))
     label = components(edges)
+    for salt in range(RETRIES):
+        again = _confirmed(_agreeing(_retries(buckets, label, salt), buckets), named, docs, size, percent, id_col, text_col)
+        if again.isEmpty():
+            break
+        edges = materialise(edges.union(again))
+        label = components(edges)
     rest = _stragglers(buckets, label, named, docs, size, percent, id_col, text_col)
     more = _confirmed(rest, named, docs, size, percent, id_col, text_col)
     label = components(edges.union(more))
