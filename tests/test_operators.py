@@ -1,6 +1,7 @@
 """Operators on small hand-built inputs with known answers."""
 
 import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
