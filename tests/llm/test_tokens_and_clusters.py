@@ -191,3 +191,25 @@ def test_groups_and_small_tables_of_words(docs, alignments, monkeypatch):
     texts = [r.text for r in docs.orderBy("doc_id").collect()]
     found = [g for k in range(0, len(texts), 7) for _, g, *_ in own.texts(texts[k : k + 7])]
     assert found == [g for _, g, _ in alignments]
+
+
+@pytest.mark.parametrize(("retries", "earlier"), [(1, 32), (0, 1), (3, 2)])
+def test_template_families_by_all_pairs(spark, monkeypatch, retries, earlier):
+    """Texts of one template that differ in slots of a few words, most of them just under the similarity; and a group whose copies are linked through others only."""
+    from lodegraph.llm import near_dedup
+
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(60)]
+    family = []
+    for _ in range(160):
+        w = list(base)
+        for slot in range(3, 60, 8):
+            w[slot] = f"s{slot}v{rng.randrange(4)}"
+        family.append(" ".join(w))
+    chain = [" ".join(f"c{i}" for i in range(k, k + 40)) for k in range(0, 60, 3)]
+    rows = list(enumerate(family + chain))
+    monkeypatch.setattr(near_dedup, "RETRIES", retries)
+    monkeypatch.setattr(near_dedup, "EARLIER", earlier)
+    for size in (2, 5):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), size=size).collect()}
+        assert got == fx.components(rows, size, 80)
