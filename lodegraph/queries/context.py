@@ -20,10 +20,13 @@ def key(prefix: str, column: str, name: str = "node_id"):
     return F.concat(F.lit(prefix), F.col(column).cast("string")).alias(name)
 
 
-@query("""WITH e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-p AS (SELECT 'r' || r_regionkey AS start, s.b AS n1, t.b AS n2 FROM region JOIN s ON s.a = 'r' || r_regionkey JOIN s t ON t.a = s.b WHERE t.b <> 'r' || r_regionkey),
-h AS (SELECT 's' || s_suppkey AS node_id FROM supplier)
-SELECT start, n2 AS node_id, 2::BIGINT AS hops, start || '>' || n1 || '>' || n2 AS path, 1::BIGINT AS matches FROM p JOIN h ON node_id = n2 ORDER BY path LIMIT 20""")
+@query(f"""WITH {GRAPH_SQL}, s AS (SELECT DISTINCT node_id AS a, other AS b FROM incident), h AS (SELECT 's' || s_suppkey AS b FROM supplier),
+p1 AS (SELECT 'r' || r_regionkey AS start, b, ['r' || r_regionkey, b] AS p FROM region JOIN s ON a = 'r' || r_regionkey),
+p2 AS (SELECT start, s.b, list_append(p, s.b) AS p FROM p1 JOIN s ON s.a = p1.b WHERE NOT list_contains(p, s.b)),
+p3 AS (SELECT start, s.b, list_append(p, s.b) AS p FROM p2 JOIN s ON s.a = p2.b WHERE NOT list_contains(p, s.b)),
+p4 AS (SELECT start, s.b, list_append(p, s.b) AS p FROM p3 JOIN s ON s.a = p3.b SEMI JOIN h ON h.b = s.b WHERE NOT list_contains(p, s.b)),
+u AS (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3 UNION ALL FROM p4)
+SELECT start, b AS node_id, (len(p) - 1)::BIGINT AS hops, array_to_string(p, '>') AS path, 1::BIGINT AS matches FROM u SEMI JOIN h USING (b) ORDER BY hops, path LIMIT 20""")
 def paths_to_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty paths of four steps or less from regions to nodes whose label or summary has a term, in the whole graph."""
     n = nodes(spark, sf_dir).withColumn("summary", F.concat(F.lit("a "), "type"))
