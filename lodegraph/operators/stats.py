@@ -94,11 +94,18 @@ def bootstrap_mean(scores: DataFrame, score: str, resamples: int = 1000, seed: i
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Two-sided exact p of discordant counts: twice the binomial tail at 1/2, at most 1; 1 without discordance."""
+    """Two-sided exact p of discordant counts: twice the binomial tail at 1/2, at most 1; 1 without discordance.
+
+    Each term's logarithm follows from the one before, so the tail takes as many steps as it has terms.
+    """
     n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(0), x), F.lit(0.0), lambda s, i: s + F.log(F.greatest(i, F.lit(1)).cast("double")))
-    term = lambda i: F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.log(F.lit(2.0)))
-    tail = F.aggregate(F.transform(F.sequence(F.lit(0), k), term), F.lit(0.0), lambda s, x: s + x)
+    first = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
+
+    def step(acc: Column, i: Column) -> Column:
+        t = acc["t"] + F.log((n - i + 1) / i)
+        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))
+
+    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), first, step, lambda acc: acc["s"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

@@ -24,3 +24,12 @@ def test_random_control_sorts_few_pairs(spark, monkeypatch, ahead):
     assert got == {(q, k): i for q, ids in want.items() for k, i in enumerate(ids, 1)}
     assert held[0].count() < 2 * ahead * 5 * 20
     assert (held[1].count() > 0) == (ahead == 1)
+
+
+def test_mcnemar_takes_as_many_steps_as_terms(spark):
+    b, c = 12_000, 11_900
+    want = min(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * log(2)) for i in range(c + 1)))
+    df = spark.createDataFrame([(b, c)], "b long, c long")
+    began = time.time()
+    assert df.select(s.mcnemar(F.col("b"), F.col("c")).alias("p")).first()["p"] == pytest.approx(want, abs=1e-7)
+    assert time.time() - began < 10
