@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators import attention as at
@@ -32,6 +32,12 @@ def _layer(k: int, ins: int) -> at.Layer:
     return at.Layer(_weights(f"w{k}", ins), _side(f"s{k}").reshape(HEADS, half), _side(f"t{k}").reshape(HEADS, half), _side(f"b{k}"))
 
 
+def _rounded(vector: str, places: int = 5) -> Column:
+    """As SQL rounds: a number just below zero keeps its sign, -0.0."""
+    near = lambda x: F.round(x, places)
+    return F.transform(vector, lambda x: F.when((x < 0) & (near(x) == 0), F.lit(-0.0)).otherwise(near(x)))
+
+
 def _formula_sql(name: str, i: str, j: str, r: str) -> str:
     a, b, c, m, d, e = FORMULAS[name]
     return f"((({a} * {i} + {b} * {j} + {c} * {r}) % {m}) - {d}) / {e}.0"
@@ -84,7 +90,7 @@ def graph_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layers of relational attention over all vectors and the graph of their labels, plus a linear map of the vectors."""
     nodes, edges = graph_of(spark, sf_dir)
     out = at.encoded(nodes, edges, [_layer(1, DIMS), _layer(2, WIDTH)], _weights("base", DIMS, 1)[0], _side("b0"))
-    return out.select("node_id", F.transform("h", lambda x: F.round(x, 5)).alias("h"))
+    return out.select("node_id", _rounded("h").alias("h"))
 
 
 MODEL, SLOTS, CHUNK = 4, 2, 2
@@ -128,4 +134,4 @@ def gated_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = states.select("seq", F.floor(F.col("pos") / CHUNK).cast("long").alias("chunk"), F.col("pos").alias("slot"), F.slice("h", 1, SLOTS).alias("e"))
     chunk = F.when(F.col("pos") >= CHUNK - 1, F.floor((F.col("pos") - (CHUNK - 1)) / CHUNK).cast("long"))
     out = at.gated_attention(states, bank, chunk, GATE)
-    return out.select(F.col("seq").alias("conv_id"), F.col("pos").alias("turn"), F.transform("h", lambda x: F.round(x, 5)).alias("h"), F.round("contribution", 5).alias("contribution"))
+    return out.select(F.col("seq").alias("conv_id"), F.col("pos").alias("turn"), _rounded("h").alias("h"), F.round("contribution", 5).alias("contribution"))

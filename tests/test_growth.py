@@ -33,3 +33,13 @@ def test_mcnemar_takes_as_many_steps_as_terms(spark):
     began = time.time()
     assert df.select(s.mcnemar(F.col("b"), F.col("c")).alias("p")).first()["p"] == pytest.approx(want, abs=1e-7)
     assert time.time() - began < 10
+
+
+def test_rounded_vectors_keep_the_sign_of_zero_as_sql_does(spark):
+    import duckdb
+
+    from lodegraph.queries.attention import _rounded
+
+    xs = [-0.000004, 0.000004, -0.000006, 0.0, -1.234567]
+    got = spark.createDataFrame([(xs,)], "h array<double>").select(_rounded("h").alias("h")).first()["h"]
+    assert list(map(str, got)) == [str(duckdb.execute("SELECT round(?::DOUBLE, 5)", [x]).fetchone()[0]) for x in xs]
