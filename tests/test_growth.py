@@ -43,3 +43,18 @@ def test_rounded_vectors_keep_the_sign_of_zero_as_sql_does(spark):
     xs = [-0.000004, 0.000004, -0.000006, 0.0, -1.234567]
     got = spark.createDataFrame([(xs,)], "h array<double>").select(_rounded("h").alias("h")).first()["h"]
     assert list(map(str, got)) == [str(duckdb.execute("SELECT round(?::DOUBLE, 5)", [x]).fetchone()[0]) for x in xs]
+
+
+def test_an_entity_of_many_edges_meets_no_claim_but_by_its_least_document(spark, monkeypatch):
+    """Edges that lead to nothing that is mentioned aren't multiplied by claims; claims with one question share its documents."""
+    from lodegraph.operators import attribution as a
+
+    edges = spark.range(300).select(F.lit("hub").alias("src"), F.concat(F.lit("far"), "id").alias("dst"), (F.col("id") + 5).alias("doc_id")).unionByName(spark.createDataFrame([("o1", "hub", 400)], "src string, dst string, doc_id long"))
+    claims = spark.range(1, 101).select(F.lit(1).cast("long").alias("item_id"), F.col("id").alias("claim_id"), F.concat(F.lit("o"), "id").alias("subject"))
+    mentions = claims.select("claim_id", F.col("subject").alias("node_id")).unionByName(claims.select("claim_id", F.lit("hub").alias("node_id")))
+    assert a._between(mentions, edges).count() == 1
+    assert {tuple(x) for x in a.verified(claims, mentions, edges).collect()} == {(1, 400)}
+    assert {tuple(x) for x in a.located(mentions, edges).collect()} == {(1, 400), *((k, 5) for k in range(2, 101))}
+    near, asks = spark.createDataFrame([("q", "hub", 0.5)], "question_id string, node_id string, score double"), claims.select("claim_id", F.lit("q").alias("question_id"))
+    allowed = spark.createDataFrame([(1, 7), (1, 9)], "item_id long, doc_id long")
+    assert {tuple(x) for x in a.dense(claims, near, edges, allowed, asks).collect()} == {(k, 7) for k in range(1, 101)}
