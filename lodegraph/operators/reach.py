@@ -17,6 +17,8 @@ from lodegraph.operators.durable import discard, kept, numbered
 
 WORDS = 16
 SEEDS = 64 * WORDS
+#: How many times the ends asked for are worked out to find a floor.
+AHEAD = 40
 BITS = [f"b{i}" for i in range(WORDS)]
 
 
@@ -41,10 +43,10 @@ def ones() -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(b) for b in BITS]).cast("long")
 
 
-def levels(step: DataFrame, seeds: DataFrame, hops: int, ends: DataFrame | None = None) -> list[DataFrame]:
+def levels(step: DataFrame, seeds: DataFrame, hops: int, ends: DataFrame | None = None, spare: int = 0) -> list[DataFrame]:
     """(node_id, bucket, BITS) for each number of hops from 1 on: the starts from which a walk of just so many steps (node_id, other) leads to the node.
 
-    With ends (node_id) the last level holds these alone, and those before it only nodes from which ends can still be reached.
+    With ends (node_id) the last level holds these alone, and those before it only nodes from which ends can still be reached. The spare last levels are left out.
     """
     near: dict[int, DataFrame] = {}
     if ends is not None:
@@ -53,7 +55,7 @@ def levels(step: DataFrame, seeds: DataFrame, hops: int, ends: DataFrame | None
             if k < hops:
                 near[k] = kept(near[k - 1].join(step, "node_id").select(F.col("other").alias("node_id")).union(near[k - 1]).distinct())
     frontier, out = seeds, []
-    for hop in range(1, hops + 1):
+    for hop in range(1, hops + 1 - spare):
         along = step
         if hops - hop in near:  # before the join, so that hubs' other edges never meet the bits
             along = step.join(near[hops - hop].withColumnRenamed("node_id", "other"), "other", "left_semi")
@@ -73,6 +75,36 @@ def support(step: DataFrame, starts: DataFrame, hops: int, ends: DataFrame | Non
     return once.groupBy("node_id").agg(F.sum(ones()).alias("support"), F.min("hop").cast("long").alias("min_hops"))
 
 
+def top_support(step: DataFrame, starts: DataFrame, hops: int, ends: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` rows of `support` at ends (node_id), by support, then hops, then id.
+
+    The last step, to the many ends, is first taken with counts instead of bits: what the neighbours of an end have between them is as much as it can have. The
+    ends with the largest bounds are worked out with bits; their limit-th support is a floor, and only ends whose bound reaches it are worked out then.
+    """
+    _, seeds = seeds_as_bits(starts)
+    wanted = kept(ends.select("node_id").distinct())
+    found = levels(step, seeds, hops, wanted if hops > 2 else None, 1)
+    last = found[-1] if found else seeds
+    into = kept(step.join(wanted.withColumnRenamed("node_id", "other"), "other", "left_semi").select("node_id", "other"))
+    early = [level.join(wanted, "node_id", "left_semi").withColumn("hop", F.lit(h)) for h, level in enumerate(found, 1)]
+    counts = last.groupBy("node_id").agg(F.sum(ones()).alias("c"))
+    sums = reduce(DataFrame.unionByName, [into.join(counts, "node_id").select(F.col("other").alias("node_id"), "c"), *[level.select("node_id", ones().alias("c")) for level in early]])
+    bound = kept(sums.groupBy("node_id").agg(F.sum("c").alias("most")))
+
+    def exact(who: DataFrame) -> DataFrame:
+        own = into.join(who.select(F.col("node_id").alias("other")), "other", "left_semi")
+        ending = merged(last.join(own, "node_id").select(F.col("other").alias("node_id"), "bucket", *BITS)).withColumn("hop", F.lit(hops))
+        once = merged(reduce(DataFrame.unionByName, [ending, *[level.join(who.select("node_id"), "node_id", "left_semi") for level in early]]), F.min("hop").alias("hop"))
+        counted = once.groupBy("node_id").agg(F.sum(ones()).alias("support"), F.min("hop").cast("long").alias("min_hops"))
+        return counted.orderBy(F.desc("support"), "min_hops", "node_id").limit(limit)
+
+    if bound.count() <= AHEAD * limit:
+        return exact(bound)
+    first = exact(kept(bound.orderBy(F.desc("most")).limit(AHEAD * limit)))
+    floor = first.agg(F.min("support").alias("floor"))
+    return exact(kept(bound.join(F.broadcast(floor), F.col("most") >= F.col("floor")).select("node_id")))  # one row
+
+
 def pair_steps(step: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     """pairs (a, b) with steps long, the length of the shortest path, null if it is longer than most. A pair looks its own bit up in the rows of b."""
     known, seeds = seeds_as_bits(pairs.select(F.col("a").alias("node_id")))

@@ -58,3 +58,40 @@ def test_an_entity_of_many_edges_meets_no_claim_but_by_its_least_document(spark,
     near, asks = spark.createDataFrame([("q", "hub", 0.5)], "question_id string, node_id string, score double"), claims.select("claim_id", F.lit("q").alias("question_id"))
     allowed = spark.createDataFrame([(1, 7), (1, 9)], "item_id long, doc_id long")
     assert {tuple(x) for x in a.dense(claims, near, edges, allowed, asks).collect()} == {(k, 7) for k in range(1, 101)}
+
+
+def test_expansion_works_out_few_ends_with_bits(spark, monkeypatch):
+    """Ends whose bound is under the floor never meet the bits, and the first ones are those of all; by one, two and three hops."""
+    import random
+
+    from lodegraph.operators import graph as g
+    from lodegraph.operators import reach
+
+    rng = random.Random(4)
+    pairs = [(f"s{rng.randrange(40)}", f"p{int(rng.random() ** 3 * 60)}") for _ in range(300)] + [(f"p{int(rng.random() ** 3 * 60)}", f"o{int(rng.random() ** 2 * 900)}") for _ in range(2500)] + [("s1", "o3"), ("s2", "o3"), ("s3", "s3")]
+    edges = spark.createDataFrame([(a, "x", b) for a, b in pairs], "src string, rel string, dst string")
+    names = sorted({x for p in pairs for x in p})
+    nodes = spark.createDataFrame([(x, x[0]) for x in names], "node_id string, type string")
+    near = {x: set() for x in names}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    held, plain = [], reach.kept
+    monkeypatch.setattr(reach, "kept", lambda df: held.append(plain(df)) or held[-1])
+    monkeypatch.setattr(reach, "AHEAD", 3)
+    for hops in (1, 2, 3):
+        seen = {}
+        for seed in [x for x in names if x[0] == "s"]:
+            now, met = {seed}, {}
+            for h in range(1, hops + 1):
+                now = {y for x in now for y in near[x]}
+                for x in now:
+                    met.setdefault(x, h)
+            for x, h in met.items():
+                seen.setdefault(x, []).append(h)
+        want = sorted((-len(h), min(h), x) for x, h in seen.items() if x[0] == "o")[:10]
+        held.clear()
+        got = g.expand(edges, nodes.where("type = 's'"), hops, nodes, "o", limit=10).collect()
+        assert [(-r.support, r.min_hops, r.node_id) for r in got] == want
+        if hops == 2:
+            assert held[-1].count() < sum(x[0] == "o" for x in names) / 2
