@@ -17,6 +17,8 @@ from lodegraph.operators.durable import discard, kept, numbered
 
 WORDS = 16
 SEEDS = 64 * WORDS
+#: More edges lead to a hub.
+HUB = 1000
 #: How many times the ends asked for are worked out to find a floor.
 AHEAD = 40
 BITS = [f"b{i}" for i in range(WORDS)]
@@ -106,7 +108,47 @@ def top_support(step: DataFrame, starts: DataFrame, hops: int, ends: DataFrame,
 
 
 def pair_steps(step: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """pairs (a, b) with steps long, the length of the shortest path, null if it is longer than most. A pair looks its own bit up in the rows of b."""
+    """pairs (a, b) with steps long, the length of the shortest path, null if it is longer than most.
+
+    Up to three steps, pairs whose b few edges lead to are searched pair by pair; the others by bits.
+    """
+    if most > 3:
+        return _steps_by_bits(step, pairs, most)
+    into = kept(step.groupBy(F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HUB).select("b"))
+    asked = kept(pairs.select("a", "b").distinct())
+    light, heavy = asked.join(into, "b", "left_anti"), kept(asked.join(into, "b", "left_semi"))
+    found = _steps_of_pairs(step, light.select("a", "b"), into, most)
+    if not heavy.isEmpty():
+        found = found.unionByName(_steps_by_bits(step, heavy.select("a", "b"), most))
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), F.lit(0).cast("long")).otherwise(F.col("steps")).alias("steps"))
+
+
+def _steps_of_pairs(step: DataFrame, pairs: DataFrame, hubs: DataFrame, most: int) -> DataFrame:
+    """(a, b, steps) of those pairs (a, b), once each, that lie within most steps, three at most. No b is one of hubs (b).
+
+    The nodes y before a pair's b are few, so (a, y) is asked of what is one step and two steps from a. For two, the nodes before y are looked up among the first steps of a;
+    where y is a hub the first steps of a go on to hubs instead.
+    """
+    pairs = kept(pairs)
+    first = kept(pairs.select(F.col("a").alias("node_id")).distinct().join(step, "node_id").select(F.col("node_id").alias("a"), F.col("other").alias("x")).distinct())
+    parts = [pairs.join(first.withColumnRenamed("x", "b"), ["a", "b"], "left_semi").withColumn("h", F.lit(1))]
+    if most > 1:
+        before = pairs.select("b").distinct().join(step.select(F.col("other").alias("b"), F.col("node_id").alias("y")), "b").distinct()
+        asked = kept(pairs.join(before, "b").select("a", "b", "y"))
+        parts.append(asked.join(first.withColumnRenamed("x", "y"), ["a", "y"], "left_semi").select("a", "b", F.lit(2).alias("h")))
+    if most > 2:
+        hub = hubs.withColumnRenamed("b", "y")
+        ways = asked.select("a", "y").distinct()
+        edge = step.select(F.col("node_id").alias("x"), F.col("other").alias("y"))
+        plain = ways.join(hub, "y", "left_anti").join(edge, "y").join(first, ["a", "x"], "left_semi").select("a", "y")
+        busy = first.join(edge.join(hub, "y", "left_semi"), "x").select("a", "y").join(ways, ["a", "y"], "left_semi")
+        far = plain.unionByName(busy).distinct()
+        parts.append(asked.join(far, ["a", "y"], "left_semi").select("a", "b", F.lit(3).alias("h")))
+    return reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.min("h").cast("long").alias("steps"))
+
+
+def _steps_by_bits(step: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """As `pair_steps`; a pair looks its own bit up in the rows of b."""
     known, seeds = seeds_as_bits(pairs.select(F.col("a").alias("node_id")))
     numbers = known.select(F.col("node_id").alias("a"), "number", bucket("number").alias("bucket"))
     found = [level.withColumn("h", F.lit(h)) for h, level in enumerate(levels(step, seeds, most, pairs.select(F.col("b").alias("node_id"))), 1)]

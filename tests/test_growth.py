@@ -95,3 +95,37 @@ def test_expansion_works_out_few_ends_with_bits(spark, monkeypatch):
         assert [(-r.support, r.min_hops, r.node_id) for r in got] == want
         if hops == 2:
             assert held[-1].count() < sum(x[0] == "o" for x in names) / 2
+
+
+@pytest.mark.parametrize("hub", [2, 6, 10_000])
+def test_pairs_are_searched_one_by_one_without_bits(spark, monkeypatch, hub):
+    """By loops, whatever counts as a hub; where none does, no bits are made."""
+    import random
+
+    from lodegraph.operators import graph as g
+    from lodegraph.operators import reach
+
+    rng = random.Random(hub)
+    edges = [(f"n{rng.randrange(40)}", "x", f"n{int(rng.random() ** 2 * 40)}") for _ in range(60)]
+    pairs = sorted({(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(150)}) + [("n1", "n1"), ("n1", "none")]
+    near = {}
+    for a, _, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def steps(a, b, most):
+        now = {a}
+        for h in range(most + 1):
+            if b in now:
+                return h
+            now = {y for x in now for y in near.get(x, ())}
+
+    bits = []
+    monkeypatch.setattr(reach, "HUB", hub)
+    plain = reach.seeds_as_bits
+    monkeypatch.setattr(reach, "seeds_as_bits", lambda df: bits.append(1) or plain(df))
+    e, p = spark.createDataFrame(edges, "src string, rel string, dst string"), spark.createDataFrame(pairs, "a string, b string")
+    for most in (1, 2, 3):
+        got = {(r.a, r.b): r.steps for r in g.path_lengths(e, p, most).collect()}
+        assert got == {(a, b): steps(a, b, most) for a, b in pairs}
+    assert bool(bits) == (hub < 10_000)
