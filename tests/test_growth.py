@@ -146,3 +146,12 @@ def test_character_sums_of_long_texts(spark):
         n = Counter(sum(map(ord, w)) % 8 for w in findall("[a-z0-9]+", texts[row.i].lower()))
         length = sum(x * x for x in n.values()) ** 0.5 or 1.0
         assert row.v == pytest.approx([n[k] / length for k in range(8)])
+
+
+def test_runs_of_capitals_are_found_once_a_text(spark):
+    from lodegraph.functions import text as t
+
+    runs = [f"Word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}" for i in range(5000)]
+    began = time.time()
+    got = spark.createDataFrame([(" and ".join([*runs, *runs, runs[7].lower(), "Yes", "Abc Def", "Abc Def"]),)], "t string").select(t.title_runs(F.col("t")).alias("v")).first()["v"]
+    assert got == [*runs, "Abc Def"] and time.time() - began < 20
