@@ -155,3 +155,17 @@ def test_runs_of_capitals_are_found_once_a_text(spark):
     began = time.time()
     got = spark.createDataFrame([(" and ".join([*runs, *runs, runs[7].lower(), "Yes", "Abc Def", "Abc Def"]),)], "t string").select(t.title_runs(F.col("t")).alias("v")).first()["v"]
     assert got == [*runs, "Abc Def"] and time.time() - began < 20
+
+
+def test_paths_to_near_terms_look_no_farther(spark, monkeypatch):
+    """Enough matches at two steps: what lies behind them, and what lies near them, is not gathered."""
+    from lodegraph.operators import context as x
+
+    edges = spark.range(1000).select(F.concat(F.when(F.col("id") < 30, "s").otherwise("c"), "id").alias("src"), F.lit("in").alias("rel"), F.lit("hub").alias("dst"))
+    edges = edges.union(edges).union(spark.createDataFrame([("hub", "in", "r")], "src string, rel string, dst string"))
+    nodes = edges.select(F.col("src").alias("node_id")).distinct().withColumn("label", F.when(F.col("node_id").startswith("s"), "blue").otherwise("red"))
+    held, plain = [], x.kept
+    monkeypatch.setattr(x, "kept", lambda df: held.append(plain(df)) or held[-1])
+    got = [tuple(r) for r in x.paths_to_terms(edges, nodes, spark.createDataFrame([("r",)], "node_id string"), ["blue"]).collect()]
+    assert got == [("r", s, 2, f"r>hub>{s}", 1) for s in sorted(f"s{i}" for i in range(30))[:20]]
+    assert max(df.count() for df in held) <= 31
