@@ -4,8 +4,8 @@ A is a byte-level vocabulary of the tokenizers library, B a SentencePiece model;
 goes on over a space after a solid character (one that is surely neither white space nor invisible): A's pattern starts anew there, B has no piece with a marker inside.
 So a text is cut there into words, and a task aligns each distinct word of its texts once. For new words it makes
 two tables of token intervals, which DuckDB joins: a token is the last of its group if a token of the other side ends with
-it, a window sum over those ends numbers the groups, ASOF joins find each group's word and the first and last token of B that
-overlap a token of A. Texts are then put together from their words.
+it, a window sum over those ends numbers the groups, an ASOF join finds each group's word. Within a group the two sides' ends differ, so of its tokens one pair less
+overlaps than there are tokens. Texts are then put together from their words.
 
 The task also sums how often it linked each pair of ids, and these partial counts merge in Spark. Texts and partial counts are written once;
 the links of the texts then meet the whole counts: the most frequent pairs, up to HELD of them, by a broadcast, all others by a shuffle.
@@ -52,9 +52,6 @@ WITH t AS (
 g AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY side ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM t)
 SELECT g.side, g.id, g.last, w.w FROM g ASOF JOIN w ON g.s >= w.s ORDER BY g.g, g.side, g.e"""
 
-OVERLAPS = """
-SELECT w.w, sum(z.i - y.i + 1)::BIGINT AS n FROM a ASOF JOIN b y ON a.s >= y.s ASOF JOIN b z ON a.e > z.s ASOF JOIN w ON a.s >= w.s GROUP BY 1"""
-
 
 @lru_cache(maxsize=1)
 def _unbyte() -> dict[str, int]:
@@ -141,15 +138,12 @@ class Aligner:
     def _join(self, names: list[str], a: np.ndarray, b: np.ndarray) -> None:
         def intervals(ids: np.ndarray, lengths: np.ndarray) -> pa.Table:
             ends = np.cumsum(lengths[ids])
-            return pa.table({"i": np.arange(len(ids)), "id": ids, "s": ends - lengths[ids], "e": ends})
+            return pa.table({"id": ids, "s": ends - lengths[ids], "e": ends})
 
         starts = np.cumsum([0, *[len(w.encode()) for w in names[:-1]]])
         for name, table in (("a", intervals(a, self.a_len)), ("b", intervals(b, self.b_len)), ("w", pa.table({"w": np.arange(len(names)), "s": starts}))):
             self.duck.register(name, table)
         t = self.duck.execute(ALIGN).fetchnumpy()
-        over = self.duck.execute(OVERLAPS).fetchnumpy()
-        overlaps = np.zeros(len(names), np.int64)
-        overlaps[over["w"]] = over["n"]
         side, ids, last, w = (np.asarray(t[c]) for c in ("side", "id", "last", "w"))
         side = side.astype(np.int64)
         n_b, n_all, n_groups = (np.bincount(w, weights=x, minlength=len(names)).astype(np.int64) for x in (side, np.ones(len(w)), last & (side == 1)))
@@ -158,7 +152,7 @@ class Aligner:
         links = ((ends[:, 0] << 32) | ends[:, 1]).astype("<i8")
         at, first = np.cumsum([0, *n_all]).tolist(), np.cumsum([0, *n_groups]).tolist()
         for k, name in enumerate(names):
-            self._add(name, (int(n_all[k] - n_b[k]), int(n_b[k]), int(n_groups[k]), int(overlaps[k])), "".join(texts[at[k] : at[k + 1]]), links[first[k] : first[k + 1]].tobytes())
+            self._add(name, (int(n_all[k] - n_b[k]), int(n_b[k]), int(n_groups[k]), int(n_all[k] - n_groups[k])), "".join(texts[at[k] : at[k + 1]]), links[first[k] : first[k + 1]].tobytes())
 
     def _add(self, word: str, counts: tuple[int, int, int, int], groups: str, links: bytes) -> None:
         self.number[word] = len(self.counts)

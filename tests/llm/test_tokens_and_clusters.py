@@ -182,6 +182,26 @@ def test_alignment(docs, alignments, held):
         assert r.count_sum == sum(counts[x] for x in links) and r.n_best == sum(counts[x] == most[x[1]] for x in links)
 
 
+def test_a_lot_of_words_is_joined_once(alignments, texts):
+    """Overlaps follow from tokens and groups; no joins of their own for them."""
+
+    class Asked:
+        def __init__(self, duck):
+            self.duck, self.n = duck, 0
+
+        def register(self, *args):
+            return self.duck.register(*args)
+
+        def execute(self, *args):
+            self.n += 1
+            return self.duck.execute(*args)
+
+    own = token_alignment.Aligner(BYTES, MODEL)
+    own.duck = Asked(own.duck)
+    assert [tuple(c.tolist()) for c, *_ in own.texts(texts)] == [numbers for numbers, *_ in alignments]
+    assert own.duck.n == 1
+
+
 def test_groups_and_small_tables_of_words(docs, alignments, monkeypatch):
     got = {r.doc_id: r["groups"] for r in token_alignment.groups(docs, BYTES, MODEL).collect()}
     assert got == {i: g for i, (_, g, _) in enumerate(alignments)}
