@@ -169,3 +169,14 @@ def test_paths_to_near_terms_look_no_farther(spark, monkeypatch):
     got = [tuple(r) for r in x.paths_to_terms(edges, nodes, spark.createDataFrame([("r",)], "node_id string"), ["blue"]).collect()]
     assert got == [("r", s, 2, f"r>hub>{s}", 1) for s in sorted(f"s{i}" for i in range(30))[:20]]
     assert max(df.count() for df in held) <= 31
+
+
+def test_rare_neighbors_sort_no_more_than_the_rarest(spark):
+    from lodegraph.operators import graph as g
+
+    edges = spark.createDataFrame([("q", "x", f"n{i}") for i in range(40)] + [(f"n{i}", "x", f"m{k}") for i in range(40) for k in range(i // 4)], "src string, rel string, dst string")
+    linked = spark.createDataFrame([("a", "q")], "query_id string, node_id string")
+    out = g.rare_neighbors(edges, linked, 7)
+    whole = {(r.node_id, r["rank"]) for r in g.rare_neighbors(edges, linked).collect() if r["rank"] <= 7}
+    assert {(r.node_id, r["rank"]) for r in out.collect()} == whole and len(whole) == 7
+    assert "(degree#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "<= _most#" in plan
