@@ -21,6 +21,8 @@ SEEDS = 64 * WORDS
 HUB = 1000
 #: How many times the ends asked for are worked out to find a floor.
 AHEAD = 40
+#: Hubs that hits are classed by, a bit for each, and how many classes may be met with each other.
+HUBS, CLASSES = 64, 2000
 BITS = [f"b{i}" for i in range(WORDS)]
 
 
@@ -60,7 +62,7 @@ def levels(step: DataFrame, seeds: DataFrame, hops: int, ends: DataFrame | None
     for hop in range(1, hops + 1 - spare):
         along = step
         if hops - hop in near:  # before the join, so that hubs' other edges never meet the bits
-            along = step.join(near[hops - hop].withColumnRenamed("node_id", "other"), "other", "left_semi")
+            along = step.join(near[hops - hop].withColumnRenamed("node_id", "other"), "other")
         frontier = kept(merged(frontier.join(along, "node_id").select(F.col("other").alias("node_id"), "bucket", *BITS)))
         out.append(frontier)
     discard(*[n for k, n in near.items() if k])
@@ -163,16 +165,65 @@ def _steps_by_bits(step: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
 def distances(step: DataFrame, hits: DataFrame, most: int) -> DataFrame:
     """(steps, n): how many pairs of two hits (node_id) lie so many steps apart, null for more than most. Pairs are counted, never made.
 
-    Edges must lead both ways in step: then a hit's bits are those of the hits that it reaches itself, and every pair counts twice.
+    Edges must lead both ways in step: then a hit's bits are those of the hits that it reaches itself, and every pair counts twice. Nodes with more than HUB
+    hits around them would hand all of these on to each of their neighbours, so ways through them are no bits: hits with the same distances to the hubs are a class, and classes meet.
+    Only what a hit reaches past all hubs is kept as bits, and counted where its class doesn't reach it already.
     """
     known, seeds = seeds_as_bits(hits)
-    so_far, parts, one = seeds, [], F.lit(1).cast("long")
-    for h, level in enumerate(levels(step, seeds, most, hits), 1):
-        before = so_far
-        so_far = kept(merged(before.unionByName(level.join(known.select("node_id"), "node_id", "left_semi"))))
-        parts.append(so_far.agg(F.sum(ones()).alias("x")).select(F.lit(h).cast("long").alias("h"), "x"))
+    one = F.lit(1).cast("long")
+    near = known.select("node_id").join(step, "node_id").groupBy(F.col("other").alias("node_id")).agg(F.count(one).alias("n")).where(F.col("n") > HUB)
+    hubs = kept(near.orderBy(F.desc("n"), "node_id").limit(HUBS).select("node_id"))
+    met, placed = None, None
+    if not hubs.isEmpty():
+        hubs, placed = _hub_classes(step, known, hubs, most)
+        along = F.broadcast(hubs)  # HUBS rows at most
+        step = step.join(along, "node_id", "left_anti").join(along.withColumnRenamed("node_id", "other"), "other", "left_anti")
+        bits = kept(merged(seeds.join(placed, "node_id").select(F.col("class").alias("node_id"), "bucket", *BITS)).withColumnRenamed("node_id", "class"))
+        seeds = seeds.join(along, "node_id", "left_anti")
+        sizes = kept(placed.groupBy("class", *_within(most)).agg(F.count(one).alias("n")))
+        pairs = sizes.alias("u").join(F.broadcast(sizes.alias("v")), F.lit(True))  # CLASSES rows at most
+        met = [kept(pairs.where(reduce(lambda a, b: a | b, [F.col(f"u.c{i}").bitwiseAND(F.col(f"v.c{h - i}")) != 0 for i in range(h + 1)])).select(F.col("u.class").alias("u"), F.col("v.class").alias("class"), (F.col("u.n") * F.col("v.n")).alias("n"))) for h in range(most + 1)]
+    so_far, parts = seeds, []
+    for h, level in enumerate(levels(step, seeds, most, seeds.select("node_id")), 1):
+        so_far = kept(merged(so_far.unionByName(level.join(seeds.select("node_id"), "node_id", "left_semi"))))
+        if met is None:
+            x = so_far.agg(F.sum(ones()).alias("x"))
+        else:
+            covered = kept(met[h].join(bits, "class").groupBy(F.col("u").alias("class"), "bucket").agg(*[F.bit_or(b).alias(f"_{b}") for b in BITS]))
+            own = so_far.join(placed.select("node_id", "class"), "node_id").join(covered, ["class", "bucket"], "left")
+            past = reduce(lambda a, b: a + b, [F.bit_count(F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(f"_{b}", F.lit(0).cast("long"))))) for b in BITS]).cast("long")
+            x = own.agg(F.sum(past).alias("x")).unionByName(met[h].agg(F.sum("n").alias("x"))).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("x"))
+        parts.append(x.select(F.lit(h).cast("long").alias("h"), F.coalesce("x", F.lit(0)).alias("x")))
     total = known.agg(F.count(one).alias("k"))
     within = reduce(DataFrame.unionByName, parts).unionByName(total.select(F.lit(0).cast("long").alias("h"), F.col("k").alias("x"))).unionByName(total.select(F.lit(most + 1).cast("long").alias("h"), (F.col("k") * F.col("k")).alias("x")))
     ahead = within.withColumnsRenamed({"h": "g", "x": "y"}).withColumn("g", F.col("g") + 1)
     counted = within.join(ahead, F.col("h") == F.col("g")).select(F.when(F.col("h") <= most, F.col("h")).alias("steps"), ((F.col("x") - F.col("y")) / 2).cast("long").alias("n"))  # a row for each number of steps
     return counted.where("n > 0")
+
+
+def _within(most: int) -> list[str]:
+    return [f"c{i}" for i in range(most + 1)]
+
+
+def _hub_classes(step: DataFrame, hits: DataFrame, hubs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The hubs that are used, and (node_id, class, c0, c1, ..) of all hits: which hubs a hit has within 0, 1, .. steps, a bit for each; equal ones are a class.
+
+    With more than CLASSES of them the lesser half of the hubs is given up.
+    """
+    numbers = [r.node_id for r in hubs.collect()]  # HUBS rows at most
+    masks = hubs.sparkSession.createDataFrame([(x, (1 << i) - (1 << 64 if i == 63 else 0)) for i, x in enumerate(numbers)], "node_id string, m long")
+    ids = hits.select("node_id")
+    frontier, found = masks, [masks.join(ids, "node_id", "left_semi").withColumn("h", F.lit(0))]
+    for h in range(1, most + 1):
+        along = step if h < most else step.join(ids.withColumnRenamed("node_id", "other"), "other", "left_semi")
+        frontier = kept(frontier.join(along, "node_id").groupBy(F.col("other").alias("node_id")).agg(F.bit_or("m").alias("m")))
+        found.append(frontier.join(ids, "node_id", "left_semi").withColumn("h", F.lit(h)))
+    zero = F.lit(0).cast("long")
+    reached = reduce(DataFrame.unionByName, found).groupBy("node_id").agg(*[F.bit_or(F.when(F.col("h") <= i, F.col("m")).otherwise(zero)).alias(c) for i, c in enumerate(_within(most))])
+    near = kept(ids.join(reached, "node_id", "left").select("node_id", *[F.coalesce(c, zero).alias(c) for c in _within(most)]))
+    used = len(numbers)
+    while used > 1 and near.select(*_within(most)).distinct().count() > CLASSES:
+        used //= 2
+        near = near.select("node_id", *[F.col(c).bitwiseAND((1 << used) - 1).alias(c) for c in _within(most)])
+    classes = numbered(near.select(*_within(most)).distinct(), _within(most)).withColumnRenamed("number", "class")
+    return masks.where(F.col("node_id").isin(numbers[:used])).select("node_id"), kept(near.join(classes, _within(most)))

@@ -180,3 +180,47 @@ def test_rare_neighbors_sort_no_more_than_the_rarest(spark):
     whole = {(r.node_id, r["rank"]) for r in g.rare_neighbors(edges, linked).collect() if r["rank"] <= 7}
     assert {(r.node_id, r["rank"]) for r in out.collect()} == whole and len(whole) == 7
     assert "(degree#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "<= _most#" in plan
+
+
+@pytest.mark.parametrize("hub,classes", [(0, 2000), (2, 2000), (2, 2), (10_000, 2000)])
+def test_distances_are_those_of_loops_whatever_is_a_hub(spark, monkeypatch, hub, classes):
+    import random
+
+    from lodegraph.operators import graph as g
+    from lodegraph.operators import reach
+
+    rng = random.Random(hub + classes)
+    edges = [(f"n{int(rng.random() ** 3 * 60)}", "x", f"n{rng.randrange(60)}") for _ in range(75)]
+    hits = sorted({f"n{rng.randrange(60)}" for _ in range(30)} | {"n0", "n1"})
+    near = {}
+    for a, _, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    monkeypatch.setattr(reach, "HUB", hub)
+    monkeypatch.setattr(reach, "CLASSES", classes)
+    e, h = spark.createDataFrame(edges, "src string, rel string, dst string"), spark.createDataFrame([(x,) for x in hits], "node_id string")
+    for most in (1, 3):
+        want = {}
+        for i, a in enumerate(hits):
+            now, met = {a}, {a: 0}
+            for k in range(1, most + 1):
+                now = {y for x in now for y in near.get(x, ())}
+                for y in now:
+                    met.setdefault(y, k)
+            for b in hits[:i]:
+                want[met.get(b)] = want.get(met.get(b), 0) + 1
+        assert {r.steps: r.n for r in g.path_distribution(e, h, most).collect()} == want
+
+
+def test_a_hub_hands_no_bits_to_its_neighbours(spark, monkeypatch):
+    from lodegraph.operators import graph as g
+    from lodegraph.operators import reach
+
+    monkeypatch.setattr(reach, "HUB", 100)
+    hits = spark.range(200).select(F.concat(F.lit("s"), "id").alias("node_id")).union(spark.createDataFrame([("hub",)], "node_id string"))
+    edges = spark.range(700).select(F.concat(F.when(F.col("id") < 200, "s").otherwise("c"), "id").alias("src"), F.lit("in").alias("rel"), F.lit("hub").alias("dst"))
+    held, plain = [], reach.kept
+    monkeypatch.setattr(reach, "kept", lambda df: held.append(plain(df)) or held[-1])
+    monkeypatch.setattr(reach, "discard", lambda *dfs: None)
+    assert {r.steps: r.n for r in g.path_distribution(edges, hits).collect()} == {1: 200, 2: 19_900}
+    assert max(df.count() for df in held if "b0" in df.columns) <= 201
