@@ -32,3 +32,12 @@ def test_chains_shuffle_the_edges_once(unsent):
     out = g.chains(e, unsent.createDataFrame([("a",), ("f",), (None,)], "node_id string"), 3)
     assert {r.chain: r.ends for r in out.collect()} == want
     assert plan(out).count("ReusedExchange") >= 2
+
+
+def test_levels_shuffle_no_edges_for_what_was_seen(spark, monkeypatch):
+    held, plain = [], g.kept
+    monkeypatch.setattr(g, "kept", lambda df: held.append(plan(df)) or plain(df))
+    out = g.levels(edges(spark), spark.createDataFrame([("a",)], "node_id string"), 3)
+    assert {(r.depth, r.node_id) for r in out.collect()} == {(1, "b"), (1, "c"), (2, "d"), (2, None), (3, "e")}
+    assert len(held) == 4 and not any("LeftAnti" in p for p in held)
+    assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in held[1:])
