@@ -41,3 +41,12 @@ def test_levels_shuffle_no_edges_for_what_was_seen(spark, monkeypatch):
     assert {(r.depth, r.node_id) for r in out.collect()} == {(1, "b"), (1, "c"), (2, "d"), (2, None), (3, "e")}
     assert len(held) == 4 and not any("LeftAnti" in p for p in held)
     assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in held[1:])
+
+
+def test_few_seeds_are_sent_to_the_edges(spark):
+    e = spark.createDataFrame([("o1", "has", "p1"), ("o1", "has", "p1"), ("o2", "has", "p1"), ("o3", "has", "p1"), ("o3", "has", "p2"), ("o1", "has", "p2"), ("o1", "has", "x"), ("o4", "has", "x"), ("o5", "has", "p1")], "src string, rel string, dst string")
+    nodes = spark.createDataFrame([(n, t) for n, t in [("o1", "order"), ("o2", "order"), ("o2", "order"), ("o3", "order"), ("o4", "order"), ("o5", "order"), ("p1", "part"), ("p1", "part"), ("p2", "part"), ("x", "other")]], "node_id string, type string")
+    out = g.shared_entities(e, spark.createDataFrame([("o1",), ("o5",), ("o1",)], "node_id string"), nodes, ["part"], "order", 9)
+    assert [tuple(r) for r in out.collect()] == [("o3", 2), ("o2", 1)]
+    text = plan(out)
+    assert "LeftAnti" not in text and "LeftSemi" not in text
