@@ -116,6 +116,21 @@ def buffers(spans: DataFrame, facts: DataFrame, vocabulary: DataFrame) -> tuple[
     return judged.drop("_k"), omitted
 
 
+def omission_counts(spans: DataFrame, facts: DataFrame) -> DataFrame:
+    """(buffer_id, omitted): how many facts each buffer leaves out, the omissions of `buffers` counted: those of its subjects less those that one of its spans states.
+
+    No fact becomes a row for each buffer that asks for its subject: only a buffer's own spans meet its subjects.
+    """
+    fact = facts.select("subject", "rel", "name", key(F.col("name")).alias("_k")).distinct()
+    own = spans.select("buffer_id", "subject", "rel", key(F.col("span")).alias("_k"))
+    asked = own.select("buffer_id", "subject", "rel").distinct()
+    of_all = asked.join(fact.groupBy("subject", "rel").agg(F.count(F.lit(1)).alias("_n")), ["subject", "rel"]).select("buffer_id", "_n")
+    said = asked.join(own.select("buffer_id", "_k").where("_k is not null").distinct(), "buffer_id")
+    known = fact.groupBy("subject", "rel", "_k").agg((-F.count(F.lit(1))).alias("_n"))
+    stated = said.join(known, ["subject", "rel", "_k"]).select("buffer_id", "_n")
+    return of_all.unionByName(stated).groupBy("buffer_id").agg(F.sum("_n").alias("omitted")).where("omitted > 0")
+
+
 def allowed_next(names: DataFrame) -> DataFrame:
     """(prefix, next): the tokens that may follow each prefix of the names (name); the end is allowed after a whole name, as <end>."""
     w = names.select(F.split(key(F.col("name")), " ").alias("w"))

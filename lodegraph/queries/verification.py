@@ -137,8 +137,8 @@ def buffer_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BUFFER_SQL} SELECT a.buffer_id, count(*) AS omitted FROM (SELECT DISTINCT buffer_id, subject FROM sp) a JOIN f ON f.subject = a.subject WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.buffer_id = a.buffer_id AND {KEY.format('sp.span')} = {KEY.format('f.name')}) GROUP BY 1")
 def buffer_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: how many facts each buffer leaves out."""
-    _, omitted = v.buffers(*spans(spark, sf_dir))
-    return omitted.groupBy("buffer_id").agg(F.count(F.lit(1)).alias("omitted"))
+    sp, facts, _ = spans(spark, sf_dir)
+    return v.omission_counts(sp, facts)
 
 
 @query(f"""WITH w AS (SELECT DISTINCT string_split({KEY.format('p_name')}, ' ') AS w FROM part), i AS (SELECT w, unnest(range(0, len(w) + 1)) AS i FROM w) SELECT DISTINCT array_to_string(w[1:i], ' ') AS prefix, coalesce(w[i + 1], '<end>') AS next FROM i""")

@@ -50,3 +50,15 @@ def test_few_seeds_are_sent_to_the_edges(spark):
     assert [tuple(r) for r in out.collect()] == [("o3", 2), ("o2", 1)]
     text = plan(out)
     assert "LeftAnti" not in text and "LeftSemi" not in text
+
+
+def test_omissions_are_counted_without_a_row_for_each(spark):
+    from lodegraph.operators import verify as v
+
+    spans = spark.createDataFrame([(1, "s", "r", "Red Box"), (1, "t", "r", "blue box"), (2, "s", "r", None), (3, "s", "r", "red box"), (3, "s", "r", "Green"), (3, "s", "r", "blue"), (4, "u", "r", "red box"), (5, None, "r", "x")], "buffer_id long, subject string, rel string, span string")
+    facts = spark.createDataFrame([("s", "r", "red box"), ("s", "r", "RED box"), ("s", "r", "green"), ("s", "r", "blue"), ("s", "r", "blue"), ("t", "r", "red box"), ("t", "r", None), ("s", "q", "other")], "subject string, rel string, name string")
+    _, omitted = v.buffers(spans, facts, facts.select("name"))
+    want = {r.buffer_id: r.n for r in omitted.groupBy("buffer_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = v.omission_counts(spans, facts)
+    assert {r.buffer_id: r.omitted for r in out.collect()} == want and want[2] == 4 and 3 not in want
+    assert "LeftAnti" not in plan(out)
