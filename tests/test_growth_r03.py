@@ -62,3 +62,14 @@ def test_omissions_are_counted_without_a_row_for_each(spark):
     out = v.omission_counts(spans, facts)
     assert {r.buffer_id: r.omitted for r in out.collect()} == want and want[2] == 4 and 3 not in want
     assert "LeftAnti" not in plan(out)
+
+
+def test_pairs_without_a_vector_go_by_ids(unsent):
+    from lodegraph.operators import attribution as a
+
+    vectors = unsent.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    queries = unsent.createDataFrame([(7, [1.0, 0.0]), (8, [-1.0, 0.0])], "query_id long, embedding array<double>")
+    allowed = unsent.createDataFrame([(q, v) for q in (7, 8, 9) for v in (0, 3, 3, 4, 90, 91)], "query_id long, vec_id long")
+    out = a.nearest_allowed(vectors, queries, allowed, 2)
+    assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in out.collect()} == {(7, 4, 4.0, 1), (7, 3, 3.0, 2), (8, 0, 0.0, 1), (8, 3, -3.0, 2)}
+    assert "LeftSemi" in plan(out)
