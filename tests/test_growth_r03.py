@@ -73,3 +73,12 @@ def test_pairs_without_a_vector_go_by_ids(unsent):
     out = a.nearest_allowed(vectors, queries, allowed, 2)
     assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in out.collect()} == {(7, 4, 4.0, 1), (7, 3, 3.0, 2), (8, 0, 0.0, 1), (8, 3, -3.0, 2)}
     assert "LeftSemi" in plan(out)
+
+
+@pytest.mark.parametrize("each", [1, 1000])
+def test_pairs_of_members_are_dealt_to_more_tasks(spark, monkeypatch, each):
+    monkeypatch.setattr(g, "MEMBERS", each)
+    rows = [(1, 5), (1, 6), (1, 6), (1, 7), (2, 6), (2, 5), (3, 7), (3, 7), (4, 6), (4, 7), (None, 5), (None, 6)]
+    out = g.together(spark.createDataFrame(rows, "o long, p long"))
+    assert {tuple(r) for r in out.collect()} == {(5, 6, 2), (6, 7, 2)}
+    assert out.rdd.getNumPartitions() == max(4, 12 // each)
