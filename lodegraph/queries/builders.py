@@ -196,7 +196,7 @@ def training_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: the graph as JSON lines, GraphML and a manifest; what the manifest, read again, says of its relations."""
     path = new_folder(spark, "export")
-    corpora.export_graph(nodes(spark, sf_dir).select("node_id", "label", F.col("type").alias("kind")), edges(spark, sf_dir), path, {"corpus": "orders"})
+    corpora.export_graph(nodes(spark, sf_dir).select("node_id", "label", F.col("type").alias("kind")), edges(spark, sf_dir), path, {"corpus": "orders"}, compression="gzip")
     m = spark.read.text(f"{path}/manifest").select(F.from_json("value", "num_nodes long, relation_distribution map<string,long>").alias("m"))
     return m.select(F.explode("m.relation_distribution").alias("rel", "n"), F.col("m.num_nodes").alias("num_nodes"))
 

@@ -82,3 +82,18 @@ def test_pairs_of_members_are_dealt_to_more_tasks(spark, monkeypatch, each):
     out = g.together(spark.createDataFrame(rows, "o long, p long"))
     assert {tuple(r) for r in out.collect()} == {(5, 6, 2), (6, 7, 2)}
     assert out.rdd.getNumPartitions() == max(4, 12 // each)
+
+
+def test_an_export_is_written_compressed(spark, tmp_path):
+    from lodegraph.plans import corpora
+
+    nodes = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("node_id"), F.lit("a <label>").alias("label"), F.lit("k").alias("kind"))
+    links = nodes.select(F.col("node_id").alias("src"), F.lit("r").alias("rel"), F.lit("n1").alias("dst"))
+    size = {}
+    for c in ("none", "gzip"):
+        said = corpora.export_graph(nodes, links, str(tmp_path / c), {}, compression=c)
+        assert said["num_nodes"] == said["num_edges"] == 3000
+        size[c] = sum(f.stat().st_size for f in (tmp_path / c).rglob("part-*"))
+    read = lambda c, p: sorted(r.value for r in spark.read.text(str(tmp_path / c / p)).collect())
+    assert all(read("none", p) == read("gzip", p) for p in ("nodes", "edges", "graphml"))
+    assert size["gzip"] * 4 < size["none"]
