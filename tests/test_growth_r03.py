@@ -97,3 +97,38 @@ def test_an_export_is_written_compressed(spark, tmp_path):
     read = lambda c, p: sorted(r.value for r in spark.read.text(str(tmp_path / c / p)).collect())
     assert all(read("none", p) == read("gzip", p) for p in ("nodes", "edges", "graphml"))
     assert size["gzip"] * 4 < size["none"]
+
+
+def test_words_of_sentences_are_counted_once_for_chunks(spark):
+    import random
+    import re
+    import time
+
+    from lodegraph.functions import text as t
+
+    def chunks(text, most, overlap):
+        out, now = [], []
+        for s in [x for x in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", text.strip(" ")) if x]:
+            n = lambda xs: sum(len(re.split(r"[ \t\n\x0b\f\r]+", x)) for x in xs)
+            if now and n(now) + n([s]) > most:
+                out.append(" ".join(now))
+                last = []
+                for x in reversed(now):
+                    if n(last) + n([x]) > overlap:
+                        break
+                    last.insert(0, x)
+                now = [*last, s]
+            else:
+                now.append(s)
+        return out + ([" ".join(now)] if now else [])
+
+    rng = random.Random(3)
+    texts = ["", " ", "a", "a. b", *(" ".join(rng.choice(["w", "x.", "y  z!", "q?\n"]) for _ in range(rng.randrange(80))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for most, overlap in ((4, 2), (9, 3), (30, 30), (1, 0)):
+        got = {r.i: r.c for r in df.select("i", t.sentence_chunks(F.col("text"), most, overlap).alias("c")).collect()}
+        assert got == {i: chunks(x, most, overlap) for i, x in enumerate(texts)}
+    long = spark.range(400).select(F.concat(F.repeat(F.lit("a b c. "), 500), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    assert long.select(F.sum(F.size(t.sentence_chunks(F.col("text"))))).first()[0] == 400 * 7
+    assert time.time() - began < 5
