@@ -145,3 +145,26 @@ def test_pairs_of_a_query_and_a_document_are_not_shuffled(spark):
     assert {k: v[0] for k, v in got.items()} == {(7, 1): 3, (7, 5): 2, (8, 1): 1, (8, 2): 1}
     assert max(v[1] for v in got.values()) == 1.0 and got[7, 1][2] == 1.0 and got[7, 5][2] == round(2 / 3, 6)
     assert not any("hashpartitioning(query_id" in line and "doc_id" in line for line in plan(found).splitlines())
+
+
+def test_blended_search_hands_on_few_rows(spark):
+    import random
+
+    from lodegraph.operators import retrieval as r
+
+    rng = random.Random(4)
+    words = lambda: None if rng.random() < 0.05 else rng.sample("abcdefgh", rng.randrange(6))
+    vector = lambda w: [None, None] if w is None else [rng.choice([0.0, 0.6, -1.0]), rng.choice([0.0, 0.8])]
+    docs = [(rng.choice([None, 1, 2, 3]), i % 700, w, vector(w)) for i in range(1500) for w in [words()]]
+    asked = [(q, w, vector(w)) for q in range(9) for w in [words()]]
+    own = spark.createDataFrame(docs, "a long, b long, words array<string>, vector array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, words array<string>, vector array<double>")
+    share = F.when((F.size("w") == 0) | (F.size("words") == 0), 0.0).otherwise(F.size(F.array_intersect("w", "words")) / F.size("w"))
+    score = 0.65 * r.dot(F.col("v"), F.col("vector")) + 0.35 * share
+    every = own.join(F.broadcast(queries.toDF("query_id", "w", "v"))).select("query_id", "a", "b", score.alias("score")).where("score > 0")
+    want = every.withColumn("rank", F.row_number().over(r.Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "a", "b"))).where("rank <= 3")
+    rows = lambda df: sorted(((x.query_id, x["rank"], x.a, x.b, x.score) for x in df.collect()), key=str)
+    assert rows(r.blended(own, queries, ["a", "b"], 3, (0.65, 0.35))) == rows(want)
+    held = [(q, w, v) for q, w, v in asked if w is not None]
+    sent = own.select("a", "b", "words", "vector").mapInArrow(r._blended(held, 3, (0.65, 0.35), ["a", "b"]), "query_id long, a long, b long, score double")
+    assert sent.count() <= 4 * 9 * 9 < every.count()
