@@ -168,3 +168,18 @@ def test_blended_search_hands_on_few_rows(spark):
     held = [(q, w, v) for q, w, v in asked if w is not None]
     sent = own.select("a", "b", "words", "vector").mapInArrow(r._blended(held, 3, (0.65, 0.35), ["a", "b"]), "query_id long, a long, b long, score double")
     assert sent.count() <= 4 * 9 * 9 < every.count()
+
+
+def test_only_edges_before_enough_near_ones_meet_the_labels(spark, monkeypatch):
+    from lodegraph.operators import context
+
+    nodes = spark.createDataFrame([("b", "red"), ("d", "blue thing"), ("e", "red thing and more"), ("x", "blue sea"), ("y", "red sky"), ("z", None)], "node_id string, label string")
+    links = [("a", "r", "b"), ("a", "r", "b"), ("c", "blue", "e"), ("x", "r", "y"), ("w", "red", "x"), ("z", "r", "b"), ("d", "r", "a"), (None, "red", "x"), ("y", "red", "z")]
+    e = spark.createDataFrame(links, "src string, rel string, dst string")
+    held, plain = [], context.kept
+    monkeypatch.setattr(context, "kept", lambda df: held.append(plain(df)) or held[-1])
+    rows = lambda most, few: [tuple(r) for r in context.keyword_subgraph(nodes, e, ["red", "blue"], most, few).collect()]
+    first = [(None, "red", "x"), ("a", "r", "b"), ("c", "blue", "e")]
+    assert rows(3, 1) == first
+    assert rows(1, 1) == first[:1]  # it has two words, and comes before the only near one
+    assert held[2].count() == 1 and rows(50, 1) == sorted(set(links), key=lambda x: tuple(v or "" for v in x))
