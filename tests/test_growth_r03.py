@@ -183,3 +183,74 @@ def test_only_edges_before_enough_near_ones_meet_the_labels(spark, monkeypatch):
     assert rows(3, 1) == first
     assert rows(1, 1) == first[:1]  # it has two words, and comes before the only near one
     assert held[2].count() == 1 and rows(50, 1) == sorted(set(links), key=lambda x: tuple(v or "" for v in x))
+
+
+class States:
+    """State of one key as a processor's handle gives it; calls are counted."""
+
+    def __init__(self, value=None):
+        self.value, self.entries, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        head = States()
+        head.get = lambda: self.called() or self.value
+        head.update = lambda value: self.called() or setattr(self, "value", value)
+        return head
+
+    def getListState(self, name, schema):
+        later = States()
+        later.get = lambda: self.called() or iter(self.entries)
+        later.appendValue = lambda value: self.called() or self.entries.append(value)
+        later.clear = lambda: self.called() or self.entries.clear()
+        return later
+
+    def registerTimer(self, at):
+        self.called()
+
+    deleteTimer = registerTimer
+
+    def called(self):
+        self.calls += 1
+
+
+def pushed(states, m, parts):
+    """Rows of a key whose tokens (at, pos) come part by part, each to a new worker."""
+    from pyspark.sql import Row
+
+    from lodegraph.streaming.chunks import ChunkProcessor
+
+    out = []
+    for part in parts:
+        p = ChunkProcessor(m, 1000, 10**9)
+        p.init(states)
+        out += p.handleInputRows((7,), iter([Row(at=at, pos=pos, token=f"t{pos}") for at, pos in part]), None)
+    return [tuple(r) for r in out]
+
+
+def test_calls_on_the_state_of_a_key_dont_grow_with_its_tokens():
+    calls = []
+    for n in (4, 400):
+        states = States()
+        out = pushed(states, 4, [[(k, k * n + i) for i in range(1, n)] for k in range(3)] + [[(3, 0)]])
+        assert [r[1] for r in out] == list(range(len(out))) and out[0][2] == "t0 t1 t2 t3"
+        calls.append(states.calls)
+    assert max(calls) <= 20
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_chunks_of_tokens_that_come_in_any_order(seed):
+    import random
+
+    rng = random.Random(seed)
+    pos = list(range(120))
+    rng.shuffle(pos)
+    near = sorted(range(120), key=lambda p: p + rng.randrange(30))
+    for order in (pos, near):
+        states, parts, at = States(), [], 0
+        while at < len(order):
+            n = rng.randrange(1, 12)
+            parts.append([(at + i, p) for i, p in enumerate(order[at : at + n])])
+            at += n
+        out = pushed(states, 3, parts)
+        assert out == [(7, k, f"t{3 * k} t{3 * k + 1} t{3 * k + 2}", "complete", 3) for k in range(40)]
+        assert sum(len(p) for p, _ in states.entries) == states.value[4] == 0
