@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.durable import kept
+
+#: Nodes that are sent to all executors; more are joined.
+SENT_NODES = 200_000
 #: Keyword and role, the first that matches; keyword and intent; container kinds and their edges.
 ROLES = [("date", "TEMPORAL"), ("time", "TEMPORAL"), ("key", "ID"), ("id", "ID"), ("price", "METRIC"), ("amount", "METRIC"), ("total", "METRIC"), ("quantity", "METRIC"), ("balance", "METRIC"), ("name", "LABEL"), ("status", "CATEGORY"), ("type", "CATEGORY"), ("segment", "CATEGORY")]
 INTENTS = [("quartile", "window_quantile"), ("percentile", "window_quantile"), ("growth", "growth_analysis"), ("change", "growth_analysis"), ("share", "share_of_total"), ("percentage", "share_of_total"), ("top", "ranking"), ("highest", "ranking"), ("rank", "ranking"), ("how many", "count"), ("count", "count"), ("average", "average"), ("mean", "average"), ("sum", "sum"), ("total", "sum")]
@@ -66,13 +70,38 @@ def invalid_nodes(nodes: DataFrame, allowed: DataFrame) -> DataFrame:
     return typed.join(allowed.select(F.col("type").alias("_t")), "_t", "left_anti").crossJoin(none).where("not _none").drop("_t", "_none")  # one row
 
 
+def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (src, rel, dst), once for each pair of nodes that have their ends' ids: none if one is missing, several if nodes share an id.
+
+    Ends are made distinct in each task before they are shuffled; those that aren't one node, few as a rule, go to the edges.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id"), F.lit(0).alias("n"), F.lit(True).alias("end"))
+    known = nodes.select("node_id", F.lit(1).alias("n"), F.lit(False).alias("end"))
+    odd = kept(ends.union(known).groupBy("node_id").agg(F.sum("n").alias("n"), F.max("end").alias("end")).where("end and n <> 1").select("node_id", "n"))
+    found = odd.limit(SENT_NODES + 1).count()
+    plain = edges.where("src is not null and dst is not null").select("src", "rel", "dst")
+    if not found:
+        return plain
+    sent = F.broadcast(odd) if found <= SENT_NODES else odd
+    joined = plain.join(sent.toDF("src", "_s"), "src", "left").join(sent.toDF("dst", "_d"), "dst", "left")
+    times = (F.coalesce("_s", F.lit(1)) * F.coalesce("_d", F.lit(1))).cast("int")
+    return joined.select("src", "rel", "dst", F.explode(F.array_repeat(F.lit(1), times)).alias("_k")).drop("_k")
+
+
 def invalid_edges(edges: DataFrame, nodes: DataFrame, triples: DataFrame) -> DataFrame:
-    """Edges whose types and relation aren't among the triples (a, rel, b) in either order. Without triples every edge is valid."""
+    """Edges whose types and relation aren't among the triples (a, rel, b) in either order. Without triples every edge is valid.
+
+    triples is an ontology, few enough to be sent. A relation that none of them has is a violation whatever the types, so only the others' edges look these up.
+    """
+    allowed = F.broadcast(triples.select("rel").distinct())
+    none = triples.limit(1).groupBy().agg((F.count(F.lit(1)) == 0).alias("_none"))
     kind = nodes.select("node_id", F.coalesce(F.nullif("type", F.lit("")), F.lit("concept")).alias("t"))
-    typed = edges.join(kind.withColumnsRenamed({"node_id": "src", "t": "ta"}), "src").join(kind.withColumnsRenamed({"node_id": "dst", "t": "tb"}), "dst")
+    named = edges.join(allowed, "rel", "left_semi")
+    typed = named.join(kind.withColumnsRenamed({"node_id": "src", "t": "ta"}), "src").join(kind.withColumnsRenamed({"node_id": "dst", "t": "tb"}), "dst")
     both = triples.select("a", "rel", "b").union(triples.select("b", "rel", "a")).distinct().toDF("ta", "rel", "tb")
-    none = triples.limit(1).groupBy().agg((F.count(F.lit(1)) == 0).alias("_none"))
-    return typed.join(both, ["ta", "rel", "tb"], "left_anti").crossJoin(none).where("not _none").select("src", "rel", "dst")  # one row
+    wrong = typed.join(F.broadcast(both), ["ta", "rel", "tb"], "left_anti").select("src", "rel", "dst")
+    other = between(edges.join(allowed, "rel", "left_anti"), nodes)
+    return wrong.unionByName(other).crossJoin(none).where("not _none").drop("_none")  # one row
 
 
 def text_status(answer: Column, golds: Column) -> Column:

@@ -254,3 +254,19 @@ def test_chunks_of_tokens_that_come_in_any_order(seed):
         out = pushed(states, 3, parts)
         assert out == [(7, k, f"t{3 * k} t{3 * k + 1} t{3 * k + 2}", "complete", 3) for k in range(40)]
         assert sum(len(p) for p, _ in states.entries) == states.value[4] == 0
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_edges_of_relations_without_a_triple_are_not_shuffled(unsent, monkeypatch, sent):
+    from lodegraph.plans import rules
+
+    monkeypatch.setattr(rules, "SENT_NODES", sent)
+    rows = [("a", "r", "b"), ("b", "r", "a"), ("a", "r", "a"), ("a", "q", "b"), ("a", "q", "b"), ("t", "q", "t"), ("t", None, "a"), ("a", "q", "gone"), ("gone", "q", "b"), (None, "q", "a"), ("a", "q", None), ("a", "r", "t"), ("u", "q", "u"), ("e", "r", "b")]
+    kinds = [("a", "A"), ("b", "B"), ("t", "A"), ("t", "B"), ("u", None), ("e", ""), ("alone", "A"), (None, "A")]
+    e, n = unsent.createDataFrame(rows, "src string, rel string, dst string"), unsent.createDataFrame(kinds, "node_id string, type string")
+    triples = [("A", "r", "B"), ("x", "s", "y")]
+    want = [(s, r, d) for s, r, d in rows for i, x in kinds for j, y in kinds if s is not None and d is not None and i == s and j == d and not any(r == q and {(x or "concept", y or "concept")} & {(a, b), (b, a)} for a, q, b in triples)]
+    got = rules.invalid_edges(e, n, unsent.createDataFrame(triples, "a string, rel string, b string"))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect()) and ("t", "q", "t") in want
+    assert rules.invalid_edges(e, n, unsent.createDataFrame([], "a string, rel string, b string")).count() == 0
+    assert ("hashpartitioning" in plan(rules.between(e, n))) == (sent == 0)
