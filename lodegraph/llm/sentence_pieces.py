@@ -190,8 +190,16 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     return map_in_arrow(kept, run, schema)
 
 
+def _lists(ids: pa.Array) -> list[list[int] | None]:
+    """ids as lists, by NumPy where nothing is null: an Arrow array makes an object of its own of each id first."""
+    if ids.null_count or ids.values.null_count:
+        return ids.to_pylist()
+    values, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
+    return [values[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
 def _decoded(ids: pa.Array, model: str) -> pa.Array:
-    return pa.array([pieces(model).decode(x) if x else "" for x in ids.to_pylist()], pa.string())
+    return pa.array([pieces(model).decode(x) if x else "" for x in _lists(ids)], pa.string())
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text", drop_ids: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -64,6 +65,21 @@ def test_any_ids_decode_as_the_library_does(spark, library):
     assert all(r.text == (library.decode(lists[r.k]) if r.k >= 0 else "") for r in rows)
 
 
+def test_ids_become_lists_without_an_object_of_arrow_each():
+    import pyarrow as pa
+
+    plain = pa.array([[1, 2, 3], [], [4], [5, 6]], pa.list_(pa.int32()))
+    held = [plain, plain.slice(1, 2), plain.slice(2), plain[:0], pa.array([[7], None, [], [8, 9]], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))]
+    for ids in held:
+        assert sentence_pieces._lists(ids) == ids.to_pylist()
+    many = pa.ListArray.from_arrays(pa.array([0, 300_000], pa.int32()), pa.array(range(300_000), pa.int32()))
+    began = time.process_time()
+    many.to_pylist()
+    slow, began = time.process_time() - began, time.process_time()
+    sentence_pieces._lists(many)
+    assert time.process_time() - began < slow / 2
+
+
 def test_pieces_of_nothing(docs):
     assert sentence_pieces.encode(docs.limit(0), MODEL).count() == 0
     assert token_alignment.align(docs.limit(0), BYTES, MODEL).count() == 0
