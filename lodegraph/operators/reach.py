@@ -23,6 +23,8 @@ HUB = 1000
 AHEAD = 40
 #: Hubs that hits are classed by, a bit for each, and how many classes may be met with each other.
 HUBS, CLASSES = 64, 2000
+#: Longs of a sieve, a power of two.
+SIEVE = 1 << 20
 BITS = [f"b{i}" for i in range(WORDS)]
 
 
@@ -33,9 +35,39 @@ def bucket(number: str) -> Column:
 def seeds_as_bits(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of starts (node_id): (node_id, number) and (node_id, bucket, BITS)."""
     known = kept(numbered(starts.select("node_id").distinct(), ["node_id"]))
-    bit = F.expr("shiftleft(1L, cast(number % 64 as int))")
-    at = F.floor((F.col("number") % SEEDS) / 64)
-    return known, known.select("node_id", bucket("number").alias("bucket"), *[F.when(at == i, bit).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(BITS)])
+    return known, known.select("node_id", *as_bits("number"))
+
+
+def as_bits(number: str) -> list[Column]:
+    """bucket and BITS of a number."""
+    bit = F.expr(f"shiftleft(1L, cast({number} % 64 as int))")
+    at = F.floor((F.col(number) % SEEDS) / 64)
+    return [bucket(number).alias("bucket"), *[F.when(at == i, bit).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(BITS)]]
+
+
+def as_word(number: str) -> list[Column]:
+    """at and w of a number: which long its bit is in, and the long. One column of bits is compiled where BITS, on many rows, are interpreted."""
+    return [F.expr(f"cast({number} div 64 as long)").alias("at"), F.expr(f"shiftleft(1L, cast({number} % 64 as int))").alias("w")]
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node_id", "at").agg(F.bit_or("w").alias("w"))
+
+
+#: Of a hash _h, which long of a sieve a node's three bits are in, and these; never null, so that no filter works them out first.
+_AT = f"shiftrightunsigned(_h, 20) & {SIEVE - 1}L"
+_BITS = "shiftleft(1L, cast(_h & 63 as int)) | shiftleft(1L, cast(shiftright(_h, 6) & 63 as int)) | shiftleft(1L, cast(shiftright(_h, 12) & 63 as int))"
+
+
+def _sieve(members: DataFrame) -> DataFrame:
+    """(_at, _m): members (node_id) as bits of hashes, SIEVE rows at most."""
+    return kept(members.select(F.xxhash64("node_id").alias("_h")).select(F.expr(_AT).alias("_at"), F.expr(_BITS).alias("_m")).groupBy("_at").agg(F.bit_or("_m").alias("_m")))
+
+
+def sifted(rows: DataFrame, column: str, sieve: DataFrame) -> DataFrame:
+    """Of rows those whose column may be a member: all members and few others, so that an exact join shuffles little else."""
+    there = rows.withColumn("_h", F.xxhash64(column)).withColumn("_at", F.expr(_AT)).join(F.broadcast(sieve), "_at")  # SIEVE rows at most
+    return there.where(F.bitwise_not("_m").bitwiseAND(F.expr(_BITS)) == 0).drop("_h", "_at", "_m")
 
 
 def merged(rows: DataFrame, *more: Column) -> DataFrame:
@@ -165,57 +197,158 @@ def _steps_by_bits(step: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
 def distances(step: DataFrame, hits: DataFrame, most: int) -> DataFrame:
     """(steps, n): how many pairs of two hits (node_id) lie so many steps apart, null for more than most. Pairs are counted, never made.
 
-    Edges must lead both ways in step: then a hit's bits are those of the hits that it reaches itself, and every pair counts twice. Nodes with more than HUB
-    hits around them would hand all of these on to each of their neighbours, so ways through them are no bits: hits with the same distances to the hubs are a class, and classes meet.
-    Only what a hit reaches past all hubs is kept as bits, and counted where its class doesn't reach it already.
+    Edges must lead both ways in step. Nodes with more than HUB hits around them would hand all of these on to each of their neighbours, so ways through them are no bits:
+    hits with the same distances to the hubs are a class, and classes meet. Only what a hit reaches past all hubs is kept as bits, and counted where its class doesn't reach it already.
     """
     known, seeds = seeds_as_bits(hits)
+    total = known.agg(F.count(F.lit(1)).cast("long").alias("k"))
+    parts = _few_steps(step, known, most) if most <= 3 else _many_steps(step, known, seeds, most)
+    within = reduce(DataFrame.unionByName, parts).unionByName(total.select(F.lit(0).cast("long").alias("h"), F.col("k").alias("x"))).unionByName(total.select(F.lit(most + 1).cast("long").alias("h"), (F.col("k") * F.col("k")).alias("x")))
+    ahead = within.withColumnsRenamed({"h": "g", "x": "y"}).withColumn("g", F.col("g") + 1)
+    counted = within.join(ahead, F.col("h") == F.col("g")).select(F.when(F.col("h") <= most, F.col("h")).alias("steps"), ((F.col("x") - F.col("y")) / 2).cast("long").alias("n"))  # a row for each number of steps
+    return counted.where("n > 0")
+
+
+def _most_met(around: DataFrame) -> DataFrame:
+    """Of (node_id, n) the nodes that serve as hubs."""
+    return kept(around.where(F.col("n") > HUB).orderBy(F.desc("n"), "node_id").limit(HUBS).select("node_id"))
+
+
+def _met(placed: DataFrame, most: int) -> list[DataFrame]:
+    """(u, class, n, own) for each number of steps: classes whose members meet through a hub, by how many pairs in both orders, own of these of a hit with itself."""
+    sizes = kept(placed.groupBy("class", *_within(most)).agg(F.count(F.lit(1)).alias("n")))
+    pairs = sizes.alias("u").join(F.broadcast(sizes.alias("v")), F.lit(True))  # CLASSES rows at most
+    own = F.when(F.col("u.class") == F.col("v.class"), F.col("u.n")).otherwise(F.lit(0)).alias("own")
+    return [kept(pairs.where(reduce(lambda a, b: a | b, [F.col(f"u.c{i}").bitwiseAND(F.col(f"v.c{h - i}")) != 0 for i in range(h + 1)])).select(F.col("u.class").alias("u"), F.col("v.class").alias("class"), (F.col("u.n") * F.col("v.n")).alias("n"), own)) for h in range(most + 1)]
+
+
+def _covered(met: DataFrame, bits: DataFrame) -> DataFrame:
+    """(class, bucket, _BITS): the hits that a class meets through a hub. bits (class, bucket, BITS)."""
+    return kept(met.join(bits, "class").groupBy(F.col("u").alias("class"), "bucket").agg(*[F.bit_or(b).alias(f"_{b}") for b in BITS]))
+
+
+def _class_bits(seeds: DataFrame, placed: DataFrame) -> DataFrame:
+    return kept(merged(seeds.join(placed, "node_id").select(F.col("class").alias("node_id"), "bucket", *BITS)).withColumnRenamed("node_id", "class"))
+
+
+def _few_steps(step: DataFrame, known: DataFrame, most: int) -> list[DataFrame]:
+    """(h, x) for 1 to most, three at most: how many hits lie within h steps of each other, in both orders and each with itself.
+
+    Two hits next to one node are two steps apart: each node hands a hit next to it the list of those of a larger number, so bits are only made where a hit gathers them. For three steps
+    two nodes next to hits must be next to each other. All edges are read, but only those that a sieve lets through are joined or shuffled.
+    """
+    whole = known.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.max("number"), F.lit(0)).alias("last")).first()
+    near = sifted(step, "node_id", _sieve(known)).join(known, "node_id").select("other", F.col("number").cast("int" if whole.last < 1 << 31 else "long").alias("a"))
+    near = kept(near.repartition("other").distinct()).where("other is not null")
+    sizes = kept(near.groupBy("other").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("other", "node_id"))
+    busy = kept(sizes.where(F.col("n") > HUB).select(F.col("node_id").alias("other")))
+    plain = near.join(busy, "other", "left_anti")
+    lists = kept(plain.groupBy("other").agg(F.sort_array(F.collect_list("a")).alias("near")))  # of HUB numbers at most
+    hubs = _most_met(sizes)
+    seeds = known.select("node_id", *as_bits("number"))
+    met = None
+    if not hubs.isEmpty():
+        hubs, placed = _hub_classes(step, known, hubs, most, (near.join(busy, "other"), lists, sizes))
+        bits = _class_bits(seeds, placed)
+        met = _met(placed, most)
+        placed = kept(placed.join(known, "node_id").select(F.col("number").alias("node_id"), "class"))
+    along = F.broadcast(hubs)  # HUBS rows at most
+    ends = known.select(F.col("node_id").alias("other"), F.col("number").alias("b"))
+    so_far = kept(gathered(near.join(ends, "other").where("a < b").select(F.col("a").cast("long").alias("node_id"), *as_word("b"))))
+    # busy nodes that aren't hubs hand on bits
+    others = near.join(busy.join(along.withColumnRenamed("node_id", "other"), "other", "left_anti"), "other")
+    parts, one = [], F.lit(1).cast("long")
+    for h in range(1, most + 1):
+        more = []
+        if h == 2:
+            tails = lists.select(F.col("near"), F.posexplode("near").alias("i", "node_id")).select(F.col("node_id").cast("long").alias("node_id"), F.expr("slice(near, i + 2, size(near))").alias("after")).where(F.size("after") > 0)
+            more.append(gathered(tails.repartition("node_id").select("node_id", F.explode("after").alias("b")).select("node_id", *as_word("b"))))
+            if not busy.isEmpty():
+                more.append(_handed(gathered(others.select(F.col("other").alias("node_id"), *as_word("a"))), others))
+        if h == 3:
+            outer = known.join(along, "node_id", "left_anti").select(F.col("number").alias("a"))
+            through = kept((near if met is None else near.join(outer, "a")).select(F.col("other").alias("node_id")).distinct().join(along, "node_id", "left_anti"))
+            sieve = _sieve(through)
+            inner = kept(sifted(sifted(step, "node_id", sieve), "other", sieve))
+            inner = kept(inner.join(through, "node_id", "left_semi").join(through.withColumnRenamed("node_id", "other"), "other", "left_semi").distinct())
+            if not inner.isEmpty():
+                first = gathered(near.join(inner.select(F.col("node_id").alias("other")).distinct(), "other").select(F.col("other").alias("node_id"), *as_word("a")))
+                more.append(_handed(gathered(first.join(inner, "node_id").select(F.col("other").alias("node_id"), "at", "w")), near))
+        if more:
+            so_far = kept(gathered(reduce(DataFrame.unionByName, [so_far, *more])))
+        if met is None:
+            x = so_far.agg((F.coalesce(F.sum(F.bit_count("w").cast("long")), F.lit(0)) * 2 + whole.k).alias("x"))
+        else:
+            words = F.posexplode(F.array(*[f"_{b}" for b in BITS])).alias("i", "_w")
+            covered = _covered(met[h], bits).select("class", "bucket", words).where("_w <> 0").select("class", (F.col("bucket") * WORDS + F.col("i")).alias("at"), "_w")
+            past = F.bit_count(F.col("w").bitwiseAND(F.bitwise_not(F.coalesce("_w", F.lit(0).cast("long"))))).cast("long")
+            x = so_far.join(placed, "node_id").join(covered, ["class", "at"], "left").agg((F.coalesce(F.sum(past), F.lit(0)) * 2 + whole.k).alias("x")).unionByName(met[h].agg((F.coalesce(F.sum("n"), F.lit(0)) - F.coalesce(F.sum("own"), F.lit(0))).alias("x"))).agg(F.sum("x").alias("x"))
+        parts.append(x.select((one * h).alias("h"), "x"))
+    return parts
+
+
+def _handed(words: DataFrame, near: DataFrame) -> DataFrame:
+    """(node_id, at, w): to each hit, near (other, a), the bits (node_id, at, w) of the nodes next to it, of larger numbers only."""
+    rows = words.withColumnRenamed("node_id", "other").join(near.select("other", F.col("a").cast("long").alias("a")), "other").where("at >= a div 64")
+    return gathered(rows.select(F.col("a").alias("node_id"), "at", F.expr("if(at = a div 64, w & shiftleft(-2L, cast(a % 64 as int)), w)").alias("w")))
+
+
+def _many_steps(step: DataFrame, known: DataFrame, seeds: DataFrame, most: int) -> list[DataFrame]:
+    """As `_few_steps`, for any number of steps: all bits go along the edges."""
     one = F.lit(1).cast("long")
-    near = known.select("node_id").join(step, "node_id").groupBy(F.col("other").alias("node_id")).agg(F.count(one).alias("n")).where(F.col("n") > HUB)
-    hubs = kept(near.orderBy(F.desc("n"), "node_id").limit(HUBS).select("node_id"))
+    near = known.select("node_id").join(step, "node_id").groupBy(F.col("other").alias("node_id")).agg(F.count(one).alias("n"))
+    hubs = _most_met(near)
     met, placed = None, None
     if not hubs.isEmpty():
         hubs, placed = _hub_classes(step, known, hubs, most)
         along = F.broadcast(hubs)  # HUBS rows at most
         step = step.join(along, "node_id", "left_anti").join(along.withColumnRenamed("node_id", "other"), "other", "left_anti")
-        bits = kept(merged(seeds.join(placed, "node_id").select(F.col("class").alias("node_id"), "bucket", *BITS)).withColumnRenamed("node_id", "class"))
+        bits = _class_bits(seeds, placed)
         seeds = seeds.join(along, "node_id", "left_anti")
-        sizes = kept(placed.groupBy("class", *_within(most)).agg(F.count(one).alias("n")))
-        pairs = sizes.alias("u").join(F.broadcast(sizes.alias("v")), F.lit(True))  # CLASSES rows at most
-        met = [kept(pairs.where(reduce(lambda a, b: a | b, [F.col(f"u.c{i}").bitwiseAND(F.col(f"v.c{h - i}")) != 0 for i in range(h + 1)])).select(F.col("u.class").alias("u"), F.col("v.class").alias("class"), (F.col("u.n") * F.col("v.n")).alias("n"))) for h in range(most + 1)]
+        met = _met(placed, most)
     so_far, parts = seeds, []
     for h, level in enumerate(levels(step, seeds, most, seeds.select("node_id")), 1):
         so_far = kept(merged(so_far.unionByName(level.join(seeds.select("node_id"), "node_id", "left_semi"))))
         if met is None:
             x = so_far.agg(F.sum(ones()).alias("x"))
         else:
-            covered = kept(met[h].join(bits, "class").groupBy(F.col("u").alias("class"), "bucket").agg(*[F.bit_or(b).alias(f"_{b}") for b in BITS]))
-            own = so_far.join(placed.select("node_id", "class"), "node_id").join(covered, ["class", "bucket"], "left")
+            own = so_far.join(placed.select("node_id", "class"), "node_id").join(_covered(met[h], bits), ["class", "bucket"], "left")
             past = reduce(lambda a, b: a + b, [F.bit_count(F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(f"_{b}", F.lit(0).cast("long"))))) for b in BITS]).cast("long")
             x = own.agg(F.sum(past).alias("x")).unionByName(met[h].agg(F.sum("n").alias("x"))).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("x"))
         parts.append(x.select(F.lit(h).cast("long").alias("h"), F.coalesce("x", F.lit(0)).alias("x")))
-    total = known.agg(F.count(one).alias("k"))
-    within = reduce(DataFrame.unionByName, parts).unionByName(total.select(F.lit(0).cast("long").alias("h"), F.col("k").alias("x"))).unionByName(total.select(F.lit(most + 1).cast("long").alias("h"), (F.col("k") * F.col("k")).alias("x")))
-    ahead = within.withColumnsRenamed({"h": "g", "x": "y"}).withColumn("g", F.col("g") + 1)
-    counted = within.join(ahead, F.col("h") == F.col("g")).select(F.when(F.col("h") <= most, F.col("h")).alias("steps"), ((F.col("x") - F.col("y")) / 2).cast("long").alias("n"))  # a row for each number of steps
-    return counted.where("n > 0")
+    return parts
 
 
 def _within(most: int) -> list[str]:
     return [f"c{i}" for i in range(most + 1)]
 
 
-def _hub_classes(step: DataFrame, hits: DataFrame, hubs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def _hub_classes(step: DataFrame, hits: DataFrame, hubs: DataFrame, most: int, near: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The hubs that are used, and (node_id, class, c0, c1, ..) of all hits: which hubs a hit has within 0, 1, .. steps, a bit for each; equal ones are a class.
 
-    With more than CLASSES of them the lesser half of the hubs is given up.
+    With more than CLASSES of them the lesser half of the hubs is given up. Up to three steps, near says what lies next to hits: (other, a) of busy nodes and a hit's number, (other, near) of the others
+    and their lists, and all as (node_id): then the second step goes to these and to hits alone, and the third along them.
     """
     numbers = [r.node_id for r in hubs.collect()]  # HUBS rows at most
     masks = hubs.sparkSession.createDataFrame([(x, (1 << i) - (1 << 64 if i == 63 else 0)) for i, x in enumerate(numbers)], "node_id string, m long")
     ids = hits.select("node_id")
     frontier, found = masks, [masks.join(ids, "node_id", "left_semi").withColumn("h", F.lit(0))]
     for h in range(1, most + 1):
+        if near is not None and h == 3:
+            busy, lists, _ = near
+            on = frontier.withColumnRenamed("node_id", "other")
+            rows = lists.join(on, "other").select(F.explode("near").alias("a"), "m").unionByName(busy.join(on, "other").select("a", "m"))
+            reached = rows.groupBy(F.col("a").cast("long").alias("number")).agg(F.bit_or("m").alias("m"))
+            found.append(reached.join(hits, "number").select("node_id", "m").withColumn("h", F.lit(3)))
+            break
         along = step if h < most else step.join(ids.withColumnRenamed("node_id", "other"), "other", "left_semi")
+        if near is not None and h == 1:
+            along = step.where(F.col("node_id").isin(numbers))
+        if near is not None and h == 2:
+            asked = _sieve(near[2].select("node_id").union(ids))
+            along = kept(sifted(sifted(step, "node_id", _sieve(frontier)), "other", asked))
+            # what of the first step leads on is little of it
+            frontier = kept(frontier.join(along.select("node_id").distinct(), "node_id", "left_semi"))
         frontier = kept(frontier.join(along, "node_id").groupBy(F.col("other").alias("node_id")).agg(F.bit_or("m").alias("m")))
         found.append(frontier.join(ids, "node_id", "left_semi").withColumn("h", F.lit(h)))
     zero = F.lit(0).cast("long")
