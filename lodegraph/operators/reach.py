@@ -23,6 +23,8 @@ HUB = 1000
 AHEAD = 40
 #: Hubs that hits are classed by, a bit for each, and how many classes may be met with each other.
 HUBS, CLASSES = 64, 2000
+#: Up to three steps, a node may serve as a hub from this part of HUB on: hits meet there by lists otherwise, by the square of their number.
+EARLY = 16
 #: Longs of a sieve, a power of two.
 SIEVE = 1 << 20
 BITS = [f"b{i}" for i in range(WORDS)]
@@ -209,9 +211,9 @@ def distances(step: DataFrame, hits: DataFrame, most: int) -> DataFrame:
     return counted.where("n > 0")
 
 
-def _most_met(around: DataFrame) -> DataFrame:
-    """Of (node_id, n) the nodes that serve as hubs."""
-    return kept(around.where(F.col("n") > HUB).orderBy(F.desc("n"), "node_id").limit(HUBS).select("node_id"))
+def _most_met(around: DataFrame, floor: int) -> DataFrame:
+    """Of (node_id, n) the nodes that serve as hubs, by more than floor hits around them."""
+    return kept(around.where(F.col("n") > floor).orderBy(F.desc("n"), "node_id").limit(HUBS).select("node_id"))
 
 
 def _met(placed: DataFrame, most: int) -> list[DataFrame]:
@@ -244,7 +246,7 @@ def _few_steps(step: DataFrame, known: DataFrame, most: int) -> list[DataFrame]:
     busy = kept(sizes.where(F.col("n") > HUB).select(F.col("node_id").alias("other")))
     plain = near.join(busy, "other", "left_anti")
     lists = kept(plain.groupBy("other").agg(F.sort_array(F.collect_list("a")).alias("near")))  # of HUB numbers at most
-    hubs = _most_met(sizes)
+    hubs = _most_met(sizes, HUB // EARLY)
     seeds = known.select("node_id", *as_bits("number"))
     met = None
     if not hubs.isEmpty():
@@ -261,7 +263,7 @@ def _few_steps(step: DataFrame, known: DataFrame, most: int) -> list[DataFrame]:
     for h in range(1, most + 1):
         more = []
         if h == 2:
-            tails = lists.select(F.col("near"), F.posexplode("near").alias("i", "node_id")).select(F.col("node_id").cast("long").alias("node_id"), F.expr("slice(near, i + 2, size(near))").alias("after")).where(F.size("after") > 0)
+            tails = lists.join(along.withColumnRenamed("node_id", "other"), "other", "left_anti").select(F.col("near"), F.posexplode("near").alias("i", "node_id")).select(F.col("node_id").cast("long").alias("node_id"), F.expr("slice(near, i + 2, size(near))").alias("after")).where(F.size("after") > 0)
             more.append(gathered(tails.repartition("node_id").select("node_id", F.explode("after").alias("b")).select("node_id", *as_word("b"))))
             if not busy.isEmpty():
                 more.append(_handed(gathered(others.select(F.col("other").alias("node_id"), *as_word("a"))), others))
@@ -297,7 +299,7 @@ def _many_steps(step: DataFrame, known: DataFrame, seeds: DataFrame, most: int)
     """As `_few_steps`, for any number of steps: all bits go along the edges."""
     one = F.lit(1).cast("long")
     near = known.select("node_id").join(step, "node_id").groupBy(F.col("other").alias("node_id")).agg(F.count(one).alias("n"))
-    hubs = _most_met(near)
+    hubs = _most_met(near, HUB)
     met, placed = None, None
     if not hubs.isEmpty():
         hubs, placed = _hub_classes(step, known, hubs, most)
